@@ -14,7 +14,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.utils import AnalysisException
 
 from panelcast.functions.calendar import Grain
 
@@ -83,10 +82,3 @@ def daily_additive(arrivals: DataFrame, ts: str, keys: list[str], value: str, la
         .select(F.to_date("window.start").alias("date"), *keys, "row_count", "total")
     )
 
-
-def current(spark: SparkSession, target: str) -> DataFrame | None:
-    """The table as it stands; None before the first batch."""
-    try:
-        return spark.read.parquet(target)
-    except AnalysisException:
-        return None
