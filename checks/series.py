@@ -321,7 +321,7 @@ for suffix, keys in TWO:
         lambda s, d, keys=keys: ranking.leaderboard(
             scoring.score(two_baselines(s, d, keys), [*keys, "model"]), keys
         ),
-        f"""WITH {two_sql(keys)}, sc AS (SELECT {by}, {measures()}, {S.part(keys) and ''}
+        f"""WITH {two_sql(keys)}, sc AS (SELECT {by}, {measures()},
               100 * avg(abs(y - p) / greatest(abs(y), 1e-9)) AS raw FROM fc GROUP BY {by})
             SELECT * EXCLUDE (raw), row_number() OVER ({S.part(keys)} ORDER BY raw, model) AS place FROM sc""",
     )

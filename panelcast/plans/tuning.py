@@ -8,6 +8,7 @@ from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -95,6 +96,23 @@ def pipeline(candidate: Candidate, features: list[str], label: str, point: dict
     )
 
 
+def pooled_ridge(df: DataFrame, features: list[str], label: str, alpha: float) -> PipelineModel:
+    """One ridge over all rows by MLlib, with the penalty on the scale of the per-series ridge.
+
+    MLlib divides the loss by the number of rows and scales the label, so the penalty is
+    alpha / n * deviation of the label; only the normal solver is exact.
+    """
+    size = df.agg(F.count(F.lit(1)).alias("n"), F.stddev_pop(label).alias("sd")).first()
+    model = LinearRegression(
+        featuresCol=VECTOR,
+        labelCol=label,
+        solver="normal",
+        elasticNetParam=0.0,
+        regParam=alpha / size["n"] * size["sd"],
+    )
+    return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol=VECTOR), model]).fit(df)
+
+
 def search(
     train: DataFrame,
     features: list[str],
