@@ -490,9 +490,8 @@ add("k13_next_month_pooled", k13_pooled)
 
 def k14_pooled(s, d):
     rows = many_rows(s, d)
-    model = tuning.pooled_ridge(rows, PAIR, "label", 10.0) if False else tuning.fit_tuned(
-        rows, tuning.Tuned("random_forest", SMALL["random_forest"].grid[0], 0.0), SMALL, MANY, "label"
-    )
+    tuned = tuning.Tuned("random_forest", SMALL["random_forest"].grid[0], 0.0)
+    model = tuning.fit_tuned(rows, tuned, SMALL, MANY, "label")
     return forecast.recursive_pooled(months(s, d, ["nation"]), model, CFG, MONTH, ["nation"], MANY, 3)
 
 
@@ -500,7 +499,7 @@ add("k14_recursive_pooled", k14_pooled)
 
 # --- J: filters that need a model -------------------------------------------------------------------
 
-QUICK = selection.SelectionSettings(trees=10)
+QUICK = selection.SelectionSettings(trees=10, depth=5)
 
 
 def folds(df, k):
@@ -522,7 +521,7 @@ def j03(s, d):
 def j04(s, d):
     rows, names = training_rows(s, d, ["nation"])
     left = selection.exact_stages(rows, names).features
-    ranked = selection.importances(rows, left, "label", 10, 42)
+    ranked = selection.importances(rows, left, "label", QUICK)
     return selection.importance_table(s, ranked[:20])
 
 
@@ -556,16 +555,14 @@ for suffix, keys in TWO:
             lambda s, d, keys=keys, name=name: scoring.score(two_baselines(s, d, keys), [*keys, "model"], (name,)),
             f"WITH {two_sql(keys)} SELECT {by}, {measures('', (name,))} FROM fc GROUP BY {by}",
         )
-    shocks = [(dt.date(1998, 5, 21), dt.date(1998, 5, 31))]
+    shocks = [(dt.date(1998, 5, 1), dt.date(1998, 6, 1))]
     add(
         f"l07_masked_score{suffix}",
         lambda s, d, keys=keys, shocks=shocks: scoring.masked_score(
-            baselines.naive_last(days(s, d, keys), DAY, keys), [*keys, "model"], shocks
+            two_baselines(s, d, keys), [*keys, "model"], shocks
         ),
-        f"""WITH {S.days(keys)}, f AS (SELECT *, 'naive_last' AS model, daily_revenue AS y,
-              lag(daily_revenue) OVER {S.order_window(keys, 'date')} AS p FROM days)
-            SELECT {by}, {measures('', ('mae', 'rmse', 'mape', 'bias'))} FROM f WHERE p IS NOT NULL
-            AND date NOT BETWEEN DATE '1998-05-21' AND DATE '1998-05-31' GROUP BY {by}""",
+        f"""WITH {two_sql(keys)} SELECT {by}, {measures('', ('mae', 'rmse', 'mape', 'bias'))} FROM fc
+            WHERE month NOT BETWEEN DATE '1998-05-01' AND DATE '1998-06-01' GROUP BY {by}""",
     )
     add(
         f"l08_error_table{suffix}",
@@ -655,7 +652,7 @@ for suffix, keys in TWO:
 
 # --- N: monitoring ------------------------------------------------------------------------------------
 
-JULY = (FINAL, BEFORE)
+CLOSED = (dt.date(1995, 1, 1), BEFORE)
 
 
 def monthly_errors(s, d, keys):
@@ -679,10 +676,10 @@ for suffix, keys in TWO:
     add(
         f"n01_missing_days{suffix}",
         lambda s, d, keys=keys: missing_days(
-            roll_up(order_rows(retail_facts(s, d), DAY, keys, COMPLETE), DAY, keys), "date", keys, JULY
+            roll_up(order_rows(retail_facts(s, d), DAY, keys, COMPLETE), DAY, keys), "date", keys, CLOSED
         ),
         f"""WITH {S.BASE}, {S.order_rows(keys)}, g AS (SELECT {S.lead_list(keys, 'date')} FROM (
-              SELECT CAST(unnest(generate_series(DATE '{FINAL}', DATE '2001-07-31', INTERVAL 1 DAY)) AS DATE) AS date) {each})
+              SELECT CAST(unnest(generate_series(DATE '1995-01-01', DATE '2001-07-31', INTERVAL 1 DAY)) AS DATE) AS date) {each})
             SELECT {S.lead_list(keys, 'date')} FROM g EXCEPT SELECT {S.lead_list(keys, 'date')} FROM orows""",
     )
     add(
@@ -711,16 +708,17 @@ for suffix, keys in TWO:
 
     def n05(s, d, keys=keys):
         groups = [*keys, "model"]
-        errors = stage(monthly_errors(s, d, keys).select(*groups, "period", "mape"), "errors")
+        errors = stage(scoring.score(two_baselines(s, d, keys), [*groups, "period"], ("mape",)), "errors")
         base = errors.groupBy(*groups).agg(F.avg("mape").alias("baseline_mape"))
-        return monitoring.mape_drift(errors.where("mape < 1e6"), groups, base).drop("mape")
+        return monitoring.mape_drift(errors, groups, base).drop("mape")
 
     add(
         f"n05_mape_drift{suffix}",
         n05,
-        f"""WITH {monthly_errors_sql(keys)}, b AS (SELECT {by}, avg(mape) AS baseline_mape FROM me GROUP BY {by}),
+        f"""WITH {two_sql(keys)}, me AS (SELECT {by}, month AS period,
+              100 * avg(abs(y - p) / greatest(abs(y), 1e-9)) AS mape FROM fc GROUP BY {by}, month),
+            b AS (SELECT {by}, avg(mape) AS baseline_mape FROM me GROUP BY {by}),
             ro AS (SELECT {by}, period, avg(mape) OVER w AS rolling_mape, count(mape) OVER w AS n FROM me
-              WHERE mape < 1e6
               WINDOW w AS (PARTITION BY {by} ORDER BY period ROWS BETWEEN 2 PRECEDING AND CURRENT ROW))
             SELECT {by}, period, {S.r('rolling_mape', 'rolling_mape')}, {S.r('baseline_mape', 'baseline_mape')},
             rolling_mape > 1.3 * baseline_mape AS drifted FROM ro JOIN b USING ({by}) WHERE n = 3""",
@@ -752,7 +750,7 @@ for suffix, keys in TWO:
                 quantile_cont(x, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS edges
               FROM v WHERE x IS NOT NULL AND date < DATE '2001-01-01' GROUP BY {S.lead_list(keys, 'variable')}),
             bn AS (SELECT {S.lead_list(keys, 'variable')}, date < DATE '2001-01-01' AS old,
-                len(list_filter(edges, e -> e < x)) AS bin FROM v {using} WHERE x IS NOT NULL),
+                len([e for e in edges if e < x]) AS bin FROM v {using} WHERE x IS NOT NULL),
             tot AS (SELECT {S.lead_list(keys, 'variable')}, count(*) FILTER (old) AS o, count(*) FILTER (NOT old) AS n
               FROM bn GROUP BY ALL),
             cells AS (SELECT {S.lead_list([f'tot.{k}' for k in keys], 'tot.variable')}, b,

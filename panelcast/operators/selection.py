@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import RandomForestRegressor
+from pyspark.ml.feature import VectorAssembler, VectorSlicer
+from pyspark.ml.regression import (
+    LinearRegressionModel,
+    RandomForestRegressionModel,
+    RandomForestRegressor,
+)
 from pyspark.ml.stat import Correlation
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -62,34 +67,48 @@ def assemble(df: DataFrame, features: list[str], keep: list[str]) -> DataFrame:
     return vectors.select(*extra, VECTOR)
 
 
+@dataclass(frozen=True)
+class SelectionSettings:
+    correlation_limit: float = CORRELATION_LIMIT
+    trees: int = 100
+    depth: int = 8
+    step: int = 5
+    folds: int = 2
+    at_least: int = 10
+    at_most: int = 20
+    seed: int = 42
+
+
+def _forest(vector: str, label: str, settings: SelectionSettings) -> RandomForestRegressor:
+    return RandomForestRegressor(
+        featuresCol=vector,
+        labelCol=label,
+        numTrees=settings.trees,
+        maxDepth=settings.depth,
+        seed=settings.seed,
+    )
+
+
 def importances(
-    df: DataFrame, features: list[str], label: str, trees: int, seed: int
+    df: DataFrame, features: list[str], label: str, settings: SelectionSettings
 ) -> list[tuple[str, float]]:
     """Random-forest importances, largest first, names deciding ties."""
-    forest = RandomForestRegressor(
-        featuresCol=VECTOR, labelCol=label, numTrees=trees, maxDepth=8, seed=seed
-    )
-    model = forest.fit(assemble(df, features, [label]))
+    model = _forest(VECTOR, label, settings).fit(assemble(df, features, [label]))
     pairs = zip(features, (float(v) for v in model.featureImportances.toArray()))
     return sorted(pairs, key=lambda p: (-p[1], p[0]))
 
 
+def linear_importances(model: LinearRegressionModel, features: list[str]) -> list[tuple[str, float]]:
+    """Absolute coefficients of a linear model, largest first."""
+    pairs = zip(features, (abs(float(v)) for v in model.coefficients.toArray()))
+    return sorted(pairs, key=lambda p: (-p[1], p[0]))
+
+
 def importance_table(spark: SparkSession, ranked: list[tuple[str, float]]) -> DataFrame:
     rows = [(i + 1, name, value) for i, (name, value) in enumerate(ranked)]
     return spark.createDataFrame(rows, "place int, feature string, importance double")
 
 
-@dataclass(frozen=True)
-class SelectionSettings:
-    correlation_limit: float = CORRELATION_LIMIT
-    trees: int = 100
-    step: int = 5
-    folds: int = 2
-    at_least: int = 10
-    at_most: int = 20
-    seed: int = 42
-
-
 def eliminate(
     folded: DataFrame,
     features: list[str],
@@ -102,46 +121,62 @@ def eliminate(
     ``folded`` holds the training rows with ``fold`` and ``role``.  Every candidate
     size is scored by the MAPE of a forest over the test blocks; the size with the
     best mean score wins, and its features are those left when the elimination, run
-    on all rows, has come down to that size.
+    on all rows, has come down to that size.  The vectors are assembled and cached
+    once; the descents are independent and share the cluster.
     """
     sizes = [len(features)]
     while sizes[-1] > settings.at_least:
         sizes.append(max(settings.at_least, sizes[-1] - settings.step))
     if len(sizes) == 1:
         return features
+    vectors = assemble(folded, features, [label, "fold", "role"]).persist()
 
-    scores = {n: [] for n in sizes}
-    for f in fold_range:
-        rows = folded.where(F.col("fold") == f)
-        train, test = rows.where(F.col("role") == "train"), rows.where(F.col("role") == "test")
-        for kept, model in _descend(train, features, sizes, label, settings):
-            predicted = model.transform(assemble(test, kept, [label]))
-            scores[len(kept)].append(
-                predicted.agg(mape(F.col(label), F.col("prediction")).alias("mape")).first()["mape"]
-            )
-    best = min(sizes, key=lambda n: (sum(scores[n]) / len(scores[n]), n))
-    whole = folded.where(F.col("fold") == fold_range[-1])
-    kept = features
-    for kept, _ in _descend(whole, features, [n for n in sizes if n >= best], label, settings):
-        pass
-    return kept
+    def scored(f: int) -> list[float]:
+        rows = vectors.where(F.col("fold") == f)
+        test = rows.where(F.col("role") == "test")
+        out = []
+        for kept, model in _descend(rows.where(F.col("role") == "train"), features, sizes, label, settings):
+            predicted = model.transform(_sliced(test, features, kept))
+            out.append(predicted.agg(mape(F.col(label), F.col("prediction")).alias("m")).first()["m"])
+        return out
+
+    def descended() -> list[list[str]]:
+        whole = vectors.where(F.col("fold") == fold_range[-1])
+        return [kept for kept, _ in _descend(whole, features, sizes, label, settings)]
+
+    try:
+        with ThreadPoolExecutor(len(fold_range) + 1) as pool:
+            path = pool.submit(descended)
+            scores = list(pool.map(scored, fold_range))
+            sets = path.result()
+    finally:
+        vectors.unpersist()
+    means = [sum(s[i] for s in scores) / len(scores) for i in range(len(sizes))]
+    best = min(range(len(sizes)), key=lambda i: (means[i], sizes[i]))
+    return sets[best]
+
+
+_SLICE = "_x_kept"
+
+
+def _sliced(df: DataFrame, features: list[str], kept: list[str]) -> DataFrame:
+    place = {c: i for i, c in enumerate(features)}
+    slicer = VectorSlicer(inputCol=VECTOR, outputCol=_SLICE, indices=[place[c] for c in kept])
+    return slicer.transform(df)
 
 
 def _descend(
     df: DataFrame, features: list[str], sizes: list[int], label: str, settings: SelectionSettings
-):
+) -> Iterator[tuple[list[str], RandomForestRegressionModel]]:
     """Feature sets of falling size with a forest fitted on each."""
     kept = features
-    for i, _ in enumerate(sizes):
-        forest = RandomForestRegressor(
-            featuresCol=VECTOR, labelCol=label, numTrees=settings.trees, maxDepth=8, seed=settings.seed
-        )
-        model = forest.fit(assemble(df, kept, [label]))
+    for smaller in [*sizes[1:], None]:
+        model = _forest(_SLICE, label, settings).fit(_sliced(df, features, kept))
         yield kept, model
-        if i + 1 < len(sizes):
+        if smaller is not None:
             weight = dict(zip(kept, model.featureImportances.toArray()))
-            ranked = sorted(kept, key=lambda c: (-weight[c], c))[: sizes[i + 1]]
-            kept = [c for c in kept if c in set(ranked)]
+            ranked = set(sorted(kept, key=lambda c: (-weight[c], c))[:smaller])
+            kept = [c for c in kept if c in ranked]
 
 
 @dataclass
@@ -190,15 +225,12 @@ def select_features(
     """Constant, correlated, unimportant: the filter chain on training rows only."""
     out = exact_stages(train, features, settings.correlation_limit)
     narrow = train.select(*[c for c in train.columns if c not in features], *out.features)
-    folded = with_folds(narrow, settings.folds).persist()
-    try:
-        kept = eliminate(folded, out.features, label, settings, range(settings.folds))
-    finally:
-        folded.unpersist()
+    folded = with_folds(narrow, settings.folds)
+    kept = eliminate(folded, out.features, label, settings, range(settings.folds))
     out.stages.append(("elimination", kept))
     if len(kept) > settings.at_most:
-        ranked = importances(narrow, kept, label, settings.trees, settings.seed)
+        ranked = importances(narrow, kept, label, settings)
         kept = [c for c, _ in ranked[: settings.at_most]]
         out.stages.append(("cap", kept))
-    out.ranking = importances(narrow, kept, label, settings.trees, settings.seed)
+    out.ranking = importances(narrow, kept, label, settings)
     return out

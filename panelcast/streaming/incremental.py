@@ -25,14 +25,32 @@ def touched_periods(batch: DataFrame, period: str) -> list:
     return [r[0] for r in batch.select(period).distinct().collect()]
 
 
+WRITERS = 4  # tasks that share the rows of one period when a batch is stored
+
+
+def spread(df: DataFrame, period: str, writers: int) -> DataFrame:
+    """Gather the rows of a period in ``writers`` tasks: few files, and no task alone
+    with a period that holds most of the batch."""
+    salt = F.pmod(F.xxhash64(*df.columns), F.lit(writers))
+    return df.repartition(F.col(period), salt)
+
+
 def absorb(
-    batch: DataFrame, batch_id: int, grain: Grain, ts: str, recompute: Recompute, store: str, target: str
+    batch: DataFrame,
+    batch_id: int,
+    grain: Grain,
+    ts: str,
+    recompute: Recompute,
+    store: str,
+    target: str,
+    writers: int = WRITERS,
 ) -> None:
     """Add one micro-batch and bring the touched periods up to date."""
     spark: SparkSession = batch.sparkSession
     dated = batch.where(F.col(ts).isNotNull()).withColumn(grain.period, grain.bucket(F.col(ts)))
     (
-        dated.withColumn("_batch", F.lit(batch_id))
+        spread(dated, grain.period, writers)
+        .withColumn("_batch", F.lit(batch_id))
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(grain.period, "_batch")
@@ -44,6 +62,7 @@ def absorb(
     known = spark.read.schema(dated.schema).parquet(store).where(F.col(grain.period).isin(periods))
     (
         recompute(known)
+        .repartition(grain.period)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(grain.period)
@@ -75,8 +94,9 @@ def follow(
 
 def daily_additive(arrivals: DataFrame, ts: str, keys: list[str], value: str, lateness: str) -> DataFrame:
     """Streaming daily sums and counts per series, for metrics that merge."""
+    zoned = arrivals.withColumn(ts, F.col(ts).cast("timestamp"))
     return (
-        arrivals.withWatermark(ts, lateness)
+        zoned.withWatermark(ts, lateness)
         .groupBy(F.window(ts, "1 day"), *keys)
         .agg(F.count(F.lit(1)).alias("row_count"), F.sum(value).alias("total"))
         .select(F.to_date("window.start").alias("date"), *keys, "row_count", "total")
