@@ -159,7 +159,7 @@ def cv_sql(keys, k=4):
     axis AS (SELECT month, row_number() OVER (ORDER BY month) - 1 AS position, count(*) OVER () AS n
              FROM (SELECT DISTINCT month FROM tr)),
     folds AS (SELECT month, position, fold, n - ({k} - fold) * (n // {k + 1}) AS start, n // {k + 1} AS size
-              FROM axis, (SELECT unnest(range({k})) AS fold)),
+              FROM (SELECT *, unnest(range({k})) AS fold FROM axis)),
     fr AS (SELECT tr.*, fold, position < start AS is_train FROM tr JOIN folds USING (month)
            WHERE position < start + size),
     mo AS (SELECT {fold_by}, {moments_sql()} FROM fr WHERE is_train GROUP BY {fold_by}),
@@ -672,14 +672,14 @@ def monthly_errors_sql(keys):
 
 for suffix, keys in TWO:
     by = S.lead_list(keys, "model")
-    each = f"CROSS JOIN (SELECT DISTINCT {', '.join(keys)} FROM orows WHERE {keys[0]} IS NOT NULL)" if keys else ""
+    each = f"FROM (SELECT DISTINCT {', '.join(keys)} FROM orows)" if keys else ""
     add(
         f"n01_missing_days{suffix}",
         lambda s, d, keys=keys: missing_days(
             roll_up(order_rows(retail_facts(s, d), DAY, keys, COMPLETE), DAY, keys), "date", keys, CLOSED
         ),
-        f"""WITH {S.BASE}, {S.order_rows(keys)}, g AS (SELECT {S.lead_list(keys, 'date')} FROM (
-              SELECT CAST(unnest(generate_series(DATE '1995-01-01', DATE '2001-07-31', INTERVAL 1 DAY)) AS DATE) AS date) {each})
+        f"""WITH {S.BASE}, {S.order_rows(keys)}, g AS (SELECT {S.lead_list(keys, '')}
+              CAST(unnest(generate_series(DATE '1995-01-01', DATE '2001-07-31', INTERVAL 1 DAY)) AS DATE) AS date {each})
             SELECT {S.lead_list(keys, 'date')} FROM g EXCEPT SELECT {S.lead_list(keys, 'date')} FROM orows""",
     )
     add(

@@ -3,19 +3,24 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelcast.functions.numeric import steady_round
+REAL = (T.DoubleType, T.FloatType, T.DecimalType)
+WHOLE = (T.IntegerType, T.ShortType, T.ByteType)
 
 
 def present(df: DataFrame) -> DataFrame:
+    """Whole numbers as bigint, real ones rounded as ``steady_round`` does.
+
+    Written as SQL text: a feature frame has hundreds of columns.
+    """
     out = []
     for f in df.schema.fields:
-        c = F.col(f"`{f.name}`")
-        if isinstance(f.dataType, (T.DoubleType, T.FloatType, T.DecimalType)):
-            c = steady_round(c)
-        elif isinstance(f.dataType, (T.IntegerType, T.ShortType, T.ByteType)):
-            c = c.cast("bigint")
-        out.append(c.alias(f.name))
-    return df.select(*out)
+        name = f"`{f.name}`"
+        if isinstance(f.dataType, REAL):
+            out.append(f"rint(double({name}) * 10000D + 0.001D) / 10000D AS {name}")
+        elif isinstance(f.dataType, WHOLE):
+            out.append(f"bigint({name}) AS {name}")
+        else:
+            out.append(name)
+    return df.selectExpr(*out)

@@ -393,7 +393,7 @@ def folds_sql(keys, k):
     axis AS (SELECT month, row_number() OVER (ORDER BY month) - 1 AS position, count(*) OVER () AS n
              FROM (SELECT DISTINCT month FROM months)),
     folds AS (SELECT month, position, fold, n - ({k} - fold) * (n // {k + 1}) AS start, n // {k + 1} AS size
-              FROM axis, (SELECT unnest(range({k})) AS fold)),
+              FROM (SELECT *, unnest(range({k})) AS fold FROM axis)),
     roles AS (SELECT month, position, fold, CASE WHEN position < start THEN 'train' ELSE 'test' END AS role
               FROM folds WHERE position < start + size)"""
 

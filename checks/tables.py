@@ -18,6 +18,16 @@ from panelcast.sources import storage
 from panelcast.sources.facts import read_tables, table_sizes
 from panelcast.sources.star_schema import retail_facts
 
+def categories(s, d, keys):
+    f = retail_facts(s, d)
+    return rollup.category_counts(rollup.sightings(f, MONTH, keys, COMPLETE), f, MONTH, keys, COMPLETE)
+
+
+def newcomers(s, d, keys):
+    f = retail_facts(s, d)
+    return rollup.new_entities(rollup.sightings(f, MONTH, keys, COMPLETE), f, MONTH, keys)
+
+
 # --- A: sources and sinks -----------------------------------------------------------
 
 TABLES = ["orders", "lineitem", "customer", "part", "supplier", "nation", "region", "events"]
@@ -323,7 +333,7 @@ add(
 def c05(s, d, keys):
     f = retail_facts(s, d)
     core = rollup.roll_up(order_level.order_rows(f, MONTH, keys, COMPLETE), MONTH, keys)
-    fresh = rollup.new_entities(f, MONTH, keys, COMPLETE)
+    fresh = newcomers(s, d, keys)
     return core.join(fresh, [*keys, "month"], "left").select(
         *keys, "month", "total_orders", F.coalesce("new_sellers", F.lit(0)).cast("bigint").alias("new_sellers")
     )
@@ -437,13 +447,13 @@ for suffix, keys in SERIES.items():
     add(
         f"d06_top_category{suffix}",
         lambda s, d, keys=keys: rollup.top_category(
-            rollup.category_counts(retail_facts(s, d), MONTH, keys, COMPLETE), [*keys, "month"]
+            categories(s, d, keys), [*keys, "month"]
         ),
         f"WITH {S.BASE}, {S.items(keys)} SELECT {on}, top_category FROM tops",
     )
     add(
         f"d07_new_entities{suffix}",
-        lambda s, d, keys=keys: rollup.new_entities(retail_facts(s, d), MONTH, keys, COMPLETE),
+        lambda s, d, keys=keys: newcomers(s, d, keys),
         f"WITH {S.BASE}, {S.items(keys)} SELECT {on}, new_sellers FROM fresh",
     )
     add(
@@ -535,7 +545,7 @@ for suffix, keys in list(SERIES.items())[:2]:
         f"d14_modal_category{suffix}",
         lambda s, d, keys=keys: rollup.modal_value(
             rollup.top_category(
-                rollup.category_counts(retail_facts(s, d), MONTH, keys, COMPLETE), [*keys, "month"]
+                categories(s, d, keys), [*keys, "month"]
             ),
             "top_category",
             keys,
@@ -596,7 +606,7 @@ CATEGORIES = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
 
 
 def d18(s, d):
-    counts = rollup.category_counts(retail_facts(s, d), MONTH, [], COMPLETE)
+    counts = categories(s, d, [])
     return rollup.pivot_values(counts, ["month"], "product_category_name", CATEGORIES, "item_count")
 
 

@@ -47,6 +47,12 @@ class Bounds:
         """Bounds whose upper end ``last`` is itself included."""
         return cls(start, last + dt.timedelta(days=1) if last else None)
 
+    def check(self, grain: Grain) -> "Bounds":
+        """Bounds must lie between periods: a cut inside a month is no complete month."""
+        if grain.unit == "month" and any(d is not None and d.day != 1 for d in (self.start, self.before)):
+            raise ValueError("monthly bounds must be first days of months")
+        return self
+
     def keep(self, df: DataFrame, column: str, lower: bool = True) -> DataFrame:
         """Range filter on a raw timestamp or date column, so that it reaches the scan.
 

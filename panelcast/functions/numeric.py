@@ -50,8 +50,5 @@ def steady_round(value: Column, digits: int = 4) -> Column:
     Means of money often land exactly half way between two roundings; the push of
     a thousandth of a unit keeps summation order from deciding which side they take.
     """
-    scale = float(10**digits)
-    shifted = value.cast("double") * scale + F.lit(0.501)
-    # From 2^53 on doubles are whole; floor would overflow its integer result there.
-    whole = F.when(F.abs(shifted) < float(2**53), F.floor(shifted).cast("double")).otherwise(shifted)
-    return whole / F.lit(scale)
+    scale = F.lit(float(10**digits))
+    return F.rint(value.cast("double") * scale + F.lit(0.001)) / scale

@@ -47,13 +47,20 @@ def fill_both_ways(df: DataFrame, columns: list[str], period: str, series_keys:
 def missing_days(df: DataFrame, period: str, series_keys: list[str], months: tuple[dt.date, dt.date]) -> DataFrame:
     """Days without a row in the closed months from ``months[0]`` up to, not including, ``months[1]``.
 
-    The calendar of a series is spread from one row per series, so every series is
-    checked over the same months, also one that stops early.
+    Each row names the days up to the row after it, and the first row also those before
+    it, so one pass finds the gaps and a series that stops early is reported to the end.
     """
-    start, before = F.lit(months[0]), F.lit(months[1])
-    known = df.where((F.col(period) >= start) & (F.col(period) < before))
-    one_row = df.select(*series_keys).distinct() if series_keys else df.agg(F.count(F.lit(1)).alias("_n"))
-    calendar = one_row.select(
-        *series_keys, F.explode(F.sequence(start, F.date_sub(before, 1))).alias(period)
+    start, end = F.lit(months[0]), F.date_sub(F.lit(months[1]), 1)
+    w = Window.partitionBy(*series_keys).orderBy(period)
+    following = F.coalesce(F.lead(period).over(w), F.date_add(end, 1))
+
+    def days(first, last):
+        first, last = F.greatest(first, start), F.least(last, end)
+        return F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<date>"))
+
+    behind = days(F.date_add(period, 1), F.date_sub(following, 1))
+    before = F.when(F.row_number().over(w) == 1, days(start, F.date_sub(period, 1))).otherwise(
+        F.array().cast("array<date>")
     )
-    return calendar.join(known.select(*series_keys, period), [*series_keys, period], "left_anti")
+    gaps = df.withColumn("_gaps", F.concat(before, behind))
+    return gaps.select(*series_keys, F.explode("_gaps").alias(period))

@@ -78,7 +78,7 @@ def dated_orders(
     """Orders with a usable timestamp, their period, and the bounds pushed to the scan."""
     orders = drop_undated(coerce_timestamps(facts.orders, [ORDER_TS]), ORDER_TS)
     if bounds is not None:
-        orders = bounds.keep(orders, ORDER_TS, lower=not whole_past)
+        orders = bounds.check(grain).keep(orders, ORDER_TS, lower=not whole_past)
     return orders.select(
         "order_id", "customer_id", ORDER_TS, grain.bucket(F.col(ORDER_TS)).alias(grain.period)
     )

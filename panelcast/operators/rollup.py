@@ -59,23 +59,38 @@ def distinct_per_group(df: DataFrame, groups: list[str], thing: str, name: str)
     )
 
 
-def category_counts(
+def sightings(
     facts: Facts, grain: Grain, series_keys: list[str], bounds: Bounds | None = None
 ) -> DataFrame:
-    """Items per series, period and known category.
+    """Items per product, seller and period, and when each was first sold in it.
 
-    Items are counted per product first: the product dimension then meets one row
-    per product and period, however hot a product is.
+    Top categories and new sellers both start here, so that items meet their orders
+    once.  Only the upper bound is applied: first sightings need the whole past.
     """
-    customer_keys, product_keys = facts.customer_keys(series_keys), facts.product_keys(series_keys)
-    per_product = (
-        dated_items(facts, grain, series_keys, bounds)
-        .groupBy(*customer_keys, grain.period, "product_id")
-        .agg(F.count(F.lit(1)).alias("n"))
+    keys = facts.customer_keys(series_keys)
+    return (
+        dated_items(facts, grain, series_keys, bounds, whole_past=True)
+        .groupBy(*keys, grain.period, "product_id", "seller_id")
+        .agg(F.count(F.lit(1)).alias("n"), F.min(ORDER_TS).alias("first_ts"))
+        # Both conditions always hold.  Every use of this table reads both columns for
+        # them, so its plan is the same wherever it occurs and its shuffle is reused.
+        .where((F.col("n") > 0) & F.col("first_ts").isNotNull())
     )
+
+
+def category_counts(
+    seen: DataFrame, facts: Facts, grain: Grain, series_keys: list[str], bounds: Bounds | None = None
+) -> DataFrame:
+    """Items per series, period and known category, from :func:`sightings`.
+
+    The product dimension meets counts and not items, however hot a product is.
+    """
+    product_keys = facts.product_keys(series_keys)
+    if bounds is not None and bounds.start is not None:
+        seen = seen.where(F.col(grain.period) >= F.lit(bounds.start))
     products = facts.products.select("product_id", "product_category_name", *product_keys)
     return (
-        per_product.join(products, "product_id", "left")
+        seen.join(products, "product_id", "left")
         .where(F.col("product_category_name").isNotNull())
         .groupBy(*series_keys, grain.period, "product_category_name")
         .agg(F.sum("n").alias("item_count"))
@@ -90,24 +105,15 @@ def top_category(counts: DataFrame, groups: list[str]) -> DataFrame:
     )
 
 
-def new_entities(
-    facts: Facts, grain: Grain, series_keys: list[str], bounds: Bounds | None = None
-) -> DataFrame:
-    """Sellers per period that had not been seen before (per series).
-
-    Only the upper bound may be applied before the first sighting is known.
-    """
-    customer_keys, product_keys = facts.customer_keys(series_keys), facts.product_keys(series_keys)
-    items = dated_items(facts, grain, series_keys, bounds, whole_past=True)
+def new_entities(seen: DataFrame, facts: Facts, grain: Grain, series_keys: list[str]) -> DataFrame:
+    """Sellers per period not seen before (per series), from :func:`sightings`."""
+    product_keys = facts.product_keys(series_keys)
     if product_keys:
-        per_product = items.groupBy(*customer_keys, "product_id", "seller_id").agg(
-            F.min(ORDER_TS).alias(ORDER_TS)
-        )
-        items = per_product.join(facts.products.select("product_id", *product_keys), "product_id", "left")
+        seen = seen.join(facts.products.select("product_id", *product_keys), "product_id", "left")
     first = (
-        items.where(F.col("seller_id").isNotNull())
+        seen.where(F.col("seller_id").isNotNull())
         .groupBy(*series_keys, "seller_id")
-        .agg(F.min(ORDER_TS).alias("first_seen"))
+        .agg(F.min("first_ts").alias("first_seen"))
     )
     return first.groupBy(*series_keys, grain.bucket(F.col("first_seen")).alias(grain.period)).agg(
         F.count(F.lit(1)).alias("new_sellers")

@@ -13,6 +13,7 @@ from panelcast.operators.rollup import (
     impute_median,
     new_entities,
     roll_up,
+    sightings,
     top_category,
 )
 from panelcast.sources.facts import Facts
@@ -28,8 +29,9 @@ def monthly_table(
     keys = series_keys or []
     on = [*keys, "month"]
     core = roll_up(order_rows(facts, MONTH, keys, bounds), MONTH, keys)
-    tops = top_category(category_counts(facts, MONTH, keys, bounds), on)
-    fresh = new_entities(facts, MONTH, keys, bounds)
+    seen = sightings(facts, MONTH, keys, bounds)
+    tops = top_category(category_counts(seen, facts, MONTH, keys, bounds), on)
+    fresh = new_entities(seen, facts, MONTH, keys)
     table = (
         core.join(tops, on, "left")
         .join(fresh, on, "left")
