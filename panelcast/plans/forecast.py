@@ -77,25 +77,22 @@ def recursive_pooled(
     checkpoint folder, so a lost executor repeats one step and not the chain.
     """
     columns = [*series_keys, grain.period, *cfg.base_cols]
-    history = cut_lineage(table.select(*columns))
-    last = history.agg(F.max(grain.period).alias("p")).first()["p"]
-    for _ in range(horizon):
+    on = [*series_keys, grain.period]
+    known = table.select(*columns).withColumn(grain.revenue, F.col(grain.revenue).cast("double"))
+    history = cut_lineage(known.withColumn("step", F.lit(0)))
+    for step in range(1, horizon + 1):
         rows = scoring_rows(history, cfg, grain, series_keys, features)
-        predicted = model.transform(rows).select(
-            *series_keys,
-            F.col(grain.period),
-            non_negative(F.col("prediction")).alias("_forecast"),
-        )
-        on = [*series_keys, grain.period]
+        predicted = model.transform(rows).select(*on, non_negative(F.col("prediction")).alias("_forecast"))
         fresh = (
             history.join(predicted, on, "inner")
             .withColumn(grain.revenue, F.col("_forecast"))
             .withColumn(grain.period, grain.shift(F.col(grain.period)))
-            .select(*columns)
+            .withColumn("step", F.lit(step))
+            .select(*columns, "step")
         )
-        history = cut_lineage(history.withColumn(grain.revenue, F.col(grain.revenue).cast("double")).unionByName(fresh))
-    return history.where(F.col(grain.period) > F.lit(last)).select(
-        *series_keys, F.col(grain.period).alias("period"), F.col(grain.revenue).alias("y_pred")
+        history = cut_lineage(history.unionByName(fresh))
+    return history.where(F.col("step") > 0).select(
+        *series_keys, F.col(grain.period).alias("period"), "step", F.col(grain.revenue).alias("y_pred")
     )
 
 

@@ -55,7 +55,11 @@ def with_series_value(df: DataFrame, values: DataFrame, series_keys: list[str])
     """Attach a per-series table (one row per series, one row in all without series)."""
     if series_keys:
         return df.join(values, series_keys, "inner")
-    return df.withColumns({c: values.select(c).scalar() for c in values.columns})
+    row = values.first()  # a handful of numbers, as any fitted model keeps on the driver
+    if row is None:
+        raise ValueError("nothing to fit on")
+    kinds = {f.name: f.dataType for f in values.schema.fields}
+    return df.withColumns({c: F.lit(row[c]).cast(kinds[c]) for c in values.columns})
 
 
 def ridge_fit(

@@ -54,6 +54,13 @@ def rows_of(columns, rows) -> list[tuple]:
     return sorted(out, key=lambda t: tuple((v is None, str(type(v)), v if v is not None else 0) for v in t))
 
 
+def same(x, y) -> bool:
+    """Equal; beyond the range where four decimals fit into a double, equal to 14 digits."""
+    if isinstance(x, float) and isinstance(y, float) and abs(x) > 1e11:
+        return math.isclose(x, y, rel_tol=1e-14)
+    return x == y
+
+
 def compare(spark, con, query, sql: str, folder: str) -> str:
     df = query(spark, folder)
     ours = rows_of(df.columns, df.collect())
@@ -64,12 +71,12 @@ def compare(spark, con, query, sql: str, folder: str) -> str:
         return f"columns differ: {sorted(set(df.columns) ^ set(names))}"
     if len(ours) != len(theirs):
         return f"rows differ: {len(ours)} / {len(theirs)}"
-    bad = [(a, b) for a, b in zip(ours, theirs) if a != b]
+    bad = [(a, b) for a, b in zip(ours, theirs) if not all(map(same, a, b))]
     if bad:
         a, b = bad[0]
-        cells = [(n, x, y) for n, x, y in zip(sorted(names), a, b) if x != y]
+        cells = [(n, x, y) for n, x, y in zip(sorted(names), a, b) if not same(x, y)]
         return f"{len(bad)} of {len(ours)} rows differ, e.g. {cells[:4]} in {a[:3]}"
-    return "" if ours else "no rows"
+    return ""
 
 
 def main(prefixes: list[str]) -> int:
