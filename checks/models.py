@@ -11,6 +11,7 @@ from checks.registry import BACKTEST_END, BACKTEST_START, BEFORE, COMPLETE, FINA
 from checks.series import days, months, trained, training_rows, two_baselines, two_sql
 from checks.tables import MEASURES_SQL, measures
 from panelcast.functions.calendar import DAY, MONTH
+from panelcast.functions.numeric import steady_round
 from panelcast.operators import baselines, kpis, monitoring, ranking, recursion, ridge, scoring, selection
 from panelcast.operators.order_level import ORDER_TS, order_rows
 from panelcast.operators.rollup import roll_up
@@ -407,7 +408,6 @@ for key, name in {
     "k05_gradient_boosting": "gradient_boosting",
     "k06_hist_gradient_boosting": "hist_gradient_boosting",
     "k07_extra_trees": "extra_trees",
-    "k08_linear_regression": "linear",
 }.items():
     add(key, lambda s, d, name=name: fitted_scores(s, d, name))
 
@@ -437,25 +437,122 @@ def k09_pooled(s, d):
 
 
 add("k09_pooled_search", k09_pooled)
+# Linear models have a closed form: MLlib's fits on one or two features are checked by SQL.
+# Cents are compared, since MLlib solves in another order of operations.
+
+
+def cents(df):
+    return df.withColumns({c: steady_round(F.col(c), 2) for c in ("y_true", "y_pred") if c in df.columns})
+
+
+def staged_pair(s, d):
+    return stage(pair_rows(s, d, ["nation"]), "pair")
+
+
+def k08_linear(s, d):
+    rows = staged_pair(s, d)
+    train = rows.where(F.col("target_period") <= F.lit(TRAIN_END))
+    test = rows.where(F.col("target_period").between(F.lit(BACKTEST_START), F.lit(BACKTEST_END)))
+    model = tuning.pipeline(SMALL["linear"], [X1], "label").fit(train)
+    return cents(tuning.pooled_forecasts(model, test, "linear", "label", ["nation"]))
+
+
+def line_sql(begin, stop, train):
+    """One-feature least squares on ``train``, applied to targets from ``begin`` to before ``stop``."""
+    return f"""SELECT nation, 'linear' AS model, target_period AS period, {S.r('label', 'y_true', 2)},
+      {S.r(f'a + b * {X1}', 'y_pred', 2)} FROM sup JOIN (SELECT regr_intercept(label, {X1}) AS a,
+      regr_slope(label, {X1}) AS b FROM sup WHERE {train}) f ON true
+      WHERE target_period >= DATE '{begin}' AND target_period < DATE '{stop}'"""
+
+
+add(
+    "k08_linear_regression",
+    k08_linear,
+    f"WITH {pair_sql(['nation'])} " + line_sql(BACKTEST_START, FINAL, f"target_period <= DATE '{TRAIN_END}'"),
+)
+REFITS = [dt.date(2001, 4, 1), dt.date(2001, 5, 1), dt.date(2001, 6, 1)]
 add(
     "i06_pooled_backtest",
-    lambda s, d: backtest.pooled_backtest(
-        many_rows(s, d), SMALL["linear"], {}, MANY, "label", "month", ["nation"],
-        [dt.date(2001, 4, 1), dt.date(2001, 5, 1), dt.date(2001, 6, 1)], FINAL,
+    lambda s, d: cents(
+        backtest.pooled_backtest(
+            staged_pair(s, d), SMALL["linear"], {}, [X1], "label", "month", ["nation"], REFITS, FINAL
+        )
+    ),
+    f"WITH {pair_sql(['nation'])} "
+    + " UNION ALL ".join(
+        line_sql(b, e, f"target_period < DATE '{b}'") for b, e in zip(REFITS, [*REFITS[1:], FINAL])
     ),
 )
 
 
 def a07(s, d):
-    rows = many_rows(s, d)
+    rows = staged_pair(s, d)
     path = staging_path(s, "model")
-    model = tuning.pooled_ridge(rows.where(F.col("target_period") <= F.lit(TRAIN_END)), MANY, "label", 10.0)
+    model = tuning.pooled_ridge(rows.where(F.col("target_period") <= F.lit(TRAIN_END)), PAIR, "label", 10.0)
     storage.save_model(model, path)
     later = rows.where(F.col("target_period") > F.lit(TRAIN_END))
-    return tuning.pooled_forecasts(storage.load_model(path), later, "ridge", "label", ["nation"])
+    return cents(tuning.pooled_forecasts(storage.load_model(path), later, "ridge", "label", ["nation"]))
+
+
+def pooled_sql(where):
+    return f"""{pair_sql(['nation'])}, mo AS (SELECT {moments_sql()} FROM sup WHERE {where}),
+        g AS (SELECT *, {slopes_sql(10.0)} FROM mo)"""
+
+
+add(
+    "a07_model_round_trip",
+    a07,
+    f"""WITH {pooled_sql(f"target_period <= DATE '{TRAIN_END}'")}
+        SELECT nation, 'ridge' AS model, target_period AS period, {S.r('label', 'y_true', 2)},
+        {S.r(PREDICT, 'y_pred', 2)} FROM sup JOIN g ON true WHERE target_period > DATE '{TRAIN_END}'""",
+)
+POOLED_STEPS = f"""{pooled_sql('true')},
+    b_ AS (SELECT nation, month, monthly_revenue AS y, row_number() OVER (PARTITION BY nation ORDER BY month DESC) AS back FROM months),
+    ends AS (SELECT nation, max(CASE WHEN back = 1 THEN month END) AS last,
+      {', '.join(f'max(CASE WHEN back = {i + 1} THEN y END) AS y{i}' for i in range(4))} FROM b_ GROUP BY nation),
+    s12 AS (SELECT *, {line('y1', '(y1 + y2 + y3) / 3')} AS p1, greatest({line('y0', '(y0 + y1 + y2) / 3')}, 0) AS p2
+            FROM ends JOIN g ON true),
+    s3 AS (SELECT *, greatest({line('greatest(p1, 0)', '(greatest(p1, 0) + y0 + y1) / 3')}, 0) AS p3 FROM s12)"""
+
+
+def k13_pooled(s, d):
+    model = tuning.pooled_ridge(staged_pair(s, d), PAIR, "label", 10.0)
+    return cents(forecast.next_period_pooled(months(s, d, ["nation"]), model, CFG, MONTH, ["nation"], PAIR))
+
+
+add(
+    "k13_next_month_pooled",
+    k13_pooled,
+    f"""WITH {POOLED_STEPS} SELECT nation, last AS last_observed, CAST(last + INTERVAL 1 MONTH AS DATE) AS period,
+        {S.r('p1', 'y_pred', 2)} FROM s12""",
+)
+
+
+def k14_pooled(s, d):
+    model = tuning.pooled_ridge(staged_pair(s, d), PAIR, "label", 10.0)
+    return cents(forecast.recursive_pooled(months(s, d, ["nation"]), model, CFG, MONTH, ["nation"], PAIR, 3))
+
+
+add(
+    "k14_recursive_pooled",
+    k14_pooled,
+    f"WITH {POOLED_STEPS} "
+    + " UNION ALL ".join(
+        f"""SELECT nation, CAST(last + to_months({h}) AS DATE) AS period, {h} AS step,
+            {S.r(f'greatest(p{h}, 0)', 'y_pred', 2)} FROM s3"""
+        for h in (1, 2, 3)
+    ),
+)
+
+
+def k14_forest(s, d):
+    rows = many_rows(s, d)
+    tuned = tuning.Tuned("random_forest", SMALL["random_forest"].grid[0], 0.0)
+    model = tuning.fit_tuned(rows, tuned, SMALL, MANY, "label")
+    return forecast.recursive_pooled(months(s, d, ["nation"]), model, CFG, MONTH, ["nation"], MANY, 3)
 
 
-add("a07_model_round_trip", a07)
+add("k14_recursive_forest", k14_forest)
 
 
 def a07_table(s, d):
@@ -479,24 +576,6 @@ def a06(s, d):
 add("a06_report_sinks", a06, SQL["g06_leaderboard_by_nation"])
 
 
-def k13_pooled(s, d):
-    rows = many_rows(s, d)
-    model = tuning.pooled_ridge(rows, MANY, "label", 10.0)
-    return forecast.next_period_pooled(months(s, d, ["nation"]), model, CFG, MONTH, ["nation"], MANY)
-
-
-add("k13_next_month_pooled", k13_pooled)
-
-
-def k14_pooled(s, d):
-    rows = many_rows(s, d)
-    tuned = tuning.Tuned("random_forest", SMALL["random_forest"].grid[0], 0.0)
-    model = tuning.fit_tuned(rows, tuned, SMALL, MANY, "label")
-    return forecast.recursive_pooled(months(s, d, ["nation"]), model, CFG, MONTH, ["nation"], MANY, 3)
-
-
-add("k14_recursive_pooled", k14_pooled)
-
 # --- J: filters that need a model -------------------------------------------------------------------
 
 QUICK = selection.SelectionSettings(trees=10, depth=5)
