@@ -32,13 +32,17 @@ def densify(df: DataFrame, grain: Grain, series_keys: list[str]) -> DataFrame:
 
 
 def fill_both_ways(df: DataFrame, columns: list[str], period: str, series_keys: list[str]) -> DataFrame:
-    """Last value seen, or the next one where none has been seen yet."""
+    """Last value seen, or the next one where none has been seen yet.
+
+    What has no value behind it lies before the first value of its series, so that one
+    value fills it; a frame running to the end from every row would cost rows squared.
+    """
     w = Window.partitionBy(*series_keys).orderBy(period)
     back = w.rowsBetween(Window.unboundedPreceding, 0)
-    ahead = w.rowsBetween(0, Window.unboundedFollowing)
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     return df.withColumns(
         {
-            c: F.coalesce(F.last(c, ignorenulls=True).over(back), F.first(c, ignorenulls=True).over(ahead))
+            c: F.coalesce(F.last(c, ignorenulls=True).over(back), F.first(c, ignorenulls=True).over(whole))
             for c in columns
         }
     )
