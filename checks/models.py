@@ -388,6 +388,7 @@ MANY = [
     "month_sin",
 ]
 SMALL = candidates(forest_trees=20, boost_rounds=(5, 10))
+QUICK = selection.SelectionSettings(trees=10, depth=5)
 
 
 def many_rows(s, d):
@@ -555,6 +556,22 @@ def k14_forest(s, d):
 add("k14_recursive_forest", k14_forest)
 
 
+def k11_pooled(s, d):
+    rows, names = trained(s, d, ["nation"], False)
+    result = tuning.tune(
+        stage(rows, "supervised"), names, "label", "month", ["nation"], TRAIN_END, BACKTEST_END,
+        ["random_forest", "linear"], SMALL, QUICK, n_splits=2, points=1,
+    )
+    path = staging_path(s, "metadata")
+    storage.write_report(result.metadata(s), path)
+    storage.save_model(result.model, staging_path(s, "model"))
+    written = s.read.schema(result.metadata(s).schema).json(path)
+    return result.leaderboard.join(written, F.col("model") == F.col("best_model"), "left").drop("best_model")
+
+
+add("k11_tune_and_select", k11_pooled)
+
+
 def a07_table(s, d):
     path = staging_path(s, "coefficients")
     storage.write_table(k11(s, d, ["nation"]), path)
@@ -578,8 +595,6 @@ add("a06_report_sinks", a06, SQL["g06_leaderboard_by_nation"])
 
 # --- J: filters that need a model -------------------------------------------------------------------
 
-QUICK = selection.SelectionSettings(trees=10, depth=5)
-
 
 def folds(df, k):
     return with_folds(df, "month", k)
@@ -878,5 +893,6 @@ add(
     "o01_arriving_events",
     o01_events,
     f"""SELECT CAST(ts AS DATE) AS date, event_type, count(*) AS row_count, {S.r('sum(value)', 'total')}
-        FROM events GROUP BY ALL""",
+        FROM events GROUP BY CAST(ts AS DATE), event_type
+        HAVING CAST(ts AS DATE) + 1 <= (SELECT max(ts) - INTERVAL 2 DAY FROM events)""",
 )

@@ -469,6 +469,17 @@ for suffix, keys in SERIES.items():
 
 for suffix, keys in list(SERIES.items())[:2]:
     on = S.lead_list(keys, "month")
+    add(
+        f"g02_top_per_series{suffix}",
+        lambda s, d, keys=keys: rollup.top_category(
+            categories(s, d, keys).groupBy(*keys, "product_category_name").agg(F.sum("item_count").alias("item_count")),
+            keys,
+        ),
+        f"""WITH {S.BASE}, {S.items(keys)}, n AS (SELECT {S.lead_list(keys, 'product_category_name')},
+              sum(item_count) AS n FROM cats GROUP BY ALL)
+            SELECT {S.lead_list(keys, 'product_category_name AS top_category')} FROM n
+            QUALIFY row_number() OVER ({S.part(keys)} ORDER BY n DESC, product_category_name) = 1""",
+    )
     add(
         f"d08_distinct_customers{suffix}",
         lambda s, d, keys=keys: rollup.distinct_per_group(

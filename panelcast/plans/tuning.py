@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
@@ -9,12 +10,20 @@ from dataclasses import dataclass
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelcast.functions.errors import mape
 from panelcast.operators import ridge
-from panelcast.operators.selection import VECTOR, assemble
+from panelcast.operators.ranking import leaderboard
+from panelcast.operators.scoring import score
+from panelcast.operators.selection import (
+    VECTOR,
+    Selection,
+    SelectionSettings,
+    assemble,
+    select_features,
+)
 from panelcast.operators.splits import with_folds
 from panelcast.operators.trees import Candidate
 
@@ -177,8 +186,83 @@ def pooled_forecasts(model: PipelineModel, df: DataFrame, name: str, label: str,
 
 
 def leaderboard_with_params(scores: DataFrame, tuned: list[Tuned]) -> DataFrame:
-    """Attach the chosen settings to the score rows, as JSON text."""
+    """Attach the chosen settings to the score rows, as text."""
+    if not tuned:
+        return scores.withColumn("best_params", F.lit(None).cast("string"))
     settings = F.create_map(
         *[F.lit(x) for t in tuned for x in (t.name, str(sorted(t.point.items())))]
     )
     return scores.withColumn("best_params", settings[F.col("model")])
+
+
+# --- the whole choice ---------------------------------------------------------------
+
+
+@dataclass
+class TuningResult:
+    """What a tuning run hands on: the refitted model, its features, and how it was chosen."""
+
+    model: PipelineModel
+    winner: Tuned
+    features: list[str]
+    selection: Selection
+    leaderboard: DataFrame
+    cutoff: dt.date
+
+    def metadata(self, spark: SparkSession) -> DataFrame:
+        row = (
+            self.winner.name,
+            str(sorted(self.winner.point.items())),
+            self.winner.cv_mape,
+            self.features,
+            str(self.cutoff),
+        )
+        schema = "best_model string, best_point string, cv_mape double, feature_names array<string>, trained_to string"
+        return spark.createDataFrame([row], schema)
+
+
+def tune(
+    rows: DataFrame,
+    features: list[str],
+    label: str,
+    period: str,
+    series_keys: list[str],
+    train_end: dt.date,
+    backtest_end: dt.date,
+    wanted: list[str],
+    known: dict[str, Candidate],
+    settings: SelectionSettings = SelectionSettings(),
+    n_splits: int = 4,
+    points: int | None = None,
+) -> TuningResult:
+    """Select features and settings on the training phase, report on the backtest, refit on both.
+
+    ``rows`` is read several times and should be a staged or cached supervised set.  The
+    winner is the candidate with the best score on the folds; the backtest is only
+    reported, so that its errors stay honest.
+    """
+    target = F.col("target_period")
+    train = rows.where(target <= F.lit(train_end))
+    test = rows.where((target > F.lit(train_end)) & (target <= F.lit(backtest_end)))
+    chosen = select_features(train, features, label, lambda d, k: with_folds(d, period, k), settings)
+    kept = chosen.features
+    tuned = search(train, kept, label, period, wanted, known, n_splits, points)
+    if not tuned:
+        raise ValueError("none of the candidates is known")
+    parts = [
+        pooled_forecasts(fit_tuned(train, t, known, kept, label), test, t.name, label, series_keys) for t in tuned
+    ]
+    forecasts = parts[0]
+    for part in parts[1:]:
+        forecasts = forecasts.unionByName(part)
+    scores = leaderboard_with_params(score(forecasts, ["model"]), tuned)
+    best = min(tuned, key=lambda t: (t.cv_mape, t.name))
+    scope = rows.where(target <= F.lit(backtest_end))
+    return TuningResult(
+        model=fit_tuned(scope, best, known, kept, label),
+        winner=best,
+        features=kept,
+        selection=chosen,
+        leaderboard=leaderboard(scores, []),
+        cutoff=backtest_end,
+    )

@@ -103,28 +103,20 @@ def daily_additive(arrivals: DataFrame, ts: str, keys: list[str], value: str, la
     )
 
 
-
 def follow_daily_additive(
     arrivals: DataFrame, ts: str, keys: list[str], value: str, lateness: str, target: str, progress: str
 ) -> StreamingQuery:
-    """Keep the mergeable daily table of :func:`daily_additive` as parquet.
+    """Write each day of :func:`daily_additive` once it is closed.
 
-    Each trigger emits the day × series cells that changed; every cell is a partition
-    of its own, so rewriting it leaves the others alone and a replay changes nothing.
+    A day is closed when the newest event is ``lateness`` past its end; until then it is
+    state.  Facts that may come later than that belong to :func:`follow`.
     """
-
-    def step(batch: DataFrame, _: int) -> None:
-        (
-            batch.write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("date", *keys)
-            .parquet(target)
-        )
-
     return (
         daily_additive(arrivals, ts, keys, value, lateness)
-        .writeStream.outputMode("update")
-        .foreachBatch(step)
+        .writeStream.outputMode("append")
+        .format("parquet")
+        .partitionBy("date")
+        .option("path", target)
         .option("checkpointLocation", progress)
         .trigger(availableNow=True)
         .start()
