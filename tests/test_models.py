@@ -182,3 +182,22 @@ def test_no_cross_join_without_series(spark, rows):
     assert out.where("y_pred is null").isEmpty()
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_tune_reports_the_backtest_and_refits(spark, rows):
+    known = candidates(forest_trees=5, boost_rounds=(2,))
+    settings = selection.SelectionSettings(trees=5, depth=3, at_least=3, at_most=5, step=4)
+    result = tuning.tune(
+        rows, PICK, "label", "month", ["nation"], dt.date(2001, 3, 1), dt.date(2001, 6, 1),
+        ["linear", "random_forest", "unknown"], known, settings, n_splits=2, points=1,
+    )
+    board = result.leaderboard.collect()
+    assert {r.model for r in board} == {"linear", "random_forest"} and result.winner.name in {"linear", "random_forest"}
+    meta = result.metadata(spark).first()
+    assert meta.best_model == result.winner.name and meta.feature_names == result.features
+    assert result.model.transform(rows).where("prediction is null").isEmpty()
+    with pytest.raises(ValueError):
+        tuning.tune(
+            rows, PICK, "label", "month", ["nation"], dt.date(2001, 3, 1), dt.date(2001, 6, 1),
+            ["unknown"], known, settings, n_splits=2,
+        )

@@ -191,6 +191,50 @@ def executed(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_hot_customer_is_split_at_run_time(spark):
+    """A customer with most orders, and no broadcast: the join splits its partition."""
+    n = 60_000
+    rng = np.random.default_rng(5)
+    ids = np.where(rng.random(n) < 0.5, 7, rng.integers(0, 3000, n))
+    orders = spark.createDataFrame(
+        pd.DataFrame(
+            {
+                "order_id": np.arange(n),
+                "customer_id": ids,
+                "order_purchase_timestamp": pd.Timestamp("2020-01-01") + pd.to_timedelta(np.arange(n) % 300, unit="D"),
+            }
+        )
+    ).repartition(16)
+    customers = spark.createDataFrame(
+        pd.DataFrame({"customer_id": np.arange(3000), "customer_unique_id": [f"u{i // 2}" for i in range(3000)]})
+    )
+    empty = orders.limit(0)
+    facts = Facts(orders, empty, empty, empty, customers, empty)
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20000",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "50000",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    }
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        joined = order_level.with_customers(order_level.dated_orders(facts, MONTH), facts, [])
+        counts = joined.groupBy("customer_unique_id").agg(
+            F.count("order_id").alias("count"), F.max(order_level.ORDER_TS), F.sum("order_id")
+        )
+        got = {r.customer_unique_id: r["count"] for r in counts.collect()}
+        plan = counts._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k in settings:
+            spark.conf.unset(k)
+    assert "skew=true" in plan
+    want = pd.Series(ids // 2).map(lambda i: f"u{i}").value_counts().to_dict()
+    assert got == want
+
+
 def test_plans(spark):
     facts, bounds = retail_facts(spark, SF), Bounds(before=dt.date(2001, 8, 1))
     plan = executed(monthly_table(facts, bounds, ["nation"]))
