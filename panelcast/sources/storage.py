@@ -43,8 +43,8 @@ def write_table(df: DataFrame, path: str) -> None:
 
 
 def write_report(df: DataFrame, path: str) -> None:
-    """A small result (leaderboard, metrics, metadata) as JSON lines."""
-    df.coalesce(1).write.mode("overwrite").json(path)
+    """A report (leaderboard, metrics, metadata) as JSON lines; panels may have long ones."""
+    df.write.mode("overwrite").json(path)
 
 
 def write_cutoff(df: DataFrame, path: str, cutoff: str) -> None:
