@@ -8,14 +8,19 @@ the newest row just the features the model reads.
 from __future__ import annotations
 
 import re
+import sys
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelcast.functions.calendar import Grain
 
+# Workers get these functions with the job and need not have the package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 _WINDOWED = re.compile(r"(.+)_(lag|roll_mean|roll_std|roll_min|roll_max|ema)_(\d+)$")
 _RATIOS = {
     "revenue_per_order": ("daily_revenue", "total_orders"),

@@ -7,13 +7,19 @@ Only the p × p solve runs in Python, on Arrow batches of packed moments.
 
 from __future__ import annotations
 
+import sys
+
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelcast.operators.windows import SeriesWindow
 
+# Workers get the solver with the job and need not have the package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # The penalties searched.
 ALPHAS = (0.01, 0.1, 0.5, 1.0, 2.0, 5.0, 10.0, 20.0, 50.0, 100.0, 200.0, 500.0)
 

@@ -1,6 +1,9 @@
 """Registered queries against their SQL on the smallest tables."""
 
+import os
 import re
+import subprocess
+import sys
 
 import pytest
 
@@ -40,3 +43,22 @@ def test_inventory_is_covered():
 @pytest.mark.parametrize("name", SAMPLE)
 def test_against_sql(spark, name):
     assert compare(spark, connect(SF), QUERIES[name], SQL[name], SF) == ""
+
+
+def test_python_workers_do_not_need_the_package(tmp_path):
+    """Loaded by path from another folder, queries with Python tasks still run."""
+    root = os.path.dirname(os.path.abspath(entry.__file__))
+    script = f"""
+import importlib.util
+spec = importlib.util.spec_from_file_location("given", {root!r} + "/__spark_entry__.py")
+given = importlib.util.module_from_spec(spec)
+spec.loader.exec_module(given)
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config(
+    "spark.sql.shuffle.partitions", "2").getOrCreate()
+for name in ("k03_ridge_coefficients", "k14_recursive"):
+    assert given.queries()[name](spark, {SF!r}).count() > 0
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", script], cwd=tmp_path, env=env, capture_output=True, timeout=240)
+    assert done.returncode == 0, done.stderr.decode()[-2000:]
