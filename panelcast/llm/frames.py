@@ -92,5 +92,34 @@ def running_total(df: DataFrame, order: list[str], value: str, out: str, key: st
     return joined.select(*[F.col(f"`{c}`") for c in names], (F.col("_sum") + F.col("_offset")).alias(out))
 
 
-Batches = Iterator[pa.RecordBatch]
-Task = Callable[[Batches], Batches]
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, text: str = "text") -> DataFrame:
+    """(doc_id, label 0/1, text) of at most ``rows`` labelled documents that are not held out.
+
+    Chosen by a hash of the doc_id, so a rerun takes the same.  A doc_id labelled twice
+    counts by its larger label, one with several texts by the smallest.  Null labels and
+    null doc_ids are left out.  The chosen ids, at most ``rows``, are broadcast.
+    """
+    known = (
+        labels.select("doc_id", F.col(label).cast("int").alias("label"))
+        .filter(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1) & (label_split(F.col("doc_id")) != 2))
+        .groupBy("doc_id")
+        .agg(F.max("label").alias("label"))
+    )
+    met = known.join(docs.select("doc_id").filter("doc_id is not null").distinct(), "doc_id", "left_semi")
+    chosen = met.orderBy(F.xxhash64("doc_id", F.lit(label)), "doc_id").limit(rows)
+    texts = docs.select("doc_id", text_or_empty(text).alias("text")).join(F.broadcast(chosen), "doc_id")
+    return texts.groupBy("doc_id").agg(F.first("label").alias("label"), F.min("text").alias("text"))
+
+
+def with_python(df: DataFrame, columns: list[str], out: str, function: Callable[[list[pa.Array]], pa.Array]) -> DataFrame:
+    """``df`` and one more column, made of ``columns`` by an Arrow function in the tasks."""
+    names = df.columns
+    at = [names.index(c) for c in columns]
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            new = function([batch.column(i) for i in at])
+            yield pa.RecordBatch.from_arrays([*batch.columns, new], names=[*names, out.split()[0]])
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+    return df.mapInArrow(task, f"{kinds}, {out}")

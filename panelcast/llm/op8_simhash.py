@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelcast.llm import components, words
+from panelcast.llm.frames import with_python
 from panelcast.session import stage
 
 BITS = 64
@@ -82,20 +83,15 @@ def majority(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return out
 
 
-def fingerprint(docs: DataFrame, shingle: int = 4, seed: int = 42, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The columns ``keep`` and ``fp``, the fingerprint as a signed long."""
-    keep = ["doc_id"] if keep is None else keep
+def fingerprint(docs: DataFrame, shingle: int = 4, seed: int = 42, text: str = "text") -> DataFrame:
+    """doc_id, ``digest`` (a hash of the text) and ``fp``, the fingerprint as a signed long."""
+    rows = docs.select("doc_id", F.xxhash64(text).alias("digest"), F.col(text).alias("_text"))
 
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            column = batch.column(len(keep))
-            fps = [fingerprints_of(column.slice(a, b - a), shingle, seed) for a, b in words.batches_of(column)]
-            fp = np.concatenate(fps) if fps else np.empty(0, np.uint64)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(fp.view(np.int64))], names=[*keep, "fp"])
+    def task(columns: list[pa.Array]) -> pa.Array:
+        parts = [fingerprints_of(columns[0].slice(a, b - a), shingle, seed) for a, b in words.batches_of(columns[0])]
+        return pa.array(np.concatenate([np.empty(0, np.uint64), *parts]).view(np.int64))
 
-    rows = docs.select(*keep, F.col(text).alias("_text"))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(task, f"{kinds}, fp long")
+    return with_python(rows, ["_text"], "fp long", task).drop("_text")
 
 
 def boxes(segments: int) -> list[tuple[int, int]]:
@@ -250,14 +246,11 @@ def label(prints: DataFrame, pairs: DataFrame) -> DataFrame:
     """Components of ``pairs`` brought to the rows of ``prints``."""
     roots = components.connected(pairs)
     smallest = prints.groupBy("fp").agg(F.min("doc_id").alias("_least"))
-    grouped = smallest.join(roots, F.col("fp") == F.col("node"), "left").select(
-        "fp", "_least", F.coalesce("root", "fp").alias("root")
-    )
-    # one row per component of several fingerprints; most fingerprints stand alone
-    several = grouped.join(roots, F.col("fp") == F.col("node"), "left_semi")
-    least = several.groupBy("root").agg(F.min("_least").alias("component_id"))
+    grouped = smallest.join(roots, F.col("fp") == F.col("node"), "left")
+    # fingerprints that stand alone need no second look
+    least = grouped.filter("root is not null").groupBy("root").agg(F.min("_least").alias("_all"))
     named = grouped.join(least, "root", "left").select(
-        F.col("fp").alias("_fp"), F.coalesce("component_id", "_least").alias("component_id")
+        F.col("fp").alias("_fp"), F.when(F.col("root").isNull(), F.col("_least")).otherwise(F.col("_all")).alias("component_id")
     )
     return prints.join(named, F.col("fp") == F.col("_fp")).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
@@ -268,12 +261,20 @@ def deduplicate(docs: DataFrame, shingle: int = 5, max_bits: int = 8, segments:
     """The rows of ``docs``, one of each group of near copies: that of the smallest doc_id.
 
     Eight of 64 bits stand for an angle whose cosine is 0.92, which sets of five-word
-    shingles reach at a similarity of 0.8 to 0.9.  Of rows that repeat the smallest
-    doc_id, one stays; a group without any doc_id keeps one row as well.
+    shingles reach at a similarity of 0.8 to 0.9.  A null doc_id counts as larger than
+    any other; of rows that repeat both doc_id and text, one stays.
     """
     prints = stage(fingerprint(docs, shingle), "fingerprints")
-    fps = prints.select("fp").distinct()
-    named = label(prints, links(fps, max_bits, segments, **settings)).select("doc_id", "component_id").distinct()
-    heads = named.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_head"))
-    kept = docs.join(heads, F.col("doc_id").eqNullSafe(F.col("_head")), "left_semi")
-    return kept
+    roots = components.connected(links(prints.select("fp").distinct(), max_bits, segments, **settings))
+    rank = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "digest")
+    heads = prints.groupBy("fp").agg(F.min(rank).alias("head"))
+    heads = heads.join(roots, F.col("fp") == F.col("node"), "left")
+    heads = heads.groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("head").alias("head")).select("head.*")
+    heads = heads.select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_digest"))
+    repeated = (
+        prints.groupBy(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest")).count().filter("count > 1").drop("count")
+    )
+    kept = docs.join(heads, same, "left_semi")
+    once = kept.join(repeated, same, "left_anti")
+    return once.unionByName(kept.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "text"]))

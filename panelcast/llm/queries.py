@@ -6,15 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelcast.llm import op8_simhash
+from panelcast.llm import op5_toxicity, op7_quality, op8_simhash
 from panelcast.llm.frames import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
+def op5_toxicity_grammar(spark: SparkSession, folder: str) -> DataFrame:
+    return op5_toxicity.classify(read_table(spark, folder, "documents"), read_table(spark, folder, "labels"))
+
+
+def op7_quality_nbsvm(spark: SparkSession, folder: str) -> DataFrame:
+    return op7_quality.classify(read_table(spark, folder, "documents"), read_table(spark, folder, "labels"))
+
+
 def op8_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return op8_simhash.near_duplicates(read_table(spark, folder, "documents"))
 
 
-QUERIES["op8_simhash_near_dedup"] = op8_simhash_near_dedup
+QUERIES |= {f.__name__: f for f in (op5_toxicity_grammar, op7_quality_nbsvm, op8_simhash_near_dedup)}
