@@ -38,8 +38,8 @@ from panelcast.session import stage
 
 FIT_ROWS = 20_000  # labelled documents the lexicon may be learned from
 THRESHOLD = 0.3
-LEAST_TEXTS = 3  # toxic texts a learned term must newly explain
-PURITY = 0.95  # share of toxic texts among those that hold a learned term
+LEAST_TEXTS = 2  # toxic texts a learned term must newly explain
+PURITY = 0.8  # share of toxic texts among those that hold a learned term
 STEMS = range(4, 9)  # characters of a word's beginning
 
 # The starting vocabulary.
