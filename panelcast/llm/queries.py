@@ -6,13 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelcast.llm import op5_toxicity, op7_quality, op8_simhash
+from panelcast.llm import op2_tokens, op3_mixing, op5_toxicity, op7_quality, op8_simhash
 from panelcast.llm.frames import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
+def op2_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    return op2_tokens.count_tokens(read_table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op3_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return op3_mixing.mix(read_table(spark, folder, "documents"))
+
+
 def op5_toxicity_grammar(spark: SparkSession, folder: str) -> DataFrame:
     return op5_toxicity.classify(read_table(spark, folder, "documents"), read_table(spark, folder, "labels"))
 
@@ -25,4 +35,8 @@ def op8_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return op8_simhash.near_duplicates(read_table(spark, folder, "documents"))
 
 
-QUERIES |= {f.__name__: f for f in (op5_toxicity_grammar, op7_quality_nbsvm, op8_simhash_near_dedup)}
+QUERIES |= {
+    f.__name__: f
+    for f in (op2_token_counts, op3_source_mixing, op5_toxicity_grammar, op7_quality_nbsvm, op8_simhash_near_dedup)
+}
+SQL |= {"op3_source_mixing": op3_mixing.SQL}
