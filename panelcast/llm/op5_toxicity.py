@@ -168,7 +168,7 @@ def lookup(table: dict[int, tuple[int, float]], h: np.ndarray) -> tuple[np.ndarr
 
 def margins(column: pa.Array, lex: Lexicon) -> np.ndarray:
     """Margin of each text; 0 where nothing matches."""
-    w = words.split(column, classes=_CLASSES)
+    w = words.split(words.folded(column), classes=_CLASSES)
     out = np.zeros(len(column))
     if not len(w.starts):
         return out
@@ -193,10 +193,9 @@ def margins(column: pa.Array, lex: Lexicon) -> np.ndarray:
 
 
 def terms(text: str) -> set[str]:
-    """Words of a text and their beginnings (with ``*``), A-Z lowered."""
-    found = set(re.findall(r"[A-Za-z\x80-\U0010FFFF]+", text))
-    lowered = {re.sub("[A-Z]", lambda m: m[0].lower(), t) for t in found}
-    return lowered | {t[:n] + "*" for t in lowered for n in STEMS if len(t) >= n}
+    """Words of a text and their beginnings (with ``*``), in lower case."""
+    found = set(re.findall(r"[a-z\x80-\U0010FFFF]+", text.lower()))
+    return found | {t[:n] + "*" for t in found for n in STEMS if len(t) >= n}
 
 
 def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = FIT_ROWS) -> Lexicon:
@@ -223,7 +222,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int =
     def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b in words.batches_of(batch.column(0)):
-                w = words.split(batch.column(0).slice(a, b - a), classes=_CLASSES)
+                w = words.split(words.folded(batch.column(0).slice(a, b - a)), classes=_CLASSES)
                 text = w.text_of()
                 for size, known in wanted.items():
                     ends = prefix_ends(w, size) if size else w.ends

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelcast.llm import op2_tokens, op3_mixing, op5_toxicity, op7_quality, op8_simhash
+from panelcast.llm import op2_tokens, op3_mixing, op4_decontam, op5_toxicity, op7_quality, op8_simhash
 from panelcast.llm.frames import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,6 +23,10 @@ def op3_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return op3_mixing.mix(read_table(spark, folder, "documents"))
 
 
+def op4_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return op4_decontam.contaminated(read_table(spark, folder, "documents"), read_table(spark, folder, "benchmark"))
+
+
 def op5_toxicity_grammar(spark: SparkSession, folder: str) -> DataFrame:
     return op5_toxicity.classify(read_table(spark, folder, "documents"), read_table(spark, folder, "labels"))
 
@@ -37,6 +41,13 @@ def op8_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES |= {
     f.__name__: f
-    for f in (op2_token_counts, op3_source_mixing, op5_toxicity_grammar, op7_quality_nbsvm, op8_simhash_near_dedup)
+    for f in (
+        op2_token_counts,
+        op3_source_mixing,
+        op4_benchmark_decontamination,
+        op5_toxicity_grammar,
+        op7_quality_nbsvm,
+        op8_simhash_near_dedup,
+    )
 }
 SQL |= {"op3_source_mixing": op3_mixing.SQL}

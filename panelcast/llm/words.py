@@ -63,6 +63,11 @@ def slices(data: np.ndarray, space: np.ndarray = _SPACE) -> list[tuple[int, int]
     return out
 
 
+def folded(column: pa.Array) -> pa.Array:
+    """The texts in lower case, beyond ASCII as well."""
+    return pc.utf8_lower(column)
+
+
 def split(column: pa.Array, lower: bool = True, classes: np.ndarray | None = None) -> Words:
     """Words are longest runs of bytes of one class; class 0 separates.
 
