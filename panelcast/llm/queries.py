@@ -6,7 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelcast.llm import op2_tokens, op3_mixing, op4_decontam, op5_toxicity, op7_quality, op8_simhash
+from panelcast.llm import (
+    op2_tokens,
+    op3_mixing,
+    op4_decontam,
+    op5_toxicity,
+    op6_urls,
+    op7_quality,
+    op8_simhash,
+    op10_sharding,
+)
 from panelcast.llm.frames import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,6 +40,10 @@ def op5_toxicity_grammar(spark: SparkSession, folder: str) -> DataFrame:
     return op5_toxicity.classify(read_table(spark, folder, "documents"), read_table(spark, folder, "labels"))
 
 
+def op6_url_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return op6_urls.judge(read_table(spark, folder, "pages"), op6_urls.rule_table(spark))
+
+
 def op7_quality_nbsvm(spark: SparkSession, folder: str) -> DataFrame:
     return op7_quality.classify(read_table(spark, folder, "documents"), read_table(spark, folder, "labels"))
 
@@ -39,6 +52,10 @@ def op8_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return op8_simhash.near_duplicates(read_table(spark, folder, "documents"))
 
 
+def op10_extendible_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    return op10_sharding.assign(read_table(spark, folder, "documents"))
+
+
 QUERIES |= {
     f.__name__: f
     for f in (
@@ -46,8 +63,14 @@ QUERIES |= {
         op3_source_mixing,
         op4_benchmark_decontamination,
         op5_toxicity_grammar,
+        op6_url_rules,
         op7_quality_nbsvm,
         op8_simhash_near_dedup,
+        op10_extendible_sharding,
     )
 }
-SQL |= {"op3_source_mixing": op3_mixing.SQL}
+SQL |= {
+    "op3_source_mixing": op3_mixing.SQL,
+    "op6_url_rules": op6_urls.SQL,
+    "op10_extendible_sharding": op10_sharding.SQL,
+}
