@@ -14,6 +14,7 @@ from panelcast.llm import (
     op6_urls,
     op7_quality,
     op8_simhash,
+    op9_warc,
     op10_sharding,
 )
 from panelcast.llm.frames import read_table
@@ -52,6 +53,10 @@ def op8_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return op8_simhash.near_duplicates(read_table(spark, folder, "documents"))
 
 
+def op9_warc_normaliser(spark: SparkSession, folder: str) -> DataFrame:
+    return op9_warc.round_trip(read_table(spark, folder, "pages"))
+
+
 def op10_extendible_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return op10_sharding.assign(read_table(spark, folder, "documents"))
 
@@ -66,11 +71,13 @@ QUERIES |= {
         op6_url_rules,
         op7_quality_nbsvm,
         op8_simhash_near_dedup,
+        op9_warc_normaliser,
         op10_extendible_sharding,
     )
 }
 SQL |= {
     "op3_source_mixing": op3_mixing.SQL,
     "op6_url_rules": op6_urls.SQL,
+    "op9_warc_normaliser": op9_warc.SQL,
     "op10_extendible_sharding": op10_sharding.SQL,
 }
