@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from panelcast.llm import (
+    op1_voronoi,
     op2_tokens,
     op3_mixing,
     op4_decontam,
@@ -23,6 +24,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
+def op1_voronoi_knn_join(spark: SparkSession, folder: str) -> DataFrame:
+    return op1_voronoi.search(read_table(spark, folder, "embeddings"))
+
+
 def op2_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     import public_tokenizers
 
@@ -64,6 +69,7 @@ def op10_extendible_sharding(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES |= {
     f.__name__: f
     for f in (
+        op1_voronoi_knn_join,
         op2_token_counts,
         op3_source_mixing,
         op4_benchmark_decontamination,
@@ -76,6 +82,7 @@ QUERIES |= {
     )
 }
 SQL |= {
+    "op1_voronoi_knn_join": op1_voronoi.SQL,
     "op3_source_mixing": op3_mixing.SQL,
     "op6_url_rules": op6_urls.SQL,
     "op9_warc_normaliser": op9_warc.SQL,
