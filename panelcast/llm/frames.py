@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from panelcast.session import stage
 
@@ -36,6 +37,14 @@ def tasks(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+def packed(docs: DataFrame, *needed: str) -> DataFrame:
+    """``needed`` columns beside ``_doc``, the whole row; so no column of ``docs`` can clash with an operator's own.
+
+    ``select("_doc.*")`` gives the rows back.
+    """
+    return docs.select(*needed, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"))
+
+
 def running_total(df: DataFrame, order: list[str], value: str, out: str, key: str | None = None) -> DataFrame:
     """Adds ``out``: the sum of ``value`` over the rows up to this one, per ``key`` if given.
 
@@ -78,7 +87,7 @@ def running_total(df: DataFrame, order: list[str], value: str, out: str, key: st
             yield pa.RecordBatch.from_arrays(columns, names=[*names, "_part", "_sum"])
 
     cut = df.repartitionByRange(n, *by, *order).sortWithinPartitions(*by, *order)
-    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in df.schema.fields)}, _part long, _sum long"
+    schema = T.StructType([*df.schema.fields, T.StructField("_part", T.LongType()), T.StructField("_sum", T.LongType())])
     dealt = stage(cut.mapInArrow(add, schema), f"running-{out}")
     ends = dealt.groupBy("_part", *by).agg(F.max("_sum").alias("_end"))
     window = "PARTITION BY " + (f"`{key}`" if key else "1") + " ORDER BY _part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
@@ -111,7 +120,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, t
     return texts.groupBy("doc_id").agg(F.first("label").alias("label"), F.min("text").alias("text"))
 
 
-def with_python(df: DataFrame, columns: list[str], out: str, function: Callable[[list[pa.Array]], pa.Array]) -> DataFrame:
+def with_python(df: DataFrame, columns: list[str], out: str, kind: T.DataType, function: Callable[[list[pa.Array]], pa.Array]) -> DataFrame:
     """``df`` and one more column, made of ``columns`` by an Arrow function in the tasks."""
     names = df.columns
     at = [names.index(c) for c in columns]
@@ -119,7 +128,6 @@ def with_python(df: DataFrame, columns: list[str], out: str, function: Callable[
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             new = function([batch.column(i) for i in at])
-            yield pa.RecordBatch.from_arrays([*batch.columns, new], names=[*names, out.split()[0]])
+            yield pa.RecordBatch.from_arrays([*batch.columns, new], names=[*names, out])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    return df.mapInArrow(task, f"{kinds}, {out}")
+    return df.mapInArrow(task, T.StructType([*df.schema.fields, T.StructField(out, kind)]))

@@ -20,7 +20,7 @@ from math import ceil, log2
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelcast.llm.frames import running_total, text_or_empty, total
+from panelcast.llm.frames import packed, running_total, text_or_empty, total
 from panelcast.session import stage
 
 LIMIT = 1 << 20  # bytes of text in a shard
@@ -110,26 +110,27 @@ def overflow(rows: DataFrame, limit: int) -> DataFrame:
 
 
 def sharded(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """The rows of ``docs`` with shard, depth and shard_bytes.
+    """The rows of ``docs`` with shard, depth and shard_bytes, which replace columns of these names.
 
-    Rows that repeat doc_id and text are alike; each takes one of their places.
+    Rows alike in every column take their places one by one, whichever is which.
     """
-    names = [F.col(f"`{c}`") for c in docs.columns]
-    row = F.xxhash64(*names)
-    placed = assign(docs, limit, [row.alias("_row")])
-    places = placed.groupBy(F.col("doc_id").alias("_id"), F.col("_row").alias("_key"), "shard", "depth", "shard_bytes").agg(
-        F.count("*").alias("_times")
-    )
-    places = stage(places, "shard-places")
-    repeated = places.groupBy("_id", "_key").agg(F.sum("_times").alias("_all")).filter("_all > 1")
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (row == F.col("_key"))
-    plain = places.join(repeated, places["_id"].eqNullSafe(repeated["_id"]) & (places["_key"] == repeated["_key"]), "left_anti")
-    several = places.join(repeated, places["_id"].eqNullSafe(repeated["_id"]) & (places["_key"] == repeated["_key"]), "left_semi")
     to = ["shard", "depth", "shard_bytes"]
-    once = docs.join(plain, same).select(*names, *to)
-    heads = docs.join(repeated, same, "left_semi").withColumn("_row_key", row).dropDuplicates(["doc_id", "_row_key"])
-    again = heads.join(several, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_row_key") == F.col("_key")))
-    return once.unionByName(again.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*names, *to))
+    own = [c for c in docs.columns if c.lower() not in to]
+    rows = packed(docs.select(*[F.col(f"`{c}`") for c in own]), "doc_id", "text")
+    row = F.xxhash64("_doc")
+    placed = assign(rows, limit, [row.alias("_row")])
+    spot = F.struct(*to)
+    spots = placed.groupBy(F.col("doc_id").alias("_id"), F.col("_row").alias("_key")).agg(F.min(spot).alias("_spot"), F.max(spot).alias("_last"))
+    spots = stage(spots, "shard-places")
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (row == F.col("_key"))
+    once = rows.join(spots.filter("_spot = _last"), same).select("_doc.*", "_spot.*")
+    # rows that repeat a key and lie on several pages
+    several = spots.filter("_spot <> _last").select("_id", "_key")
+    key = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_row") == F.col("_key"))
+    pages = placed.join(several, key, "left_semi").groupBy("doc_id", "_row", *to).agg(F.count("*").alias("_times"))
+    head = rows.join(several, same).groupBy("_id", "_key").agg(F.min("_doc").alias("_doc"))
+    again = pages.join(head, key).withColumn("_n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times"))))
+    return once.unionByName(again.select("_doc.*", *to))
 
 
 def write(docs: DataFrame, folder: str, limit: int = LIMIT) -> None:

@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from panelcast.llm import words
 from panelcast.llm.frames import text_or_empty, with_python
@@ -169,7 +170,7 @@ def count_tokens(
             made.append(tokenizer(vocabulary))
         return pa.array(counts(columns[0], made[0].encode_batch_fast))
 
-    done = [with_python(rows.filter(fits), ["text"], "n_tokens long", whole).drop("text")]
+    done = [with_python(rows.filter(fits), ["text"], "n_tokens", T.LongType(), whole).drop("text")]
     if margin is not None:
         todo = stage(rows.filter(~fits).withColumn("uid", F.monotonically_increasing_id()), "long-texts")
         while not todo.isEmpty():

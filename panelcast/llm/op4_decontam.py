@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelcast.llm import words
+from panelcast.llm.frames import packed
 from panelcast.session import stage
 
 # The seeds. Six of eleven words count; the first and last always do.
@@ -233,4 +234,4 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     bad = matches(docs, benchmark).select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest")).distinct()
     bad = stage(bad, "contaminated")
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_digest"))
-    return docs.join(bad, same, "left_anti")
+    return packed(docs, "doc_id", "text").join(bad, same, "left_anti").select("_doc.*")

@@ -30,6 +30,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from panelcast.llm import words
 from panelcast.llm.frames import label_split, labelled_sample, with_python
@@ -252,7 +253,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int =
     picked = rows_left.coalesce(1).mapInPandas(cover, "term string, weight double").collect()
     lex = lexicon([(r.term, r.weight) for r in picked])
     if n1 and n0:
-        found = with_python(sample, ["text"], "margin double", lambda c: pa.array(margins(c[0], lex)))
+        found = with_python(sample, ["text"], "margin", T.DoubleType(), lambda c: pa.array(margins(c[0], lex)))
         rows = found.select("margin", "label").toPandas()  # two numbers a row of the bounded sample
         lex.slope, lex.shift = sigmoid(rows.margin.to_numpy(), rows.label.to_numpy())
     return lex
@@ -282,7 +283,7 @@ def score(docs: DataFrame, lex: Lexicon, out: str = "score", text: str = "text")
         parts = [np.empty(0), *(margins(columns[0].slice(a, b - a), lex) for a, b in words.batches_of(columns[0]))]
         return pa.array(1 / (1 + np.exp(-np.clip(lex.slope * np.concatenate(parts) + lex.shift, -500, 500))))
 
-    return with_python(docs, [text], f"{out} double", task)
+    return with_python(docs, [text], out, T.DoubleType(), task)
 
 
 def classify(docs: DataFrame, labels: DataFrame, label: str = "toxic", threshold: float = THRESHOLD) -> DataFrame:

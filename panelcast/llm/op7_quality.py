@@ -20,9 +20,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from panelcast.llm import words
-from panelcast.llm.frames import label_split, labelled_sample, with_python
+from panelcast.llm.frames import label_split, labelled_sample, packed, with_python
 from panelcast.session import stage
 
 FIT_ROWS = 12_000  # labelled documents the fit may read
@@ -195,7 +196,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int =
             bounds.append(p[1:] + bounds[-1][-1])
         return pa.ListArray.from_arrays(np.concatenate(bounds).astype(np.int32), pa.array(np.concatenate(ids).astype(np.int32)))
 
-    features = with_python(sample, ["text"], "ids array<int>", featurise).select("doc_id", "label", "ids")
+    features = with_python(sample, ["text"], "ids", T.ArrayType(T.IntegerType()), featurise).select("doc_id", "label", "ids")
     features = stage(features, "quality-features")
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -233,7 +234,7 @@ def score(docs: DataFrame, model: Model, out: str = "score", text: str = "text")
             parts.append(model.scores(*indicators(columns[0].slice(a, b - a))))
         return pa.array(np.concatenate(parts))
 
-    return with_python(docs, [text], f"{out} double", task)
+    return with_python(docs, [text], out, T.DoubleType(), task)
 
 
 def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", threshold: float = THRESHOLD) -> DataFrame:
@@ -249,5 +250,5 @@ def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", thresho
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` whose score reaches the threshold."""
-    names = docs.columns
-    return score(docs, fit(docs, labels), "_score").filter(F.col("_score") >= threshold).select(*[F.col(f"`{c}`") for c in names])
+    rows = packed(docs, "text")
+    return score(rows, fit(docs, labels), "_score").filter(F.col("_score") >= threshold).select("_doc.*")

@@ -27,9 +27,10 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from panelcast.llm import components, words
-from panelcast.llm.frames import with_python
+from panelcast.llm.frames import packed, with_python
 from panelcast.session import stage
 
 BITS = 64
@@ -91,7 +92,7 @@ def fingerprint(docs: DataFrame, shingle: int = 4, seed: int = 42, text: str = "
         parts = [fingerprints_of(columns[0].slice(a, b - a), shingle, seed) for a, b in words.batches_of(columns[0])]
         return pa.array(np.concatenate([np.empty(0, np.uint64), *parts]).view(np.int64))
 
-    return with_python(rows, ["_text"], "fp long", task).drop("_text")
+    return with_python(rows, ["_text"], "fp", T.LongType(), task).drop("_text")
 
 
 def boxes(segments: int) -> list[tuple[int, int]]:
@@ -266,15 +267,12 @@ def deduplicate(docs: DataFrame, shingle: int = 5, max_bits: int = 8, segments:
     """
     prints = stage(fingerprint(docs, shingle), "fingerprints")
     roots = components.connected(links(prints.select("fp").distinct(), max_bits, segments, **settings))
-    rank = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "digest")
-    heads = prints.groupBy("fp").agg(F.min(rank).alias("head"))
-    heads = heads.join(roots, F.col("fp") == F.col("node"), "left")
-    heads = heads.groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("head").alias("head")).select("head.*")
-    heads = heads.select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"))
+    rank = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"), (F.col("count") > 1).alias("_more"))
+    heads = prints.groupBy("fp", "doc_id", "digest").count().groupBy("fp").agg(F.min(rank).alias("head"))
+    heads = heads.join(roots, F.col("fp") == F.col("node"), "left").groupBy(F.coalesce("root", "fp")).agg(F.min("head").alias("head"))
+    heads = stage(heads.select("head._id", "head._digest", "head._more"), "group-heads")
+    rows = packed(docs, "doc_id", "text")
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_digest"))
-    repeated = (
-        prints.groupBy(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest")).count().filter("count > 1").drop("count")
-    )
-    kept = docs.join(heads, same, "left_semi")
-    once = kept.join(repeated, same, "left_anti")
-    return once.unionByName(kept.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "text"]))
+    once = rows.join(heads.filter("not _more"), same, "left_semi")
+    alike = rows.join(heads.filter("_more"), same).groupBy("_id", "_digest").agg(F.min("_doc").alias("_doc"))
+    return once.select("_doc.*").unionByName(alike.select("_doc.*"))
