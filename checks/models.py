@@ -66,7 +66,7 @@ for suffix, keys in TWO:
     add(
         f"k02_seasonal_ahead{suffix}",
         lambda s, d, keys=keys: baselines.seasonal_ahead(days(s, d, keys), DAY, keys, 31, 7),
-        f"""WITH {S.days(keys)}, h AS (SELECT *, row_number() OVER ({S.part(keys)} ORDER BY date DESC) AS back FROM days),
+        f"""WITH {S.days(keys).replace('days AS (', 'days AS MATERIALIZED (')}, h AS MATERIALIZED (SELECT *, row_number() OVER ({S.part(keys)} ORDER BY date DESC) AS back FROM days),
             e AS (SELECT *, unnest(range(1, 32)) AS step FROM h WHERE back = 1)
             SELECT {S.lead_list([f'e.{k}' for k in keys], 'step')}, e.date + CAST(step AS INTEGER) AS period,
             {S.r('coalesce(h.daily_revenue, e.daily_revenue)', 'y_pred')} FROM e LEFT JOIN h ON {same}""",
@@ -788,7 +788,7 @@ for suffix, keys in TWO:
         f"n03_bias_runs{suffix}",
         lambda s, d, keys=keys: monitoring.bias_runs(monthly_errors(s, d, keys), [*keys, "model"]),
         f"""WITH {monthly_errors_sql(keys)}, sg AS (SELECT *, CAST(sign(bias) AS BIGINT) AS bias_sign,
-              row_number() OVER (PARTITION BY {by} ORDER BY period)
+              year(period) * 12 + month(period)
               - row_number() OVER (PARTITION BY {by}, sign(bias) ORDER BY period) AS run FROM me)
             SELECT {by}, bias_sign, min(period) AS first_period, max(period) AS last_period, count(*) AS months
             FROM sg WHERE bias_sign <> 0 GROUP BY {by}, bias_sign, run HAVING count(*) > 2""",
@@ -813,7 +813,7 @@ for suffix, keys in TWO:
               100 * avg(abs(y - p) / greatest(abs(y), 1e-9)) AS mape FROM fc GROUP BY {by}, month),
             b AS (SELECT {by}, avg(mape) AS baseline_mape FROM me GROUP BY {by}),
             ro AS (SELECT {by}, period, avg(mape) OVER w AS rolling_mape, count(mape) OVER w AS n FROM me
-              WINDOW w AS (PARTITION BY {by} ORDER BY period ROWS BETWEEN 2 PRECEDING AND CURRENT ROW))
+              WINDOW w AS (PARTITION BY {by} ORDER BY year(period) * 12 + month(period) RANGE BETWEEN 2 PRECEDING AND CURRENT ROW))
             SELECT {by}, period, {S.r('rolling_mape', 'rolling_mape')}, {S.r('baseline_mape', 'baseline_mape')},
             rolling_mape > 1.3 * baseline_mape AS drifted FROM ro JOIN b USING ({by}) WHERE n = 3""",
     )
@@ -883,8 +883,9 @@ def o01_events(s, d):
     schema = read_tables(s, d, ["events"])["events"].schema
     stream = s.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
     target = staging_path(s, "target")
-    incremental.follow_daily_additive(
-        stream, "ts", ["event_type"], "value", "2 days", target, staging_path(s, "progress")
+    incremental.follow(
+        stream, DAY, "ts", incremental.daily_sums(DAY, ["event_type"], "value"),
+        staging_path(s, "store"), target, staging_path(s, "progress"),
     ).awaitTermination()
     return s.read.parquet(target)
 
@@ -893,6 +894,5 @@ add(
     "o01_arriving_events",
     o01_events,
     f"""SELECT CAST(ts AS DATE) AS date, event_type, count(*) AS row_count, {S.r('sum(value)', 'total')}
-        FROM events GROUP BY CAST(ts AS DATE), event_type
-        HAVING CAST(ts AS DATE) + 1 <= (SELECT max(ts) - INTERVAL 2 DAY FROM events)""",
+        FROM events GROUP BY CAST(ts AS DATE), event_type""",
 )

@@ -359,8 +359,8 @@ def july(s, d, keys):
 def july_sql(keys):
     on = S.lead_list(keys, "date")
     same = " AND ".join([*[f"e.{k} = h.{k}" for k in keys], "h.back = 7 - ((step - 1) % 7)"])
-    return f"""{S.days(keys)},
-    hist AS (SELECT *, row_number() OVER ({S.part(keys)} ORDER BY date DESC) AS back
+    return f"""{S.days(keys).replace('days AS (', 'days AS MATERIALIZED (')},
+    hist AS MATERIALIZED (SELECT *, row_number() OVER ({S.part(keys)} ORDER BY date DESC) AS back
              FROM days WHERE date <= DATE '2001-06-30'),
     ends AS (SELECT {S.lead_list(keys, 'date AS last', 'daily_revenue AS v')},
              unnest(generate_series(1, 35)) AS step FROM hist WHERE back = 1),

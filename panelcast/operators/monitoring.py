@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from panelcast.functions.numeric import ratio
 
+MONTH_INDEX = "year(period) * 12 + month(period)"  # consecutive months differ by one
+
 # The thresholds of the rules.
 MAPE_ALERT = 15.0
 BIAS_MONTHS = 2
@@ -21,12 +23,13 @@ def mape_alerts(scores: DataFrame, limit: float = MAPE_ALERT) -> DataFrame:
 
 
 def bias_runs(monthly_bias: DataFrame, groups: list[str], longer_than: int = BIAS_MONTHS) -> DataFrame:
-    """Runs of consecutive rows whose bias keeps one sign, longer than the limit."""
-    w = Window.partitionBy(*groups).orderBy("period")
+    """Runs of consecutive months whose bias keeps one sign, longer than the limit.
+
+    A month that is missing or has no bias ends a run.
+    """
     signed = monthly_bias.withColumn("bias_sign", F.signum("bias").cast("int"))
-    in_all = F.row_number().over(w)
     in_sign = F.row_number().over(Window.partitionBy(*groups, "bias_sign").orderBy("period"))
-    runs = signed.where(F.col("bias").isNotNull()).withColumn("_run", in_all - in_sign)
+    runs = signed.where(F.col("bias").isNotNull()).withColumn("_run", F.expr(MONTH_INDEX) - in_sign)
     return (
         runs.where(F.col("bias_sign") != 0)
         .groupBy(*groups, "bias_sign", "_run")
@@ -52,11 +55,11 @@ def realization(forecasts: DataFrame, groups: list[str], band: tuple[float, floa
 def mape_drift(
     monthly_mape: DataFrame, groups: list[str], baseline: DataFrame | float, factor: float = MAPE_DRIFT
 ) -> DataFrame:
-    """Three-month rolling MAPE against the baseline; full windows only.
+    """Three-month rolling MAPE against the baseline; only where all three months are there.
 
     ``baseline`` is one number or a frame with one ``baseline_mape`` per group.
     """
-    w = Window.partitionBy(*groups).orderBy("period").rowsBetween(-2, 0)
+    w = Window.partitionBy(*groups).orderBy(F.expr(MONTH_INDEX)).rangeBetween(-2, 0)
     rolled = monthly_mape.withColumns(
         {"rolling_mape": F.avg("mape").over(w), "_n": F.count("mape").over(w)}
     ).where(F.col("_n") == 3)

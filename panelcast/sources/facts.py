@@ -96,12 +96,14 @@ RAW_SCHEMAS: dict[str, T.StructType] = {
 def read_raw_csv(
     spark: SparkSession, folder: str, files: dict[str, str] | None = None
 ) -> dict[str, DataFrame]:
-    """The raw tables as CSV with a header line; ``files`` maps table name to file name."""
+    """The raw tables as CSV with a header line; ``files`` maps table name to file name.
+
+    Only reviews hold text with line ends; the other files can be split between tasks.
+    """
     files = files or {name: f"{name}.csv" for name in RAW_SCHEMAS}
     reader = spark.read.option("header", True).option("quote", '"').option("escape", '"')
-    reader = reader.option("multiLine", True)
     return {
-        name: reader.schema(RAW_SCHEMAS[name]).csv(f"{folder}/{file}")
+        name: reader.schema(RAW_SCHEMAS[name]).csv(f"{folder}/{file}", multiLine=name == "reviews")
         for name, file in files.items()
     }
 

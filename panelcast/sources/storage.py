@@ -6,22 +6,36 @@ from pyspark.ml import Model, PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from panelcast.functions.calendar import Bounds
+
+
+def is_complete(spark: SparkSession, path: str) -> bool:
+    """Whether the job that wrote ``path`` committed: Spark leaves its mark last."""
+    mark = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark)
+
 
 def materialise_once(tables: dict[str, DataFrame], folder: str) -> dict[str, DataFrame]:
-    """Write each raw table as parquet unless it is there already; read the copies."""
+    """Write each raw table as parquet unless a complete copy is there already; read the copies."""
     out = {}
     for name, df in tables.items():
         path = f"{folder}/{name}"
-        df.write.mode("ignore").parquet(path)
+        if not is_complete(df.sparkSession, path):
+            df.write.mode("overwrite").parquet(path)
         out[name] = df.sparkSession.read.parquet(path)
     return out
 
 
 def write_periods(df: DataFrame, path: str, period: str) -> None:
-    """Period table in one folder per year; only the years written are replaced."""
+    """Period table in one folder per year; only the years written are replaced.
+
+    The rows of a year are gathered first, in as many tasks as their size asks for, so
+    that folders hold few files.
+    """
     part = "period_year"
     (
         df.withColumn(part, F.year(period))
+        .hint("rebalance", F.col(part))
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(part)
@@ -29,13 +43,22 @@ def write_periods(df: DataFrame, path: str, period: str) -> None:
     )
 
 
-def read_periods(spark: SparkSession, path: str) -> tuple[DataFrame, str]:
-    """Period table and the name of its period column (``date`` before ``month``)."""
-    df = spark.read.parquet(path).drop("period_year")
-    for name in ("date", "month"):
-        if name in df.columns:
-            return df.withColumn(name, F.to_date(name)), name
-    raise ValueError(f"no period column in {path}")
+def read_periods(spark: SparkSession, path: str, bounds: Bounds | None = None) -> tuple[DataFrame, str]:
+    """Period table and the name of its period column (``date`` before ``month``).
+
+    With ``bounds`` only the folders of their years are read.
+    """
+    df = spark.read.parquet(path)
+    name = next((c for c in ("date", "month") if c in df.columns), None)
+    if name is None:
+        raise ValueError(f"no period column in {path}")
+    if bounds is not None:
+        if bounds.start is not None:
+            df = df.where(F.col("period_year") >= F.lit(bounds.start.year))
+        if bounds.before is not None:
+            df = df.where(F.col("period_year") <= F.lit(bounds.before.year))
+        df = bounds.keep(df, name)
+    return df.drop("period_year").withColumn(name, F.to_date(name)), name
 
 
 def write_table(df: DataFrame, path: str) -> None:
@@ -59,11 +82,10 @@ def write_cutoff(df: DataFrame, path: str, cutoff: str) -> None:
 
 
 def read_cutoff(spark: SparkSession, path: str, cutoff: str | None = None) -> DataFrame:
-    """One version, or the newest one."""
+    """One version, or the newest one; only its folder is read."""
     df = spark.read.parquet(path)
     if cutoff is None:
-        newest = df.agg(F.max("cutoff").alias("cutoff"))
-        return df.join(newest, "cutoff", "left_semi")
+        cutoff = df.agg(F.max("cutoff")).first()[0]  # a partition column: no data is read for it
     return df.where(F.col("cutoff") == F.lit(cutoff).cast("date"))
 
 

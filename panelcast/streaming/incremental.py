@@ -20,19 +20,10 @@ from panelcast.functions.calendar import Grain
 Recompute = Callable[[DataFrame], DataFrame]
 
 
-def touched_periods(batch: DataFrame, period: str) -> list:
-    """Distinct periods of a batch; the calendar bounds their number."""
-    return [r[0] for r in batch.select(period).distinct().collect()]
-
-
-WRITERS = 4  # tasks that share the rows of one period when a batch is stored
-
-
-def spread(df: DataFrame, period: str, writers: int) -> DataFrame:
-    """Gather the rows of a period in ``writers`` tasks: few files, and no task alone
-    with a period that holds most of the batch."""
-    salt = F.pmod(F.xxhash64(*df.columns), F.lit(writers))
-    return df.repartition(F.col(period), salt)
+def touched_periods(store: DataFrame, batch_id: int, period: str) -> list:
+    """Periods a stored batch has rows of, from its folders; the calendar bounds their number."""
+    own = store.where(F.col("_batch") == F.lit(batch_id))
+    return [r[0] for r in own.select(period).distinct().collect()]
 
 
 def absorb(
@@ -43,23 +34,27 @@ def absorb(
     recompute: Recompute,
     store: str,
     target: str,
-    writers: int = WRITERS,
 ) -> None:
-    """Add one micro-batch and bring the touched periods up to date."""
+    """Add one micro-batch and bring the touched periods up to date.
+
+    The batch is read once, when it is stored; its rows are gathered by period in tasks
+    of about equal size, however many rows one period has.
+    """
     spark: SparkSession = batch.sparkSession
     dated = batch.where(F.col(ts).isNotNull()).withColumn(grain.period, grain.bucket(F.col(ts)))
     (
-        spread(dated, grain.period, writers)
+        dated.hint("rebalance", F.col(grain.period))
         .withColumn("_batch", F.lit(batch_id))
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(grain.period, "_batch")
         .parquet(store)
     )
-    periods = touched_periods(dated, grain.period)
+    stored = spark.read.schema(dated.schema.add("_batch", "long")).parquet(store)
+    periods = touched_periods(stored, batch_id, grain.period)
     if not periods:
         return
-    known = spark.read.schema(dated.schema).parquet(store).where(F.col(grain.period).isin(periods))
+    known = stored.drop("_batch").where(F.col(grain.period).isin(periods))
     (
         recompute(known)
         .repartition(grain.period)
@@ -92,32 +87,12 @@ def follow(
     )
 
 
-def daily_additive(arrivals: DataFrame, ts: str, keys: list[str], value: str, lateness: str) -> DataFrame:
-    """Streaming daily sums and counts per series, for metrics that merge."""
-    zoned = arrivals.withColumn(ts, F.col(ts).cast("timestamp"))
-    return (
-        zoned.withWatermark(ts, lateness)
-        .groupBy(F.window(ts, "1 day"), *keys)
-        .agg(F.count(F.lit(1)).alias("row_count"), F.sum(value).alias("total"))
-        .select(F.to_date("window.start").alias("date"), *keys, "row_count", "total")
-    )
-
+def daily_sums(grain: Grain, keys: list[str], value: str) -> Recompute:
+    """Rows and sum of a value per period and series, for :func:`follow`."""
 
-def follow_daily_additive(
-    arrivals: DataFrame, ts: str, keys: list[str], value: str, lateness: str, target: str, progress: str
-) -> StreamingQuery:
-    """Write each day of :func:`daily_additive` once it is closed.
+    def recompute(known: DataFrame) -> DataFrame:
+        return known.groupBy(grain.period, *keys).agg(
+            F.count(F.lit(1)).alias("row_count"), F.sum(value).alias("total")
+        )
 
-    A day is closed when the newest event is ``lateness`` past its end; until then it is
-    state.  Facts that may come later than that belong to :func:`follow`.
-    """
-    return (
-        daily_additive(arrivals, ts, keys, value, lateness)
-        .writeStream.outputMode("append")
-        .format("parquet")
-        .partitionBy("date")
-        .option("path", target)
-        .option("checkpointLocation", progress)
-        .trigger(availableNow=True)
-        .start()
-    )
+    return recompute

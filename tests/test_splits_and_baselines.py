@@ -140,3 +140,13 @@ def test_population_stability(spark):
     same = monitoring.population_stability(df, "same", "date", ["key"], cut).first().psi
     moved = monitoring.population_stability(df, "moved", "date", ["key"], cut).first().psi
     assert abs(same) < 1e-9 and moved > 1.0
+
+
+def test_runs_and_rolling_errors_stop_at_a_missing_month(spark):
+    months = ["2020-01-01", "2020-02-01", "2020-03-01", "2020-05-01", "2020-06-01"]
+    df = spark.createDataFrame([("a", m, 1.0, 10.0 * i) for i, m in enumerate(months)], "key string, period string, bias double, mape double")
+    df = df.withColumn("period", F.to_date("period"))
+    runs = monitoring.bias_runs(df, ["key"]).collect()
+    assert [(r.months, str(r.first_period), str(r.last_period)) for r in runs] == [(3, "2020-01-01", "2020-03-01")]
+    rolled = monitoring.mape_drift(df, ["key"], 5.0).collect()
+    assert [(str(r.period), r.rolling_mape, r.drifted) for r in rolled] == [("2020-03-01", 10.0, True)]

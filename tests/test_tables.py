@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from panelcast.functions.calendar import DAY, MONTH, Bounds
 from panelcast.operators import order_level, rollup
 from panelcast.plans.period_tables import daily_table, monthly_table
+from panelcast.session import staging_path
+from panelcast.sources import storage
 from panelcast.sources.facts import RAW_SCHEMAS, Facts, read_raw_csv, table_sizes
 from panelcast.sources.star_schema import retail_facts
 
@@ -261,3 +263,32 @@ def test_distinct_counts_are_exact(spark):
 
 def test_grain_labels():
     assert MONTH.period == "month" and DAY.revenue == "daily_revenue"
+
+
+def test_stored_periods_are_pruned_by_year(spark):
+    path = staging_path(spark, "periods")
+    days = spark.sql("SELECT explode(sequence(DATE '2019-01-01', DATE '2021-12-31')) AS date, 1.0 AS daily_revenue")
+    storage.write_periods(days, path, "date")
+    table, name = storage.read_periods(spark, path, Bounds(dt.date(2020, 3, 1), dt.date(2020, 4, 1)))
+    assert name == "date" and table.count() == 31 and table.columns == ["date", "daily_revenue"]
+    plan = executed(table)
+    assert "(period_year#" in plan and ">= 2020)" in plan.split("PartitionFilters")[1].split("]")[0]
+    assert storage.read_periods(spark, path)[0].count() == days.count()
+
+
+def test_newest_version_reads_its_folder_only(spark):
+    path = staging_path(spark, "versions")
+    for cutoff in ("2020-01-01", "2020-02-01"):
+        storage.write_cutoff(spark.range(3).withColumn("v", F.lit(cutoff)), path, cutoff)
+    newest = storage.read_cutoff(spark, path)
+    assert {r.v for r in newest.collect()} == {"2020-02-01"}
+    assert "= 2020-02-01)" in executed(newest).split("PartitionFilters")[1].split("]")[0]
+
+
+def test_a_write_that_died_is_done_again(spark):
+    folder = staging_path(spark, "raw")
+    spark.range(2).write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", False).parquet(f"{folder}/t")
+    assert not storage.is_complete(spark, f"{folder}/t")
+    for _ in range(2):
+        assert storage.materialise_once({"t": spark.range(5)}, folder)["t"].count() == 5
+    assert storage.materialise_once({"t": spark.range(9)}, folder)["t"].count() == 5
