@@ -82,9 +82,9 @@ def record() -> Column:
 
 
 def write(pages: DataFrame, folder: str, least: int = LEAST) -> None:
-    """Archives of one gzip stream each, about as large as Spark's advisory partitions."""
+    """Archives of one gzip stream each, one for each of Spark's partitions."""
     rows = with_types(pages, least).select(record().alias("value"))
-    rows.hint("rebalance").write.option("compression", "gzip").option("lineSep", "\r\n\r\n").text(folder)
+    rows.write.option("compression", "gzip").option("lineSep", "\r\n\r\n").text(folder)
 
 
 def open_store(path: str):
