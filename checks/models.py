@@ -153,10 +153,10 @@ for suffix, keys in TWO:
 ALPHAS = ", ".join(str(a) for a in ridge.ALPHAS)
 
 
-def cv_sql(keys, k=4):
-    """CV score of every penalty: fold moments, slopes, test errors."""
+def cv_sql(keys, k=4, panel=None):
+    """CV score of every penalty: fold moments, slopes, test errors; ``panel`` for one model over its series."""
     by, fold_by = S.lead_list(keys, ""), S.lead_list(keys, "fold")
-    return f"""{pair_sql(keys)}, tr AS (SELECT * FROM sup WHERE target_period <= DATE '{TRAIN_END}'),
+    return f"""{pair_sql(panel or keys)}, tr AS (SELECT * FROM sup WHERE target_period <= DATE '{TRAIN_END}'),
     axis AS (SELECT month, row_number() OVER (ORDER BY month) - 1 AS position, count(*) OVER () AS n
              FROM (SELECT DISTINCT month FROM tr)),
     folds AS (SELECT month, position, fold, n - ({k} - fold) * (n // {k + 1}) AS start, n // {k + 1} AS size
@@ -387,8 +387,15 @@ MANY = [
     "month_num",
     "month_sin",
 ]
-SMALL = candidates(forest_trees=20, boost_rounds=(5, 10))
-QUICK = selection.SelectionSettings(trees=10, depth=5)
+KNOWN = candidates()
+# The whole grids of a forest and of boosting are hours of fits; these are explicit smaller ones.
+GRIDS = {
+    "random_forest": tuple({"maxDepth": 5, "featureSubsetStrategy": f} for f in ("sqrt", "0.5")),
+    "gradient_boosting": ({"maxIter": 200, "stepSize": 0.05, "maxDepth": 2},),
+    "hist_gradient_boosting": ({"maxIter": 100, "stepSize": 0.1, "maxDepth": 3},),
+}
+FEWER = candidates(grids=GRIDS)
+CONFIGURED = ["ridge", "random_forest", "gradient_boosting", "hist_gradient_boosting"]
 
 
 def many_rows(s, d):
@@ -400,7 +407,7 @@ def fitted_scores(s, d, name):
     rows = many_rows(s, d)
     train = rows.where(F.col("target_period") <= F.lit(TRAIN_END))
     test = rows.where(F.col("target_period").between(F.lit(BACKTEST_START), F.lit(BACKTEST_END)))
-    model = tuning.fit_tuned(train, tuning.Tuned(name, SMALL[name].grid[0], 0.0), SMALL, MANY, "label")
+    model = tuning.fit_tuned(train, tuning.Tuned(name, KNOWN[name].grid[0], 0.0), KNOWN, MANY, "label")
     return tuning.pooled_forecasts(model, test, name, "label", ["nation"])
 
 
@@ -421,12 +428,11 @@ add(
 def k09_pooled(s, d):
     rows = many_rows(s, d)
     train = rows.where(F.col("target_period") <= F.lit(TRAIN_END))
-    names = ["naive_last", "random_forest", "gradient_boosting", "unknown"]
-    best = tuning.search(train, MANY, "label", "month", names, SMALL, n_splits=2, points=2)
+    best = tuning.search(train, MANY, "label", "month", ["ridge", "random_forest"], FEWER)
     test = rows.where(F.col("target_period").between(F.lit(BACKTEST_START), F.lit(BACKTEST_END)))
     parts = [
         scoring.score(
-            tuning.pooled_forecasts(tuning.fit_tuned(train, t, SMALL, MANY, "label"), test, t.name, "label", []),
+            tuning.pooled_forecasts(tuning.fit_tuned(train, t, FEWER, MANY, "label"), test, t.name, "label", []),
             ["model"],
         )
         for t in best
@@ -438,6 +444,90 @@ def k09_pooled(s, d):
 
 
 add("k09_pooled_search", k09_pooled)
+
+# One split on a feature of few values is a least-squares fit that SQL can find: MLlib then tries every
+# cut between two values.  A boosted second round fits twice what the first leaves over.
+SPLIT = ["year_no", "month_num"]
+
+
+def split_rows(s, d):
+    return staged_pair(s, d).withColumns({"year_no": F.year("month"), "month_num": F.month("month")})
+
+
+def one_split(s, d, name, **settings):
+    rows = split_rows(s, d)
+    known = candidates()[name]
+    stump = type(known)(name, known.kind, known.settings | {"maxDepth": 1, "featureSubsetStrategy": "all"} | settings)
+    train = rows.where(F.col("target_period") <= F.lit(TRAIN_END))
+    test = rows.where(F.col("target_period") > F.lit(TRAIN_END))
+    model = tuning.fit_pipeline(train, stump, SPLIT, "label")
+    return cents(tuning.pooled_forecasts(model, test, name, "label", ["nation"]))
+
+
+def stump_sql(target, rows, out):
+    """CTE ``out``: the feature, cut and the two means of the best single split of ``target`` over ``rows``."""
+    cuts = " UNION ALL ".join(
+        f"SELECT {i} AS f, {c} AS cut, avg(t) FILTER ({c}_ <= {c}) AS low, avg(t) FILTER ({c}_ > {c}) AS high,"
+        f" count(*) FILTER ({c}_ <= {c}) AS nl, count(*) FILTER ({c}_ > {c}) AS nh"
+        f" FROM (SELECT DISTINCT {c} FROM {rows}) CROSS JOIN (SELECT {c} AS {c}_, {target} AS t FROM {rows}) GROUP BY {c}"
+        for i, c in enumerate(SPLIT)
+    )
+    # the split that leaves the least squares is the one whose means are furthest from the mean of all
+    return f"""{out} AS (SELECT * FROM ({cuts}) WHERE nl > 0 AND nh > 0
+        ORDER BY nl * nh * (low - high) * (low - high) / (nl + nh) DESC LIMIT 1)"""
+
+
+def stump_value(out):
+    return f"CASE WHEN (CASE {out}.f WHEN 0 THEN year_no ELSE month_num END) <= {out}.cut THEN {out}.low ELSE {out}.high END"
+
+
+SPLIT_ROWS = f"""{pair_sql(['nation'])}, sr AS (SELECT nation, month, target_period, label, year(month) AS year_no,
+      month(month) AS month_num FROM sup), st AS (SELECT * FROM sr WHERE target_period <= DATE '{TRAIN_END}'), {stump_sql('label', 'st', 's1')}"""
+ONE = f"""WITH {SPLIT_ROWS} SELECT nation, 'MODEL' AS model, target_period AS period, {S.r('label', 'y_true', 2)},
+    {S.r(stump_value('s1'), 'y_pred', 2)} FROM sr CROSS JOIN s1 WHERE target_period > DATE '{TRAIN_END}'"""
+TWICE = f"""WITH {SPLIT_ROWS}, sv AS (SELECT st.*, 2 * (label - {stump_value('s1')}) AS rest FROM st CROSS JOIN s1),
+    {stump_sql('rest', 'sv', 's2')}
+    SELECT nation, 'MODEL' AS model, target_period AS period, {S.r('label', 'y_true', 2)},
+    {S.r(f"{stump_value('s1')} + 0.1 * {stump_value('s2')}", 'y_pred', 2)}
+    FROM sr CROSS JOIN s1 CROSS JOIN s2 WHERE target_period > DATE '{TRAIN_END}'"""
+BARE = {"numTrees": 1, "bootstrap": False}
+BOOST = {"maxIter": 2, "stepSize": 0.1, "subsamplingRate": 1.0}
+add("k04_one_split", lambda s, d: one_split(s, d, "random_forest", **BARE), ONE.replace("MODEL", "random_forest"))
+add("k07_one_split", lambda s, d: one_split(s, d, "extra_trees", **BARE), ONE.replace("MODEL", "extra_trees"))
+add("k05_two_rounds", lambda s, d: one_split(s, d, "gradient_boosting", **BOOST), TWICE.replace("MODEL", "gradient_boosting"))
+add("k06_two_rounds", lambda s, d: one_split(s, d, "hist_gradient_boosting", **BOOST), TWICE.replace("MODEL", "hist_gradient_boosting"))
+STUMP = selection.SelectionSettings(
+    correlation_limit=1.01, trees=1, depth=1, step=1, at_least=1, at_most=1, bootstrap=False
+)
+
+
+def stump_rows(s, d):
+    return split_rows(s, d).where(F.col("target_period") <= F.lit(TRAIN_END))
+
+
+def stump_chain(s, d):
+    return selection.select_features(stump_rows(s, d), SPLIT, "label", lambda df, k: with_folds(df, "month", k), STUMP)
+
+
+BEST_FEATURE = "CASE f WHEN 0 THEN 'year_no' ELSE 'month_num' END"
+add(
+    "j05_ranking_of_one_split",
+    lambda s, d: selection.importance_table(s, selection.importances(stump_rows(s, d), SPLIT, "label", STUMP)),
+    f"""WITH {SPLIT_ROWS}, r AS (SELECT unnest(['year_no', 'month_num']) AS feature)
+        SELECT row_number() OVER (ORDER BY feature <> {BEST_FEATURE}) AS place, feature,
+        CAST(feature = {BEST_FEATURE} AS INT) AS importance FROM r CROSS JOIN s1""",
+)
+add(
+    "j03_elimination_to_one",
+    lambda s, d: s.createDataFrame([(c,) for c in dict(stump_chain(s, d).stages)["elimination"]], "feature string"),
+    f"WITH {SPLIT_ROWS} SELECT {BEST_FEATURE} AS feature FROM s1",
+)
+add(
+    "j07_chain_of_one_split",
+    lambda s, d: stump_chain(s, d).funnel(s),
+    """SELECT * FROM (VALUES (0, 'original', 2), (1, 'variance', 2), (2, 'correlation', 2), (3, 'elimination', 1))
+       t(stage_no, stage, feature_count)""",
+)
 # Linear models have a closed form: MLlib's fits on one or two features are checked by SQL.
 # Cents are compared, since MLlib solves in another order of operations.
 
@@ -454,7 +544,7 @@ def k08_linear(s, d):
     rows = staged_pair(s, d)
     train = rows.where(F.col("target_period") <= F.lit(TRAIN_END))
     test = rows.where(F.col("target_period").between(F.lit(BACKTEST_START), F.lit(BACKTEST_END)))
-    model = tuning.pipeline(SMALL["linear"], [X1], "label").fit(train)
+    model = tuning.fit_pipeline(train, KNOWN["linear"], [X1], "label")
     return cents(tuning.pooled_forecasts(model, test, "linear", "label", ["nation"]))
 
 
@@ -471,12 +561,29 @@ add(
     k08_linear,
     f"WITH {pair_sql(['nation'])} " + line_sql(BACKTEST_START, FINAL, f"target_period <= DATE '{TRAIN_END}'"),
 )
+def f08_model(s, d):
+    """The line fitted to log(1 + label), its forecasts back on the scale of the label."""
+    rows = staged_pair(s, d)
+    train = rows.where(F.col("target_period") <= F.lit(TRAIN_END))
+    test = rows.where(F.col("target_period").between(F.lit(BACKTEST_START), F.lit(BACKTEST_END)))
+    model = tuning.fit_pipeline(train, KNOWN["linear"], [X1], "label", log_target=True)
+    return cents(tuning.pooled_forecasts(model, test, "linear", "label", ["nation"]))
+
+
+add(
+    "f08_log_target_model",
+    f08_model,
+    f"""WITH {pair_sql(['nation'])} SELECT nation, 'linear' AS model, target_period AS period, {S.r('label', 'y_true', 2)},
+      {S.r(f'exp(a + b * {X1}) - 1', 'y_pred', 2)} FROM sup JOIN (SELECT regr_intercept(ln(1 + label), {X1}) AS a,
+      regr_slope(ln(1 + label), {X1}) AS b FROM sup WHERE target_period <= DATE '{TRAIN_END}') f ON true
+      WHERE target_period >= DATE '{BACKTEST_START}' AND target_period < DATE '{FINAL}'""",
+)
 REFITS = [dt.date(2001, 4, 1), dt.date(2001, 5, 1), dt.date(2001, 6, 1)]
 add(
     "i06_pooled_backtest",
     lambda s, d: cents(
         backtest.pooled_backtest(
-            staged_pair(s, d), SMALL["linear"], {}, [X1], "label", "month", ["nation"], REFITS, FINAL
+            staged_pair(s, d), KNOWN["linear"], {}, [X1], "label", "month", ["nation"], REFITS, FINAL
         )
     ),
     f"WITH {pair_sql(['nation'])} "
@@ -548,8 +655,8 @@ add(
 
 def k14_forest(s, d):
     rows = many_rows(s, d)
-    tuned = tuning.Tuned("random_forest", SMALL["random_forest"].grid[0], 0.0)
-    model = tuning.fit_tuned(rows, tuned, SMALL, MANY, "label")
+    tuned = tuning.Tuned("random_forest", KNOWN["random_forest"].grid[0], 0.0)
+    model = tuning.fit_tuned(rows, tuned, KNOWN, MANY, "label")
     return forecast.recursive_pooled(months(s, d, ["nation"]), model, CFG, MONTH, ["nation"], MANY, 3)
 
 
@@ -560,7 +667,7 @@ def k11_pooled(s, d):
     rows, names = trained(s, d, ["nation"], False)
     result = tuning.tune(
         stage(rows, "supervised"), names, "label", "month", ["nation"], TRAIN_END, BACKTEST_END,
-        ["random_forest", "linear"], SMALL, QUICK, n_splits=2, points=1,
+        CONFIGURED, FEWER,
     )
     path = staging_path(s, "metadata")
     storage.write_report(result.metadata(s), path)
@@ -572,6 +679,35 @@ def k11_pooled(s, d):
 add("k11_tune_and_select", k11_pooled)
 
 
+def k11_ridge(s, d):
+    """The pooled ridge with all its penalties and both baselines, on two features."""
+    settings = selection.SelectionSettings(correlation_limit=1.01)
+    result = tuning.tune(
+        staged_pair(s, d), PAIR, "label", "month", ["nation"], TRAIN_END, BACKTEST_END,
+        ["seasonal_naive_12", "ridge"], KNOWN, settings,
+    )
+    return result.leaderboard.select("model", "mape", "best_params", "place")
+
+
+AFTER = f"target_period > DATE '{TRAIN_END}' AND target_period <= DATE '{BACKTEST_END}'"
+LAST = "OVER (PARTITION BY nation ORDER BY target_period)"
+add(
+    "k11_tune_ridge_and_baselines",
+    k11_ridge,
+    f"""WITH {cv_sql([], 4, ['nation'])}, m2 AS (SELECT {moments_sql()} FROM tr),
+        g2_ AS (SELECT *, {slopes_sql('alpha')} FROM m2 JOIN best ON true),
+        past AS (SELECT target_period, label AS y, lag(label) {LAST} AS p1,
+          coalesce(lag(label, 12) {LAST}, lag(label) {LAST}) AS p12 FROM sup),
+        fc AS (SELECT 'ridge' AS model, label AS y, {PREDICT} AS p FROM sup JOIN g2_ ON true WHERE {AFTER}
+          UNION ALL SELECT 'naive_last', y, p1 FROM past WHERE {AFTER}
+          UNION ALL SELECT 'seasonal_naive_12', y, p12 FROM past WHERE {AFTER}),
+        sc AS (SELECT model, 100 * avg(abs(y - p) / greatest(abs(y), 1e-9)) AS raw FROM fc GROUP BY model)
+        SELECT model, {S.r('raw', 'mape')}, row_number() OVER (ORDER BY raw, model) AS place,
+          CASE WHEN model = 'ridge' THEN (SELECT '[(''alpha'', ' || CAST(CAST(alpha AS DOUBLE) AS VARCHAR) || ')]' FROM best) END AS best_params
+        FROM sc""",
+)
+
+
 def a07_table(s, d):
     path = staging_path(s, "coefficients")
     storage.write_table(k11(s, d, ["nation"]), path)
@@ -600,32 +736,25 @@ def folds(df, k):
     return with_folds(df, "month", k)
 
 
-def full_selection(s, d, settings=QUICK):
+def full_selection(s, d, settings=selection.SelectionSettings()):
     rows, names = training_rows(s, d, ["nation"])
     return rows, selection.select_features(rows, names, "label", folds, settings)
 
 
-def j03(s, d):
-    rows, names = training_rows(s, d, ["nation"])
-    left = selection.exact_stages(rows, names).features
-    kept = selection.eliminate(folds(rows, 2), left, "label", QUICK, range(2))
+def stage_of(s, d, stage_name):
+    """Features in order after one stage of the whole chain; after its end, if it had no need of the stage."""
+    stages = full_selection(s, d)[1].stages
+    kept = dict(stages).get(stage_name, stages[-1][1])
     return s.createDataFrame([(i, c) for i, c in enumerate(kept)], "place int, feature string")
 
 
-def j04(s, d):
-    rows, names = training_rows(s, d, ["nation"])
-    left = selection.exact_stages(rows, names).features
-    ranked = selection.importances(rows, left, "label", QUICK)
-    return selection.importance_table(s, ranked[:20])
-
-
 def j08(s, d):
     """The same pooled ridge on all features and on the selected ones."""
     rows, names = trained(s, d, ["nation"], False)
     rows = stage(rows, "supervised")
     train = rows.where(F.col("target_period") <= F.lit(TRAIN_END))
     test = rows.where(F.col("target_period") > F.lit(TRAIN_END))
-    chosen = selection.exact_stages(train, names).features
+    chosen = selection.select_features(train, names, "label", folds).features
     parts = [
         tuning.pooled_forecasts(tuning.pooled_ridge(train, cols, "label", 10.0), test, label, "label", ["nation"])
         for label, cols in (("all_features", names), ("selected_features", chosen))
@@ -633,8 +762,8 @@ def j08(s, d):
     return scoring.score(parts[0].unionByName(parts[1]), ["model"])
 
 
-add("j03_elimination", j03)
-add("j04_cap_by_importance", j04)
+add("j03_elimination", lambda s, d: stage_of(s, d, "elimination"))
+add("j04_cap_by_importance", lambda s, d: stage_of(s, d, "cap"))
 add("j05_importance_ranking", lambda s, d: selection.importance_table(s, full_selection(s, d)[1].ranking))
 add("j07_select_features", lambda s, d: full_selection(s, d)[1].funnel(s))
 add("j08_all_against_selected", j08)

@@ -77,6 +77,7 @@ class SelectionSettings:
     at_least: int = 10
     at_most: int = 20
     seed: int = 42
+    bootstrap: bool = True
 
 
 def _forest(vector: str, label: str, settings: SelectionSettings) -> RandomForestRegressor:
@@ -86,6 +87,7 @@ def _forest(vector: str, label: str, settings: SelectionSettings) -> RandomFores
         numTrees=settings.trees,
         maxDepth=settings.depth,
         seed=settings.seed,
+        bootstrap=settings.bootstrap,
     )
 
 

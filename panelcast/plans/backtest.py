@@ -11,7 +11,7 @@ from panelcast.operators import ridge
 from panelcast.operators.splits import with_origins
 from panelcast.operators.trees import Candidate
 from panelcast.operators.windows import series_window
-from panelcast.plans.tuning import pipeline, pooled_forecasts, with_series_value
+from panelcast.plans.tuning import fit_pipeline, pooled_forecasts, with_series_value
 
 
 def ridge_backtest(
@@ -68,7 +68,7 @@ def pooled_backtest(
     for begin, stop in zip(refits, [*refits[1:], end]):
         train = rows.where(F.col("target_period") < F.lit(begin))
         test = rows.where((F.col("target_period") >= F.lit(begin)) & (F.col("target_period") < F.lit(stop)))
-        model = pipeline(candidate, features, label, point).fit(train)
+        model = fit_pipeline(train, candidate, features, label, point)
         parts.append(pooled_forecasts(model, test, candidate.name, label, series_keys))
     out = parts[0]
     for part in parts[1:]:

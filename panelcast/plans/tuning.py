@@ -7,14 +7,15 @@ from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import LinearRegression
+from pyspark.ml import PipelineModel
+from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from panelcast.functions.calendar import DAY, MONTH, Grain
 from panelcast.functions.errors import mape
-from panelcast.operators import ridge
+from panelcast.functions.numeric import to_log
+from panelcast.operators import baselines, ridge
 from panelcast.operators.ranking import leaderboard
 from panelcast.operators.scoring import score
 from panelcast.operators.selection import (
@@ -25,7 +26,7 @@ from panelcast.operators.selection import (
     select_features,
 )
 from panelcast.operators.splits import with_folds
-from panelcast.operators.trees import Candidate
+from panelcast.operators.trees import Candidate, ridge_candidate
 
 
 # --- ridge, one model per series ------------------------------------------------
@@ -99,31 +100,30 @@ class Tuned:
     cv_mape: float
 
 
-def pipeline(candidate: Candidate, features: list[str], label: str, point: dict | None = None) -> Pipeline:
-    """Assembler and estimator in one, so that a saved model takes plain columns."""
-    return Pipeline(
-        stages=[
-            VectorAssembler(inputCols=features, outputCol=VECTOR),
-            candidate.estimator(label, point),
-        ]
-    )
+def fit_pipeline(
+    df: DataFrame, candidate: Candidate, features: list[str], label: str, point: dict | None = None, log_target: bool = False
+) -> PipelineModel:
+    """Assembler and fitted model in one, so that a saved model takes plain columns.
 
+    With ``log_target`` the model learns log(1 + label), and a last step brings its
+    predictions back to the scale of the label.
+    """
+    assembler = VectorAssembler(inputCols=features, outputCol=VECTOR)
+    target = F.col(label).cast("double")
+    rows = assembler.transform(df.withColumn(_TARGET, to_log(target) if log_target else target)).select(VECTOR, _TARGET)
+    if not log_target:
+        return PipelineModel([assembler, candidate.fit(rows, _TARGET, point)])
+    model = candidate.fit(rows, _TARGET, point, predictionCol=_LOGGED)
+    back = SQLTransformer(statement=f"SELECT *, expm1({_LOGGED}) AS prediction FROM __THIS__")
+    return PipelineModel([assembler, model, back])
 
-def pooled_ridge(df: DataFrame, features: list[str], label: str, alpha: float) -> PipelineModel:
-    """One ridge over all rows by MLlib, with the penalty on the scale of the per-series ridge.
 
-    MLlib divides the loss by the number of rows and scales the label, so the penalty is
-    alpha / n * deviation of the label; only the normal solver is exact.
-    """
-    size = df.agg(F.count(F.lit(1)).alias("n"), F.stddev_pop(label).alias("sd")).first()
-    model = LinearRegression(
-        featuresCol=VECTOR,
-        labelCol=label,
-        solver="normal",
-        elasticNetParam=0.0,
-        regParam=alpha / size["n"] * size["sd"],
-    )
-    return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol=VECTOR), model]).fit(df)
+_TARGET, _LOGGED = "_target", "_logged_prediction"
+
+
+def pooled_ridge(df: DataFrame, features: list[str], label: str, alpha: float) -> PipelineModel:
+    """One ridge over all rows by MLlib."""
+    return fit_pipeline(df, ridge_candidate(), features, label, {"alpha": alpha})
 
 
 def search(
@@ -134,29 +134,26 @@ def search(
     wanted: list[str],
     known: dict[str, Candidate],
     n_splits: int = 4,
-    points: int | None = None,
     parallel: int = 4,
 ) -> list[Tuned]:
-    """Grid search over expanding folds; unknown names are skipped.
+    """Grid search over expanding folds: every point of every wanted candidate.
 
-    ``points`` takes that many evenly spaced points of each grid.  The assembled folds
-    are cached once; independent fits are submitted from a thread pool and share the
-    cluster.
+    A caller that wants fewer points gives candidates of smaller grids.  The assembled
+    folds are cached once; independent fits are submitted from a thread pool and share
+    the cluster.
     """
+    strange = [n for n in wanted if n not in known]
+    if strange:
+        raise ValueError(f"unknown candidates: {strange}")
     folded = assemble(with_folds(train, period, n_splits), features, [label, "fold", "role"]).persist()
 
     def one_fold(candidate: Candidate, point: dict, fold: int) -> float:
         rows = folded.where(F.col("fold") == fold)
-        model = candidate.estimator(label, point).fit(rows.where(F.col("role") == "train"))
+        model = candidate.fit(rows.where(F.col("role") == "train"), label, point)
         scored = model.transform(rows.where(F.col("role") == "test"))
         return scored.agg(mape(F.col(label), F.col("prediction")).alias("m")).first()["m"]
 
-    def evenly(grid: tuple[dict, ...]) -> list[dict]:
-        if points is None or points >= len(grid):
-            return list(grid)
-        return [grid[i * len(grid) // points] for i in range(points)]
-
-    jobs = [(known[n], p) for n in wanted if n in known for p in evenly(known[n].grid)]
+    jobs = [(known[n], p) for n in wanted for p in known[n].grid]
     try:
         with ThreadPoolExecutor(parallel) as pool:
             scores = [[pool.submit(one_fold, c, p, f) for f in range(n_splits)] for c, p in jobs]
@@ -170,8 +167,19 @@ def search(
     return list(best.values())
 
 
-def fit_tuned(df: DataFrame, tuned: Tuned, known: dict[str, Candidate], features: list[str], label: str) -> PipelineModel:
-    return pipeline(known[tuned.name], features, label, tuned.point).fit(df)
+def fit_tuned(
+    df: DataFrame, tuned: Tuned, known: dict[str, Candidate], features: list[str], label: str, log_target: bool = False
+) -> PipelineModel:
+    return fit_pipeline(df, known[tuned.name], features, label, tuned.point, log_target)
+
+
+def baseline_forecasts(rows: DataFrame, label: str, grain: Grain, series_keys: list[str], name: str) -> DataFrame:
+    """A baseline over the targets of a supervised set, in the long form of the scoring functions."""
+    table = rows.select(*series_keys, F.col("target_period").alias(grain.period), F.col(label).alias(grain.revenue))
+    if name == "naive_last":
+        return baselines.naive_last(table, grain, series_keys)
+    season = int(name.removeprefix("seasonal_naive_"))
+    return baselines.seasonal_naive(table, grain, series_keys, season).withColumn("model", F.lit(name))
 
 
 def pooled_forecasts(model: PipelineModel, df: DataFrame, name: str, label: str, series_keys: list[str]) -> DataFrame:
@@ -233,33 +241,41 @@ def tune(
     known: dict[str, Candidate],
     settings: SelectionSettings = SelectionSettings(),
     n_splits: int = 4,
-    points: int | None = None,
+    log_target: bool = False,
 ) -> TuningResult:
     """Select features and settings on the training phase, report on the backtest, refit on both.
 
     ``rows`` is read several times and should be a staged or cached supervised set.  The
     winner is the candidate with the best score on the folds; the backtest is only
-    reported, so that its errors stay honest.
+    reported, so that its errors stay honest.  The naive forecast, and other baselines
+    that ``wanted`` names, stand in the leaderboard and never win.
     """
+    grain = next(g for g in (MONTH, DAY) if g.period == period)
+    names = list(dict.fromkeys(["naive_last", *(n for n in wanted if n.startswith("seasonal_naive_"))]))
+    models = [n for n in wanted if n not in names]
     target = F.col("target_period")
     train = rows.where(target <= F.lit(train_end))
     test = rows.where((target > F.lit(train_end)) & (target <= F.lit(backtest_end)))
     chosen = select_features(train, features, label, lambda d, k: with_folds(d, period, k), settings)
     kept = chosen.features
-    tuned = search(train, kept, label, period, wanted, known, n_splits, points)
+    tuned = search(train, kept, label, period, models, known, n_splits)
     if not tuned:
-        raise ValueError("none of the candidates is known")
+        raise ValueError("no candidate but baselines")
     parts = [
-        pooled_forecasts(fit_tuned(train, t, known, kept, label), test, t.name, label, series_keys) for t in tuned
+        pooled_forecasts(fit_tuned(train, t, known, kept, label, log_target), test, t.name, label, series_keys)
+        for t in tuned
     ]
+    scope = rows.where(target <= F.lit(backtest_end))
+    past = [baseline_forecasts(scope, label, grain, series_keys, n) for n in names]
+    parts += [p.where(F.col("period") > F.lit(train_end)) for p in past]
+    columns = parts[0].columns
     forecasts = parts[0]
     for part in parts[1:]:
-        forecasts = forecasts.unionByName(part)
+        forecasts = forecasts.unionByName(part.select(*columns))
     scores = leaderboard_with_params(score(forecasts, ["model"]), tuned)
     best = min(tuned, key=lambda t: (t.cv_mape, t.name))
-    scope = rows.where(target <= F.lit(backtest_end))
     return TuningResult(
-        model=fit_tuned(scope, best, known, kept, label),
+        model=fit_tuned(scope, best, known, kept, label, log_target),
         winner=best,
         features=kept,
         selection=chosen,

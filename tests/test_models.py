@@ -135,14 +135,32 @@ def test_pooled_recursion_matches_ridge_recursion(spark, table, rows):
     np.testing.assert_allclose(both["y_pred_x"], both["y_pred_y"], rtol=1e-8)
 
 
-def test_search_skips_unknown_and_is_repeatable(rows):
-    known = candidates(forest_trees=5, boost_rounds=(2,))
-    found = [
-        tuning.search(rows, PICK[:4], "label", "month", ["nothing", "random_forest", "naive_last"], known, 2, 1)
-        for _ in range(2)
-    ]
-    assert [t.name for t in found[0]] == ["random_forest"]
-    assert found[0][0].cv_mape == pytest.approx(found[1][0].cv_mape)
+FEW = {"random_forest": ({"maxDepth": 3}, {"maxDepth": 4}), "ridge": ({"alpha": 1.0}, {"alpha": 500.0})}
+
+
+def test_search_is_repeatable_and_refuses_unknown_names(rows):
+    known = candidates(forest_trees=5, grids=FEW)
+    found = [tuning.search(rows, PICK[:4], "label", "month", ["ridge", "random_forest"], known, 2) for _ in range(2)]
+    assert [t.name for t in found[0]] == ["ridge", "random_forest"]
+    assert [t.cv_mape for t in found[0]] == pytest.approx([t.cv_mape for t in found[1]])
+    with pytest.raises(ValueError, match="nothing"):
+        tuning.search(rows, PICK[:4], "label", "month", ["nothing"], known, 2)
+
+
+def test_grids_hold_every_point():
+    sizes = {n: len(c.grid) for n, c in candidates().items()}
+    assert sizes == {
+        "ridge": 12, "random_forest": 120, "extra_trees": 4, "gradient_boosting": 30720, "hist_gradient_boosting": 100, "linear": 1,
+    }
+
+
+def test_log_target_comes_back(spark):
+    rows = spark.createDataFrame([(float(i), float(np.expm1(0.1 * i + 2))) for i in range(40)], "x double, label double")
+    model = tuning.fit_pipeline(rows, candidates()["linear"], ["x"], "label", log_target=True)
+    path = staging_path(spark, "log-model")
+    storage.save_model(model, path)
+    out = storage.load_model(path).transform(rows).toPandas()
+    np.testing.assert_allclose(out["prediction"], out["label"], rtol=1e-6)
 
 
 def test_selection_chain(spark, rows):
@@ -185,14 +203,15 @@ def test_no_cross_join_without_series(spark, rows):
 
 
 def test_tune_reports_the_backtest_and_refits(spark, rows):
-    known = candidates(forest_trees=5, boost_rounds=(2,))
+    known = candidates(forest_trees=5, grids=FEW)
     settings = selection.SelectionSettings(trees=5, depth=3, at_least=3, at_most=5, step=4)
     result = tuning.tune(
         rows, PICK, "label", "month", ["nation"], dt.date(2001, 3, 1), dt.date(2001, 6, 1),
-        ["linear", "random_forest", "unknown"], known, settings, n_splits=2, points=1,
+        ["linear", "random_forest", "ridge", "seasonal_naive_12"], known, settings, n_splits=2,
     )
     board = result.leaderboard.collect()
-    assert {r.model for r in board} == {"linear", "random_forest"} and result.winner.name in {"linear", "random_forest"}
+    models = {"linear", "random_forest", "ridge"}
+    assert {r.model for r in board} == models | {"naive_last", "seasonal_naive_12"} and result.winner.name in models
     meta = result.metadata(spark).first()
     assert meta.best_model == result.winner.name and meta.feature_names == result.features
     assert result.model.transform(rows).where("prediction is null").isEmpty()
