@@ -8,8 +8,9 @@ Pivots cut the space into cells.  Of each cell the summary holds the k + 1 small
 distances to its pivot; through the triangle inequality they bound, for every query, how
 far its k-th neighbour can be (one more, as the query's own row is among the rows).
 Queries are put into blocks cell by cell.  A candidate at distance d from its pivot p can
-matter to a query q only if | |q p| - d | is within q's bound, so each block gets, per
-cell, only the ring of distances that some query of it needs.  Blocks are solved on
+matter to a query q only if | |q p| - d | is within q's bound, and only if the plane half
+way between p and q's own pivot is; so each block gets, per cell, only the ring of
+distances that some query of it needs, or nothing.  Blocks are solved on
 their own, against chunks of their candidates, by whole-number arithmetic; the chunks'
 results are merged.  Distances only prune, with a margin for rounding.
 
@@ -78,6 +79,12 @@ class Space:
         y = self.lifted(x.astype(float), candidate)
         return np.sqrt(np.maximum((y**2).sum(1)[:, None] + self.square - 2 * y @ self.pivots.T, 0))
 
+    def to_planes(self, d: np.ndarray) -> np.ndarray:
+        """How far each query is from the plane between its own pivot and each other one; 0 where they fall together."""
+        own = d.argmin(1) if len(d) else np.empty(0, np.int64)
+        apart = np.sqrt(np.maximum(self.square[own][:, None] + self.square - 2 * self.pivots[own] @ self.pivots.T, 0))
+        return np.where(apart > 0, (d**2 - d[np.arange(len(d)), own][:, None] ** 2) / np.where(apart > 0, 2 * apart, 1), 0)
+
     def slack(self) -> float:
         """The rounding that a square root of a difference of squares can show."""
         return SLACK * np.sqrt(self.largest + 1) + 1e-6 * np.sqrt(np.sqrt(self.largest + 1))
@@ -190,8 +197,9 @@ def search(table: DataFrame, k: int = K, every: int = EVERY, pivots: int = PIVOT
             reach = bounds(space, d, nearest)[:, None] + space.slack()
             blocks, row = np.unique(batch.column(2).to_numpy(), return_inverse=True)
             low, high = np.full((len(blocks), cells), np.inf), np.full((len(blocks), cells), -np.inf)
-            np.minimum.at(low, row, d - reach)
-            np.maximum.at(high, row, d + reach)
+            near = space.to_planes(d) <= reach
+            np.minimum.at(low, row, np.where(near, d - reach, np.inf))
+            np.maximum.at(high, row, np.where(near, d + reach, -np.inf))
             arrays = [np.repeat(blocks, cells), np.tile(np.arange(cells), len(blocks)), low.ravel(), high.ravel()]
             yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], names=["block", "cell", "low", "high"])
 
