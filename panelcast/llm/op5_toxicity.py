@@ -185,7 +185,7 @@ def margins(column: pa.Array, lex: Lexicon) -> np.ndarray:
     stop = _CLASSES[w.data[w.starts]] == 2
     edges = np.flatnonzero(stop | np.r_[True, text[1:] != text[:-1]])
     matches = np.flatnonzero((symbol == INSULT) | (symbol == THREAT))
-    clauses = np.unique(np.searchsorted(edges, matches, "right") - 1)
+    clauses = words.distinct(np.searchsorted(edges, matches, "right") - 1)
     totals = np.zeros(len(column))
     for c in clauses.tolist():
         a, b = int(edges[c]), int(edges[c + 1]) if c + 1 < len(edges) else len(text)
@@ -231,7 +231,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int =
                     h = words.hashes(w, w.starts[some], ends[some])
                     hit = known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h
                     place = np.searchsorted(known, h[hit])
-                    pair = np.unique(text[some][hit] * len(known) + place)
+                    pair = words.distinct(text[some][hit] * len(known) + place)
                     at, count = np.unique(pair % len(known), return_counts=True)
                     arrays = [pa.array(np.full(len(at), size)), pa.array(known[at].view(np.int64)), pa.array(count)]
                     yield pa.RecordBatch.from_arrays(arrays, names=["size", "hash", "zeros"])

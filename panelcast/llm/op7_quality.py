@@ -60,7 +60,7 @@ def indicators(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     texts, keys, bigrams = len(column), [], []
 
     def add(h: np.ndarray, owner: np.ndarray) -> np.ndarray:
-        found = np.unique((owner.astype(np.uint64) << low) | (words.mix(h) >> top))
+        found = words.distinct((owner.astype(np.uint64) << low) | (words.mix(h) >> top))
         keys.append(found)
         return found
 
@@ -75,13 +75,14 @@ def indicators(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
                 found = add(gram[inside] + np.uint64(n), text[a : a + len(gram)][inside])
                 if n == 2 and stream is surface:
                     bigrams.append(found)
-    distinct = np.bincount((np.unique(np.concatenate([np.empty(0, np.uint64), *bigrams])) >> low).astype(np.int64), minlength=texts)
+    pairs = words.distinct(np.concatenate([np.empty(0, np.uint64), *bigrams]))
+    distinct = np.bincount((pairs >> low).astype(np.int64), minlength=texts)
     count = np.diff(w.bounds)
     share = (10 * distinct / np.maximum(count - 1, 1)).astype(np.int64)
     size = np.log2(count + 1).astype(np.int64)
     add((1 << 40) + (share * 64 + size).astype(np.uint64), np.arange(texts))
     add((1 << 41) + share.astype(np.uint64), np.arange(texts))
-    every = np.unique(np.concatenate(keys))
+    every = words.distinct(np.concatenate(keys))
     owner = (every >> low).astype(np.int64)
     return (every & np.uint64((1 << BITS) - 1)).astype(np.int64), np.searchsorted(owner, np.arange(texts + 1))
 

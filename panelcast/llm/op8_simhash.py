@@ -35,6 +35,7 @@ from panelcast.session import stage
 
 BITS = 64
 BUCKET_ROWS = 1 << 16
+_BLOCK = 1 << 16  # shingles hashed at a time
 
 
 def fingerprints_of(column: pa.Array, shingle: int, seed: int) -> np.ndarray:
@@ -43,22 +44,26 @@ def fingerprints_of(column: pa.Array, shingle: int, seed: int) -> np.ndarray:
 
     digest = xxhash.xxh64_intdigest
     w = words.split(column)
-    # the words again, each followed by one space
-    lengths = w.ends - w.starts
-    joined = np.full(int(lengths.sum()) + len(lengths), 0x20, np.uint8)
-    start = np.cumsum(lengths + 1) - lengths - 1
-    inside = np.repeat(start - w.starts, lengths)
-    source = np.arange(len(inside)) + np.repeat(w.starts - (np.cumsum(lengths) - lengths), lengths)
-    joined[source + inside] = w.data[source]
+    # the words again, each followed by one space if another of the same text follows
+    lengths, count = w.ends - w.starts, np.diff(w.bounds)
+    more = np.ones(len(lengths), np.int64)
+    more[w.bounds[1:][count > 0] - 1] = 0
+    kept = np.zeros(len(w.data), bool)
+    for x, y in words.slices(w.data):
+        kept[x:y] = ~words._SPACE[w.data[x:y]]
+    kept[w.ends[more > 0]] = True
+    joined = w.data[kept]
+    start = np.cumsum(lengths + more) - lengths - more
     end = start + lengths
+    joined[end[more > 0]] = 0x20
     body = joined.tobytes()
-    count = np.diff(w.bounds)
     shingles = np.where(count > 0, np.maximum(count - shingle + 1, 1), 0)
     first = np.repeat(w.bounds[:-1] - (np.cumsum(shingles) - shingles), shingles) + np.arange(shingles.sum())
     final = np.minimum(first + shingle, np.repeat(w.bounds[1:], shingles)) - 1
-    h = np.fromiter(
-        (digest(body[s:e], seed) for s, e in zip(start[first].tolist(), end[final].tolist())), np.uint64, len(first)
-    )
+    h = np.empty(len(first), np.uint64)
+    for x in range(0, len(first), _BLOCK):
+        spans = zip(start[first[x : x + _BLOCK]].tolist(), end[final[x : x + _BLOCK]].tolist())
+        h[x : x + _BLOCK] = [digest(body[i:j], seed) for i, j in spans]
     return majority(h, np.r_[0, np.cumsum(shingles)])
 
 
@@ -200,7 +205,7 @@ def links(fps: DataFrame, max_bits: int = 4, segments: int = 5, bucket_rows: int
 
     def task(frame: pd.DataFrame) -> pd.DataFrame:
         own = frame.own.to_numpy(bool)
-        fps = np.unique(frame.fp.to_numpy(np.int64).view(np.uint64))
+        fps = words.distinct(frame.fp.to_numpy(np.int64).view(np.uint64))
         if len(fps) < 2 or not own.any():
             return pd.DataFrame({"a": [], "b": []}, dtype="int64")
         found = forest(fps, int(frame.box.iloc[0]), layout, max_bits)

@@ -92,6 +92,12 @@ def split(column: pa.Array, lower: bool = True, classes: np.ndarray | None = Non
     return Words(_LOWER[data] if lower else data, start, end, np.searchsorted(start, offsets))
 
 
+def distinct(values: np.ndarray) -> np.ndarray:
+    """The different values in order, by sorting: many times as fast as ``np.unique`` on large arrays."""
+    values = np.sort(values)
+    return values[np.r_[True, values[1:] != values[:-1]]] if len(values) else values
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Spread all bits (the finaliser of splitmix64)."""
     h = h.astype(np.uint64, copy=True)
@@ -132,7 +138,7 @@ def hashes(words: Words, starts: np.ndarray | None = None, ends: np.ndarray | No
     return out
 
 
-def batches_of(column: pa.Array, limit: int = 4 * SLICE) -> list[tuple[int, int]]:
+def batches_of(column: pa.Array, limit: int = SLICE) -> list[tuple[int, int]]:
     """Row ranges of about ``limit`` bytes; a longer text stands alone."""
     if not len(column):
         return []
