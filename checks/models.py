@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from checks import sql as S
-from checks.registry import BACKTEST_END, BACKTEST_START, BEFORE, COMPLETE, FINAL, SERIES, SQL, TRAIN_END, add
+from checks.registry import BACKTEST_END, BACKTEST_START, FINAL, SERIES, SQL, TRAIN_END, add, complete
 from checks.series import days, months, trained, training_rows, two_baselines, two_sql
 from checks.tables import MEASURES_SQL, measures
 from panelcast.functions.calendar import DAY, MONTH
@@ -875,7 +875,7 @@ for suffix, keys in TWO:
 
 # --- N: monitoring ------------------------------------------------------------------------------------
 
-CLOSED = (dt.date(1995, 1, 1), BEFORE)
+FIRST = dt.date(1995, 1, 1)
 
 
 def monthly_errors(s, d, keys):
@@ -899,10 +899,10 @@ for suffix, keys in TWO:
     add(
         f"n01_missing_days{suffix}",
         lambda s, d, keys=keys: missing_days(
-            roll_up(order_rows(retail_facts(s, d), DAY, keys, COMPLETE), DAY, keys), "date", keys, CLOSED
+            roll_up(order_rows(retail_facts(s, d), DAY, keys, complete(s, d)), DAY, keys), "date", keys, (FIRST, complete(s, d).before)
         ),
         f"""WITH {S.BASE}, {S.order_rows(keys)}, g AS (SELECT {S.lead_list(keys, '')}
-              CAST(unnest(generate_series(DATE '1995-01-01', DATE '2001-07-31', INTERVAL 1 DAY)) AS DATE) AS date {each})
+              CAST(unnest(generate_series(DATE '1995-01-01', {S.CUT} - 1, INTERVAL 1 DAY)) AS DATE) AS date {each})
             SELECT {S.lead_list(keys, 'date')} FROM g EXCEPT SELECT {S.lead_list(keys, 'date')} FROM orows""",
     )
     add(
@@ -991,7 +991,7 @@ for suffix, keys in TWO:
 def o01(s, d, keys):
     """Orders arrive in three files with all months mixed, so every batch corrects old months."""
     arrivals = staging_path(s, "arrivals")
-    facts = order_rows(retail_facts(s, d), MONTH, keys, COMPLETE).drop("month")
+    facts = order_rows(retail_facts(s, d), MONTH, keys, complete(s, d)).drop("month")
     facts.repartition(3, "order_id").write.parquet(arrivals)
     stream = s.readStream.schema(facts.schema).option("maxFilesPerTrigger", 1).parquet(arrivals)
     target = staging_path(s, "target")

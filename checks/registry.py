@@ -6,6 +6,7 @@ import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from checks.present import present
 from panelcast.functions.calendar import Bounds
@@ -15,9 +16,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
-# Parameters of the checks: complete months only, and the phases of the backtest.
-BEFORE = dt.date(2001, 8, 1)
-COMPLETE = Bounds(before=BEFORE)
+# Parameters of the checks: the phases of the backtest.
 TRAIN_END = dt.date(2001, 3, 1)
 BACKTEST_START = dt.date(2001, 4, 1)
 BACKTEST_END = dt.date(2001, 6, 1)
@@ -29,6 +28,12 @@ DAY_BACKTEST_END = dt.date(2001, 6, 30)
 SERIES = {"": [], "_by_nation": ["nation"], "_by_brand": ["brand"]}
 
 
+def complete(spark: SparkSession, folder: str) -> Bounds:
+    """Complete months only: those before the month of the newest order."""
+    newest = spark.read.parquet(f"{folder}/orders.parquet").agg(F.max("o_orderdate")).first()[0]
+    return Bounds(before=newest.date().replace(day=1))
+
+
 def add(name: str, query: Query, sql: str | None = None) -> None:
     if name in QUERIES:
         raise ValueError(f"registered twice: {name}")

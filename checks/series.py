@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from checks import sql as S
 from checks.registry import (
     BACKTEST_END,
-    COMPLETE,
     DAY_BACKTEST_END,
     DAY_BACKTEST_START,
     DAY_TRAIN_END,
@@ -17,6 +16,7 @@ from checks.registry import (
     SERIES,
     TRAIN_END,
     add,
+    complete,
 )
 from checks.tables import measures
 from panelcast.functions.calendar import DAY, MONTH, month_cycle, calendar_features, period_label
@@ -34,18 +34,18 @@ METRICS = ["monthly_revenue", *SHARED_METRICS]
 
 
 def months(s, d, keys):
-    return monthly_table(retail_facts(s, d), COMPLETE, keys)
+    return monthly_table(retail_facts(s, d), complete(s, d), keys)
 
 
 def days(s, d, keys):
-    return daily_table(retail_facts(s, d), COMPLETE, keys)
+    return daily_table(retail_facts(s, d), complete(s, d), keys)
 
 
 # --- E: windows ----------------------------------------------------------------------------
 
 
 def daily_core(s, d, keys):
-    return rollup.roll_up(order_level.order_rows(retail_facts(s, d), DAY, keys, COMPLETE), DAY, keys)
+    return rollup.roll_up(order_level.order_rows(retail_facts(s, d), DAY, keys, complete(s, d)), DAY, keys)
 
 
 def core_sql(keys):

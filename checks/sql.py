@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from panelcast.plans.feature_frame import DAY_LAGS, DAY_WINDOWS, MONTH_LAGS, MONTH_WINDOWS, SHARED_METRICS
 
-CUT = "DATE '2001-08-01'"
+CUT = "(SELECT CAST(date_trunc('month', max(o_orderdate)) AS DATE) FROM orders)"
 
 BASE = """
 lines AS (

@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from checks import sql as S
-from checks.registry import BEFORE, COMPLETE, FINAL, SERIES, TRAIN_END, add
+from checks.registry import FINAL, SERIES, TRAIN_END, add, complete
 from panelcast.functions.calendar import DAY, MONTH, Bounds, day_table_columns, month_table_columns
 from panelcast.operators import baselines, calendar_fill, cleaning, order_level, ranking, rollup, scoring
 from panelcast.operators.selection import correlation_matrix, correlation_table
@@ -20,12 +20,12 @@ from panelcast.sources.star_schema import retail_facts
 
 def categories(s, d, keys):
     f = retail_facts(s, d)
-    return rollup.category_counts(rollup.sightings(f, MONTH, keys, COMPLETE), f, MONTH, keys, COMPLETE)
+    return rollup.category_counts(rollup.sightings(f, MONTH, keys, complete(s, d)), f, MONTH, keys, complete(s, d))
 
 
 def newcomers(s, d, keys):
     f = retail_facts(s, d)
-    return rollup.new_entities(rollup.sightings(f, MONTH, keys, COMPLETE), f, MONTH, keys)
+    return rollup.new_entities(rollup.sightings(f, MONTH, keys, complete(s, d)), f, MONTH, keys)
 
 
 # --- A: sources and sinks -----------------------------------------------------------
@@ -48,7 +48,7 @@ add("a02_materialise_once", a02, SIZES)
 
 def a03(s, d):
     path = staging_path(s, "months")
-    storage.write_periods(monthly_table(retail_facts(s, d), COMPLETE, ["nation"]), path, "month")
+    storage.write_periods(monthly_table(retail_facts(s, d), complete(s, d), ["nation"]), path, "month")
     return storage.read_periods(s, path)[0]
 
 
@@ -61,7 +61,7 @@ add(
 
 def a04(s, d):
     path = staging_path(s, "days")
-    storage.write_periods(daily_table(retail_facts(s, d), COMPLETE), path, "date")
+    storage.write_periods(daily_table(retail_facts(s, d), complete(s, d)), path, "date")
     table, period = storage.read_periods(s, path)
     return table.withColumn("period_column", F.lit(period))
 
@@ -74,7 +74,7 @@ add(
 
 
 def a05(s, d):
-    rows, names = supervised(monthly_table(retail_facts(s, d), COMPLETE), FeatureConfig.default(MONTH), MONTH, [])
+    rows, names = supervised(monthly_table(retail_facts(s, d), complete(s, d)), FeatureConfig.default(MONTH), MONTH, [])
     path = staging_path(s, "supervised")
     storage.write_table(rows, path)
     return s.read.parquet(path)
@@ -142,7 +142,7 @@ add(
 )
 add(
     "b05_complete_months",
-    lambda s, d: count_by("month", order_level.dated_orders(retail_facts(s, d), MONTH, COMPLETE)),
+    lambda s, d: count_by("month", order_level.dated_orders(retail_facts(s, d), MONTH, complete(s, d))),
     f"WITH {S.BASE} SELECT month, count(*) AS row_count FROM ords WHERE month < {S.CUT} GROUP BY month",
 )
 add(
@@ -187,14 +187,14 @@ add(
 for suffix, keys in list(SERIES.items())[:2]:
     add(
         f"b08_as_of{suffix}",
-        lambda s, d, keys=keys: cleaning.as_of(monthly_table(retail_facts(s, d), COMPLETE, keys), "month", TRAIN_END),
+        lambda s, d, keys=keys: cleaning.as_of(monthly_table(retail_facts(s, d), complete(s, d), keys), "month", TRAIN_END),
         f"""WITH {S.months(keys)} SELECT {S.lead_list(keys, 'month')}, {S.columns(S.MONTH_COLUMNS)}
             FROM months WHERE month <= DATE '{TRAIN_END}'""",
     )
 
 
 def b09(s, d, keys):
-    table = monthly_table(retail_facts(s, d), COMPLETE, keys)
+    table = monthly_table(retail_facts(s, d), complete(s, d), keys)
     cfg = FeatureConfig.default(MONTH)
     frame, names = create_features(table, cfg, MONTH, keys)
     return frame.na.drop(subset=[*names, cfg.target_col]).select(*keys, "month", "label")
@@ -211,7 +211,7 @@ for suffix, keys in list(SERIES.items())[:2]:
 SHOCKS = [(dt.date(1998, 5, 21), dt.date(1998, 5, 31)), (dt.date(2000, 2, 1), dt.date(2000, 2, 3))]
 add(
     "b10_outside_shocks",
-    lambda s, d: baselines.naive_last(daily_table(retail_facts(s, d), COMPLETE), DAY, []).where(
+    lambda s, d: baselines.naive_last(daily_table(retail_facts(s, d), complete(s, d)), DAY, []).where(
         cleaning.outside(F.col("period"), SHOCKS)
     ),
     f"""WITH {S.days([])} SELECT 'naive_last' AS model, date AS period, {S.r('daily_revenue', 'y_true')},
@@ -222,7 +222,7 @@ add(
 )
 add(
     "b11_pick_month",
-    lambda s, d: cleaning.pick_month(daily_table(retail_facts(s, d), COMPLETE, ["nation"]), "date", FINAL),
+    lambda s, d: cleaning.pick_month(daily_table(retail_facts(s, d), complete(s, d), ["nation"]), "date", FINAL),
     f"""WITH {S.days(['nation'])} SELECT nation, date, {S.columns(S.DAY_COLUMNS)} FROM days
         WHERE date_trunc('month', date) = DATE '{FINAL}'""",
 )
@@ -236,7 +236,7 @@ add(
 
 def b13(s, d):
     cleaned = cleaning.clean_trailing(
-        rollup.roll_up(order_level.order_rows(retail_facts(s, d), MONTH, ["nation"], COMPLETE), MONTH, ["nation"]),
+        rollup.roll_up(order_level.order_rows(retail_facts(s, d), MONTH, ["nation"], complete(s, d)), MONTH, ["nation"]),
         ["monthly_revenue", "avg_review_score"],
         "month",
         ["nation"],
@@ -322,7 +322,7 @@ add(
 )
 add(
     "c04_items_with_periods",
-    lambda s, d: order_level.dated_items(retail_facts(s, d), MONTH, [], COMPLETE)
+    lambda s, d: order_level.dated_items(retail_facts(s, d), MONTH, [], complete(s, d))
     .groupBy("month", "product_id")
     .agg(F.count(F.lit(1)).alias("item_count")),
     f"""WITH {S.BASE} SELECT month, product_id, count(*) AS item_count
@@ -332,7 +332,7 @@ add(
 
 def c05(s, d, keys):
     f = retail_facts(s, d)
-    core = rollup.roll_up(order_level.order_rows(f, MONTH, keys, COMPLETE), MONTH, keys)
+    core = rollup.roll_up(order_level.order_rows(f, MONTH, keys, complete(s, d)), MONTH, keys)
     fresh = newcomers(s, d, keys)
     return core.join(fresh, [*keys, "month"], "left").select(
         *keys, "month", "total_orders", F.coalesce("new_sellers", F.lit(0)).cast("bigint").alias("new_sellers")
@@ -349,7 +349,7 @@ for suffix, keys in list(SERIES.items())[:2]:
 
 def july(s, d, keys):
     """Actual days of the last month against a forecast that repeats the last week."""
-    days = daily_table(retail_facts(s, d), COMPLETE, keys)
+    days = daily_table(retail_facts(s, d), complete(s, d), keys)
     known = cleaning.as_of(days, "date", dt.date(2001, 6, 30))
     ahead = baselines.seasonal_ahead(known, DAY, keys, 35, 7)
     forecast = ahead.select(*keys, F.col("period").alias("date"), F.col("y_pred").alias("daily_revenue"))
@@ -390,7 +390,7 @@ for suffix, keys in list(SERIES.items())[:2]:
 
 def c08(s, d):
     f = retail_facts(s, d)
-    july = Bounds(FINAL, BEFORE).keep(f.orders, order_level.ORDER_TS)
+    july = Bounds(FINAL, complete(s, d).before).keep(f.orders, order_level.ORDER_TS)
     return july.join(order_level.payments_per_order(f.payments), "order_id").agg(
         F.sum("payment_value").alias("total"),
         F.to_date(F.max(order_level.ORDER_TS)).alias("last_day"),
@@ -431,7 +431,7 @@ for suffix, keys in SERIES.items():
     add(
         f"d04_monthly_roll_up{suffix}",
         lambda s, d, keys=keys: rollup.roll_up(
-            order_level.order_rows(retail_facts(s, d), MONTH, keys, COMPLETE), MONTH, keys
+            order_level.order_rows(retail_facts(s, d), MONTH, keys, complete(s, d)), MONTH, keys
         ),
         f"WITH {S.BASE}, {S.order_rows(keys)}, {S.core(keys, 'month')} SELECT {on}, {S.columns(core_columns)} FROM core",
     )
@@ -439,7 +439,7 @@ for suffix, keys in SERIES.items():
     add(
         f"d05_daily_roll_up{suffix}",
         lambda s, d, keys=keys: rollup.roll_up(
-            order_level.order_rows(retail_facts(s, d), DAY, keys, COMPLETE), DAY, keys
+            order_level.order_rows(retail_facts(s, d), DAY, keys, complete(s, d)), DAY, keys
         ),
         f"""WITH {S.BASE}, {S.order_rows(keys)}, {S.core(keys, 'date')}
             SELECT {S.lead_list(keys, 'date')}, {S.columns(day_columns)} FROM core""",
@@ -458,12 +458,12 @@ for suffix, keys in SERIES.items():
     )
     add(
         f"d11_monthly_table{suffix}",
-        lambda s, d, keys=keys: monthly_table(retail_facts(s, d), COMPLETE, keys),
+        lambda s, d, keys=keys: monthly_table(retail_facts(s, d), complete(s, d), keys),
         f"WITH {S.months(keys)} SELECT {on}, {S.columns(S.MONTH_COLUMNS)} FROM months",
     )
     add(
         f"d12_daily_table{suffix}",
-        lambda s, d, keys=keys: daily_table(retail_facts(s, d), COMPLETE, keys),
+        lambda s, d, keys=keys: daily_table(retail_facts(s, d), complete(s, d), keys),
         f"WITH {S.days(keys)} SELECT {S.lead_list(keys, 'date')}, {S.columns(S.DAY_COLUMNS)} FROM days",
     )
 
@@ -496,7 +496,7 @@ for suffix, keys in list(SERIES.items())[:2]:
 
 
 def d09(s, d):
-    rows = order_level.order_rows(retail_facts(s, d), DAY, ["nation"], COMPLETE)
+    rows = order_level.order_rows(retail_facts(s, d), DAY, ["nation"], complete(s, d))
     filled = rollup.impute_median(rollup.roll_up(rows, DAY, ["nation"]), STATE_METRICS, ["nation"])
     return filled.select("nation", "date", *STATE_METRICS)
 
@@ -512,7 +512,7 @@ add(
 
 
 def d10(s, d):
-    rows = order_level.order_rows(retail_facts(s, d), DAY, ["nation"], COMPLETE)
+    rows = order_level.order_rows(retail_facts(s, d), DAY, ["nation"], complete(s, d))
     dense = calendar_fill.densify(rollup.roll_up(rows, DAY, ["nation"]), DAY, ["nation"])
     return dense.na.fill(0, subset=VOLUME_METRICS).select("nation", "date", *VOLUME_METRICS)
 
@@ -543,7 +543,7 @@ for suffix, keys in list(SERIES.items())[:2]:
     add(
         f"d13_monthly_scores_of_days{suffix}",
         lambda s, d, keys=keys: scoring.monthly_scores(
-            baselines.naive_last(daily_table(retail_facts(s, d), COMPLETE, keys), DAY, keys), [*keys, "model"]
+            baselines.naive_last(daily_table(retail_facts(s, d), complete(s, d), keys), DAY, keys), [*keys, "model"]
         ),
         f"""WITH {S.days(keys)}, f AS (SELECT {S.lead_list(keys, 'date')}, daily_revenue AS y,
               lag(daily_revenue) OVER {S.order_window(keys, 'date')} AS p FROM days),
@@ -569,7 +569,7 @@ for suffix, keys in list(SERIES.items())[:2]:
     add(
         f"d15_month_of_year{suffix}",
         lambda s, d, keys=keys: rollup.five_numbers(
-            monthly_table(retail_facts(s, d), COMPLETE, keys), "monthly_revenue", [*keys, "month_num"]
+            monthly_table(retail_facts(s, d), complete(s, d), keys), "monthly_revenue", [*keys, "month_num"]
         ),
         f"""WITH {S.months(keys)} SELECT {S.lead_list(keys, 'month_num')},
             {', '.join(S.r(f'quantile_cont(monthly_revenue, {q})', n) for n, q in
@@ -581,7 +581,7 @@ METRICS = ["monthly_revenue", *SHARED_METRICS]
 
 
 def d16(s, d):
-    table = monthly_table(retail_facts(s, d), COMPLETE)
+    table = monthly_table(retail_facts(s, d), complete(s, d))
     return correlation_table(s, METRICS, correlation_matrix(table, METRICS))
 
 
@@ -598,7 +598,7 @@ add(
 
 
 def d17(s, d):
-    rows, names = supervised(monthly_table(retail_facts(s, d), COMPLETE), FeatureConfig.default(MONTH), MONTH, [])
+    rows, names = supervised(monthly_table(retail_facts(s, d), complete(s, d)), FeatureConfig.default(MONTH), MONTH, [])
     return rollup.correlation_with(stage(rows, "supervised"), names, "label")
 
 

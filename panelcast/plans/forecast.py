@@ -13,9 +13,9 @@ from panelcast.functions.calendar import Bounds, Grain
 from panelcast.functions.numeric import non_negative
 from panelcast.operators.ranking import latest_row
 from panelcast.plans.feature_frame import FeatureConfig, create_features
-from panelcast.plans.period_tables import monthly_table
+from panelcast.plans.period_tables import imputed, monthly_metrics
 from panelcast.plans.tuning import ridge_predict
-from panelcast.session import cut_lineage
+from panelcast.session import cut_lineage, stage
 from panelcast.sources.facts import Facts
 
 
@@ -79,7 +79,8 @@ def recursive_pooled(
     columns = [*series_keys, grain.period, *cfg.base_cols]
     on = [*series_keys, grain.period]
     known = table.select(*columns).withColumn(grain.revenue, F.col(grain.revenue).cast("double"))
-    history = cut_lineage(known.withColumn("step", F.lit(0)))
+    past = cut_lineage(known.withColumn("step", F.lit(0)))
+    history, ahead = past, None
     for step in range(1, horizon + 1):
         rows = scoring_rows(history, cfg, grain, series_keys, features)
         predicted = model.transform(rows).select(*on, non_negative(F.col("prediction")).alias("_forecast"))
@@ -90,7 +91,10 @@ def recursive_pooled(
             .withColumn("step", F.lit(step))
             .select(*columns, "step")
         )
-        history = cut_lineage(history.unionByName(fresh))
+        # a step writes its own rows only; the history before them is written once
+        made = cut_lineage(fresh)
+        ahead = made if ahead is None else ahead.unionByName(made)
+        history = past.unionByName(ahead)
     return history.where(F.col("step") > 0).select(
         *series_keys, F.col(grain.period).alias("period"), "step", F.col(grain.revenue).alias("y_pred")
     )
@@ -104,13 +108,15 @@ def simulate_cutoffs(
 ) -> DataFrame:
     """Forecast the month after each cutoff from facts up to the end of that month only.
 
-    The period table is rebuilt for every cutoff, so nothing later can leak in through
-    imputation or first sightings.
+    Metrics, top categories and first sightings of a month do not depend on later months,
+    so the facts are read once, up to the last cutoff, whatever the number of cutoffs.
+    Imputation does: each cutoff takes its medians from its own months only.
     """
+    after = {m: (m.replace(day=1) + dt.timedelta(days=32)).replace(day=1) for m in cutoffs}
+    metrics = stage(monthly_metrics(facts, Bounds(before=max(after.values())), series_keys), "metrics")
     parts = []
-    for month in cutoffs:
-        before = (month.replace(day=1) + dt.timedelta(days=32)).replace(day=1)
-        known = monthly_table(facts, Bounds(before=before), series_keys)
+    for month, before in after.items():
+        known = imputed(metrics.where(F.col("month") < F.lit(before)), series_keys)
         parts.append(forecaster(known).withColumn("cutoff", F.lit(month.replace(day=1))))
     out = parts[0]
     for part in parts[1:]:

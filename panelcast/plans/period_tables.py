@@ -22,23 +22,35 @@ STATE_METRICS = ["avg_review_score", "avg_installments"]
 VOLUME_METRICS = ["total_items", "total_freight", "unique_customers", "total_orders"]
 
 
-def monthly_table(
+def monthly_metrics(
     facts: Facts, bounds: Bounds | None = None, series_keys: list[str] | None = None
 ) -> DataFrame:
-    """Monthly metrics per series.  A month without orders has no row."""
+    """Monthly metrics per series before imputation: no month depends on what comes after it."""
     keys = series_keys or []
     on = [*keys, "month"]
     core = roll_up(order_rows(facts, MONTH, keys, bounds), MONTH, keys)
     seen = sightings(facts, MONTH, keys, bounds)
     tops = top_category(category_counts(seen, facts, MONTH, keys, bounds), on)
     fresh = new_entities(seen, facts, MONTH, keys)
-    table = (
+    return (
         core.join(tops, on, "left")
         .join(fresh, on, "left")
         .withColumn("new_sellers", F.coalesce(F.col("new_sellers"), F.lit(0).cast("bigint")))
         .withColumns(month_table_columns(F.col("month")))
     )
-    return impute_median(table, STATE_METRICS, keys).na.fill(0, subset=VOLUME_METRICS)
+
+
+def imputed(metrics: DataFrame, series_keys: list[str]) -> DataFrame:
+    """Missing scores take the median of their series in this table, missing volumes are zero."""
+    return impute_median(metrics, STATE_METRICS, series_keys).na.fill(0, subset=VOLUME_METRICS)
+
+
+def monthly_table(
+    facts: Facts, bounds: Bounds | None = None, series_keys: list[str] | None = None
+) -> DataFrame:
+    """Monthly metrics per series.  A month without orders has no row."""
+    keys = series_keys or []
+    return imputed(monthly_metrics(facts, bounds, keys), keys)
 
 
 def daily_table(
