@@ -23,7 +23,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -126,11 +125,14 @@ def _root(parent: np.ndarray, i: int) -> int:
     return i
 
 
-def _near(fps: np.ndarray, at: int, layout: list[tuple[int, int]], max_bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _near(
+    fps: np.ndarray, at: int, layout: list[tuple[int, int]], max_bits: int, parent: np.ndarray
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs of one bucket that pass the whole chain from box ``at``, in blocks of bounded size.
 
     In a large bucket, members are grouped by the box after ``at``, and only groups whose
-    values fit the first two steps of the chain meet.
+    values fit the first two steps of the chain meet.  Pairs that the links found so far
+    connect already (equal in ``parent``) are passed over.
     """
     if len(fps) <= 512:
         a, b = np.triu_indices(len(fps), 1)
@@ -146,28 +148,31 @@ def _near(fps: np.ndarray, at: int, layout: list[tuple[int, int]], max_bits: int
         fits = np.flatnonzero(np.bitwise_count(kinds ^ np.uint64(v)) <= 2 * max_bits // len(layout))
         right = np.concatenate([order[first[j] : last[j]] for j in fits if j >= i])
         left = order[first[i] : last[i]]
-        step = max(1, (1 << 20) // len(right))
+        step = max(1, (1 << 18) // len(right))
         for block in range(0, len(left), step):
             rows = left[block : block + step]
-            hit = chain((fps[rows][:, None] ^ fps[right][None, :]).ravel(), at, layout, max_bits)
-            yield rows[hit // len(right)], right[hit % len(right)]
+            open_pairs = np.flatnonzero(parent[rows][:, None] != parent[right][None, :])
+            if len(open_pairs):
+                a, b = rows[open_pairs // len(right)], right[open_pairs % len(right)]
+                hit = chain(fps[a] ^ fps[b], at, layout, max_bits)
+                yield a[hit], b[hit]
 
 
 def forest(fps: np.ndarray, at: int, layout: list[tuple[int, int]], max_bits: int) -> list[tuple[int, int]]:
     """Links that connect what is linked among the fingerprints of one bucket: fewer than these."""
     parent, out = np.arange(len(fps)), []
-    for a, b in _near(fps, at, layout, max_bits):
+    for a, b in _near(fps, at, layout, max_bits, parent):
         apart = parent[a] != parent[b]
         while apart.any():
-            # one link per root at a time; flat labels then tell which are still apart
+            # one link per root of either side at a time; flat labels then tell which are still apart
             a, b = a[apart], b[apart]
-            for i in np.unique(parent[a], return_index=True)[1].tolist():
+            for i in np.concatenate([np.unique(parent[x], return_index=True)[1] for x in (a, b)]).tolist():
                 p, q = _root(parent, int(a[i])), _root(parent, int(b[i]))
                 if p != q:
                     parent[max(p, q)] = min(p, q)
                     out.append((int(fps[a[i]]), int(fps[b[i]])))
             while (parent[parent] != parent).any():
-                parent = parent[parent]
+                parent[:] = parent[parent]
             apart = parent[a] != parent[b]
     return out
 
@@ -203,41 +208,30 @@ def links(fps: DataFrame, max_bits: int = 4, segments: int = 5, bucket_rows: int
         )
         dealt = small.unionByName(split)
 
-    def task(frame: pd.DataFrame) -> pd.DataFrame:
-        own = frame.own.to_numpy(bool)
-        fps = words.distinct(frame.fp.to_numpy(np.int64).view(np.uint64))
-        if len(fps) < 2 or not own.any():
-            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
-        found = forest(fps, int(frame.box.iloc[0]), layout, max_bits)
-        found = np.array(found, np.uint64).reshape(-1, 2).view(np.int64)
-        return pd.DataFrame({"a": found[:, 0], "b": found[:, 1]})
-
-    return many_groups(dealt, ["box", "value", "next"], task, "a long, b long").distinct()
-
-
-def many_groups(df: DataFrame, keys: list[str], task, schema: str) -> DataFrame:
-    """``task`` for each group of ``keys``, as applyInPandas does, but without a call per group of one row."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rest = None
-        for frame in frames:
-            if rest is not None:
-                frame = pd.concat([rest, frame], ignore_index=True)
-            if not len(frame):
-                continue
-            at = frame[keys].to_numpy()
-            change = np.flatnonzero((at[1:] != at[:-1]).any(1)) + 1
-            starts, ends = np.r_[0, change], np.r_[change, len(frame)]
-            several = np.flatnonzero(ends[:-1] - starts[:-1] > 1)
-            out = [task(frame.iloc[starts[i] : ends[i]]) for i in several]
-            out = [x for x in out if len(x)]
-            if out:
-                yield pd.concat(out, ignore_index=True)
-            rest = frame.iloc[starts[-1] :]
-        if rest is not None and len(rest) > 1:
-            yield task(rest)
-
-    return df.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(run, schema)
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = np.empty((0, 5), np.int64)
+        for batch in batches:
+            rows = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns], 1)
+            rows = np.concatenate([rest, rows])
+            starts = np.flatnonzero(np.r_[True, (rows[1:, :3] != rows[:-1, :3]).any(1)]) if len(rows) else np.zeros(1, np.int64)
+            yield solved(rows[: starts[-1]], starts)
+            rest = rows[starts[-1] :]  # the last bucket may go on
+        yield solved(rest, np.zeros(1, np.int64))
+
+    def solved(rows: np.ndarray, starts: np.ndarray) -> pa.RecordBatch:
+        found: list[tuple[int, int]] = []
+        ends = np.r_[starts[starts > 0], len(rows)][: len(starts)]
+        for x, y in zip(starts.tolist(), ends.tolist()):
+            if y - x > 1 and rows[x:y, 3].any():
+                fps = words.distinct(np.ascontiguousarray(rows[x:y, 4]).view(np.uint64))
+                if len(fps) > 1:
+                    found += forest(fps, int(rows[x, 0]), layout, max_bits)
+        pairs = np.array(found, np.uint64).reshape(-1, 2).view(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+    keys = ["box", "value", "next"]
+    buckets = dealt.select(*keys, F.col("own").cast("long").alias("own"), "fp").repartition(*keys).sortWithinPartitions(*keys)
+    return buckets.mapInArrow(task, "a long, b long").distinct()
 
 
 def near_duplicates(
