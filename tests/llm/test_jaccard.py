@@ -1,0 +1,79 @@
+"""Near copies by five-word Jaccard similarity of 0.8, against all pairs."""
+
+import collections
+import random
+import re
+
+import numpy as np
+import pyarrow as pa
+import pytest
+
+from panelcast.llm import jaccard, op8_simhash
+
+from .test_simhash import ODD, groups_of, near_copies
+
+SF = "/root/testdata/sf0.01"
+
+
+def shingles(text):
+    w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def alike(texts):
+    """Index pairs of Jaccard similarity 0.8 at least, and the best similarity of each text with another."""
+    sets, holds, best = [shingles(t) for t in texts], collections.defaultdict(list), [0.0] * len(texts)
+    for i, s in enumerate(sets):
+        for x in s:
+            holds[x].append(i)
+    common = collections.Counter((a, b) for h in holds.values() for k, a in enumerate(h) for b in h[k + 1 :])
+    out = [(a, b) for a in range(len(texts)) for b in range(a) if not sets[a] and not sets[b]]
+    for (a, b), n in common.items():
+        j = n / (len(sets[a]) + len(sets[b]) - n)
+        best[a], best[b] = max(best[a], j), max(best[b], j)
+        if 5 * n >= 4 * (len(sets[a]) + len(sets[b]) - n):
+            out.append((a, b))
+    return out, best
+
+
+@pytest.fixture(scope="module")
+def table(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = sorted(docs.select("doc_id", "text").collect())
+    pairs, best = alike([r.text for r in rows])
+    root = groups_of(len(rows), pairs)
+    want = {rows[i].doc_id for i in range(len(rows)) if root[i] == i}
+    got = {r.doc_id for r in op8_simhash.deduplicate(docs).collect()}
+    return rows, pairs, best, want, got
+
+
+def test_no_near_copy_is_kept_twice(table):
+    rows, pairs, _, want, got = table
+    prints = op8_simhash.fingerprints_of(pa.array([r.text for r in rows]), 5, 42)
+    assert any(int(np.bitwise_count(prints[a] ^ prints[b])) > 8 for a, b in pairs)
+    assert not got - want
+
+
+def test_groups_against_all_pairs(spark):
+    """Large groups whose members are not all alike, texts under five words, and chains around the limit."""
+    rng = random.Random(7)
+    texts = [t for n in (60, 100, 200) for t in near_copies(40, rng, n)]
+    walk = [f"v{i}" for i in range(150)]
+    for i in range(40):
+        walk[rng.randrange(150)] = f"y{i}"
+        texts.append(" ".join(walk))
+    texts += ODD + ["a b c d", "A  b c d", "a b c e"]
+    rng.shuffle(texts)
+    pairs, _ = alike(texts)
+    want = [i for i, r in enumerate(groups_of(len(texts), pairs)) if i == r]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in op8_simhash.deduplicate(docs).collect()) == want
+
+
+def test_bands_miss_next_to_no_pair_at_the_limit():
+    rng, missed = np.random.default_rng(8), 0
+    for _ in range(2000):
+        h = rng.integers(0, 1 << 63, 100, dtype=np.uint64)  # 90 of each, 80 in both: J = 0.8
+        _, keys = jaccard.signatures(np.r_[np.sort(h[:90]), np.sort(h[10:])], np.array([0, 90, 180]))
+        missed += not (keys[0] == keys[1]).any()
+    assert missed <= 1
