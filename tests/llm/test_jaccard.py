@@ -54,6 +54,12 @@ def test_no_near_copy_is_kept_twice(table):
     assert not got - want
 
 
+def test_no_clean_document_is_dropped(table):
+    rows, _, best, want, got = table
+    assert {r.doc_id for r, j in zip(rows, best) if j < 0.8 and shingles(r.text)} <= got
+    assert not want - got
+
+
 def test_groups_against_all_pairs(spark):
     """Large groups whose members are not all alike, texts under five words, and chains around the limit."""
     rng = random.Random(7)
