@@ -3,10 +3,10 @@
 Words are longest runs of ASCII letters and digits and of anything beyond ASCII, in
 lower case.  A mask is laid over every ``SPAN`` words and only the words at its ones are
 hashed, so a substituted word under a zero does not matter.  Hashes of the benchmark
-are joined with those of the documents; a hit fixes an alignment, and along it the
-stretch with the best score (a match counts ``MATCH``, a mismatch ``MISS``) is measured.
-A document is reported if the stretch holds at least ``LEAST`` matches (or, in a shorter
-item, 80 % of its words) and at least 80 % of its words match.
+are joined with those of the documents; a hit fixes an alignment.  A document is reported
+if any stretch along it holds at least ``LEAST`` matches (or, in a shorter item, 80 % of
+its words) and at least 80 % of its words match.  The stretch with the best score (a match
+counts ``MATCH``, a mismatch ``MISS``) is given if it does, else the one with most matches.
 
 A filter of fixed size, built from all benchmark hashes, drops most document hashes in
 the task that makes them; what passes is joined exactly, so the filter only saves work
@@ -39,7 +39,7 @@ SHORTEST = 5
 LEAST = 10
 SIMILARITY = 0.8
 MATCH, MISS = 1, -3
-AROUND = 32  # words kept on either side of a hit
+AROUND = 32  # words kept on either side of a hit, or those of the longest item if it has more
 FILTER_BITS = 24  # each of the two filters has 2 ** 24 bits
 SALTS = 16
 
@@ -121,7 +121,9 @@ def bloom(known: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
-def regions(docs: DataFrame, filters: tuple[np.ndarray, np.ndarray], lengths: tuple[int, ...], text: str = "text") -> DataFrame:
+def regions(
+    docs: DataFrame, filters: tuple[np.ndarray, np.ndarray], lengths: tuple[int, ...], text: str = "text", around: int = AROUND
+) -> DataFrame:
     """(doc_id, digest, start, words, at, hash): words around the hits of the filter, and the hits."""
     shapes = seeds(lengths)
     longest = max(s[-1] + 1 for s in shapes)
@@ -146,7 +148,7 @@ def regions(docs: DataFrame, filters: tuple[np.ndarray, np.ndarray], lengths: tu
                 at, hashes = at[order], hashes[order]
                 if not len(at):
                     continue
-                new = np.flatnonzero(np.r_[True, (owner[at[1:]] != owner[at[:-1]]) | (at[1:] - at[:-1] > longest + 2 * AROUND)])
+                new = np.flatnonzero(np.r_[True, (owner[at[1:]] != owner[at[:-1]]) | (at[1:] - at[:-1] > longest + 2 * around)])
                 ends = np.r_[new[1:], len(at)]
                 rows: list[list] = [[], [], [], [], []]
                 for x, y in zip(new.tolist(), ends.tolist()):
@@ -154,8 +156,8 @@ def regions(docs: DataFrame, filters: tuple[np.ndarray, np.ndarray], lengths: tu
                     for p in range(x, y, 4096):
                         q = min(p + 4096, y)
                         doc = owner[at[p]]
-                        first = max(int(w.bounds[doc]), int(at[p]) - AROUND)
-                        last = min(int(w.bounds[doc + 1]), int(at[q - 1]) + longest + AROUND)
+                        first = max(int(w.bounds[doc]), int(at[p]) - around)
+                        last = min(int(w.bounds[doc + 1]), int(at[q - 1]) + longest + around)
                         once = np.sort(np.unique(hashes[p:q], return_index=True)[1]) + p
                         for r, v in zip(rows, (int(doc), first - int(w.bounds[doc]), h[first:last].view(np.int64), at[once] - first, hashes[once].view(np.int64))):
                             r.append(v)
@@ -182,13 +184,40 @@ def best_stretch(a: np.ndarray, b: np.ndarray, diagonal: int) -> tuple[int, int,
     return int(same[start:stop].sum()), first + start, first + stop
 
 
+def longest_alike(a: np.ndarray, b: np.ndarray, diagonal: int) -> tuple[int, int, int]:
+    """(matches, first, end) of the stretch with most matches of which 80 % match; the shortest such."""
+    first, end = max(0, diagonal), min(len(a), diagonal + len(b))
+    if end <= first:
+        return 0, 0, 0
+    same = a[first:end] == b[first - diagonal : end - diagonal]
+    # a stretch holds if the sum over it is not negative: it may start at any place whose sum is no larger
+    sums = np.r_[0, np.cumsum(np.where(same, 1, -4))]
+    start = np.searchsorted(-np.minimum.accumulate(sums), -sums, "left")
+    count = np.r_[0, np.cumsum(same)]
+    matched = count - count[start]
+    stop = int(np.lexsort((np.arange(len(sums)) - start, -matched))[0])
+    begin = int(start[stop])
+    begin += int(np.argmax(same[begin:stop])) if stop > begin else 0
+    return int(matched[stop]), first + begin, first + stop
+
+
+def quote(a: np.ndarray, b: np.ndarray, diagonal: int) -> tuple[int, int, int] | None:
+    """(matches, first, end) of a stretch that makes a document reported, if there is one."""
+    for found in (best_stretch, longest_alike):
+        matched, first, end = found(a, b, diagonal)
+        if matched >= min(LEAST, SIMILARITY * len(b)) and matched >= SIMILARITY * (end - first):
+            return matched, first, end
+    return None
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """doc_id, digest, item_id, matched, length, start of each document that quotes an item."""
     tests = stage(items(benchmark), "benchmark-words")
     short = tests.select(F.size("words").alias("n")).filter(F.col("n").between(SHORTEST, SPAN - 1)).distinct()
     lengths = tuple(sorted(r.n for r in short.collect()))  # fewer than SPAN rows
     known = stage(item_seeds(tests, lengths), "benchmark-seeds")
-    found = stage(regions(docs, bloom(known), lengths, text).distinct(), "hit-regions")
+    around = max(AROUND, tests.agg(F.max(F.size("words"))).first()[0] or 0)
+    found = stage(regions(docs, bloom(known), lengths, text, around).distinct(), "hit-regions")
     # the regions' words stay where they are; hits travel under a number made of their content
     found = found.withColumn("region", F.xxhash64("doc_id", "digest", "start", "words"))
     hits = found.select("region", F.explode(F.arrays_zip("at", "hash")).alias("h")).select("region", "h.*")
@@ -205,8 +234,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFr
             where, item = batch.column(5), batch.column(6)
             for i, (start, diagonal) in enumerate(zip(batch.column(3).to_pylist(), batch.column(4).to_pylist())):
                 b = item[i].values.to_numpy()
-                matched, first, end = best_stretch(where[i].values.to_numpy(), b, diagonal)
-                if matched >= min(LEAST, SIMILARITY * len(b)) and matched >= SIMILARITY * (end - first):
+                stretch = quote(where[i].values.to_numpy(), b, diagonal)
+                if stretch:
+                    matched, first, end = stretch
                     for r, v in zip(rows, (i, matched, end - first, start + first)):
                         r.append(v)
             at = pa.array(rows[0], pa.int64())
