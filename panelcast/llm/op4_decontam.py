@@ -1,7 +1,7 @@
 """Benchmark decontamination by spaced seeds.
 
 Words are longest runs of ASCII letters and digits and of anything beyond ASCII, in
-lower case.  A mask is laid over every ``SPAN`` words and only the words at its ones are
+lower case.  A mask is laid over every eleven words and only the words at its ones are
 hashed, so a substituted word under a zero does not matter.  Hashes of the benchmark
 are joined with those of the documents; a hit fixes an alignment.  A document is reported
 if any stretch along it holds at least ``LEAST`` matches (or, in a shorter item, 80 % of
@@ -14,8 +14,9 @@ whatever the size of the benchmark.  Documents send on the words around their hi
 their texts.  Hits are salted by document, so a passage that a third of them quote
 spreads over many tasks.
 
-Items shorter than ``SPAN`` words are sought as a whole, without gaps; items under
-``SHORTEST`` words are not sought, since clean text holds them by chance.  Nulls count
+Items shorter than ``LONG`` words have masks of four words in up to five, which hit every
+quote that keeps the rule; items under ``SHORTEST`` words are not sought, since clean text
+holds them by chance.  Nulls count
 as empty texts.  Rows that repeat doc_id and text are reported once.
 """
 
@@ -34,7 +35,8 @@ from panelcast.session import stage
 
 # The seeds. Six of eleven words count; the first and last always do.
 MASKS = ("11010010101", "10110100011", "11001001101", "10011101001", "11100010011")
-SPAN = 11
+SHORT_MASKS = ("1111", "11011", "10111", "11101")
+LONG = 15  # items from this length on have the long masks
 SHORTEST = 5
 LEAST = 10
 SIMILARITY = 0.8
@@ -47,9 +49,9 @@ _CLASSES = np.zeros(256, np.uint8)
 _CLASSES[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = 1
 
 
-def seeds(lengths: tuple[int, ...]) -> list[tuple[int, ...]]:
-    """Offsets of each seed: the masks, then a gapless one for each length of short items."""
-    return [tuple(i for i, c in enumerate(m) if c == "1") for m in MASKS] + [tuple(range(n)) for n in lengths]
+def seeds(short: bool) -> list[tuple[int, ...]]:
+    """Offsets of each seed: the masks, then those of short items if there are any."""
+    return [tuple(i for i, c in enumerate(m) if c == "1") for m in (*MASKS, *(SHORT_MASKS if short else ()))]
 
 
 def seed_hashes(h: np.ndarray, offsets: tuple[int, ...], number: int) -> np.ndarray:
@@ -86,7 +88,7 @@ def items(benchmark: DataFrame, text: str = "text") -> DataFrame:
     return benchmark.select(F.col("item_id").cast("long"), text).mapInArrow(task, "item_id long, words array<long>").distinct()
 
 
-def item_seeds(tests: DataFrame, lengths: tuple[int, ...]) -> DataFrame:
+def item_seeds(tests: DataFrame) -> DataFrame:
     """(item_id, hash, place) of every seed; of a seed that an item repeats, the first place."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,8 +97,9 @@ def item_seeds(tests: DataFrame, lengths: tuple[int, ...]) -> DataFrame:
                 h = w.values.to_numpy().view(np.uint64)
                 if len(h) < SHORTEST:
                     continue
-                own = range(len(MASKS)) if len(h) >= SPAN else [len(MASKS) + lengths.index(len(h))]
-                found = [seed_hashes(h, seeds(lengths)[n], n) for n in own]
+                own = list(enumerate(seeds(short=True)))
+                own = own[: len(MASKS)] if len(h) >= LONG else own[len(MASKS) :]
+                found = [seed_hashes(h, offsets, n) for n, offsets in own]
                 hashes = np.concatenate(found).view(np.int64)
                 place = np.concatenate([np.arange(len(f)) for f in found])
                 yield pa.RecordBatch.from_arrays(
@@ -122,10 +125,10 @@ def bloom(known: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def regions(
-    docs: DataFrame, filters: tuple[np.ndarray, np.ndarray], lengths: tuple[int, ...], text: str = "text", around: int = AROUND
+    docs: DataFrame, filters: tuple[np.ndarray, np.ndarray], short: bool, text: str = "text", around: int = AROUND
 ) -> DataFrame:
     """(doc_id, digest, start, words, at, hash): words around the hits of the filter, and the hits."""
-    shapes = seeds(lengths)
+    shapes = seeds(short)
     longest = max(s[-1] + 1 for s in shapes)
     high, low = filters
 
@@ -213,11 +216,10 @@ def quote(a: np.ndarray, b: np.ndarray, diagonal: int) -> tuple[int, int, int] |
 def matches(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """doc_id, digest, item_id, matched, length, start of each document that quotes an item."""
     tests = stage(items(benchmark), "benchmark-words")
-    short = tests.select(F.size("words").alias("n")).filter(F.col("n").between(SHORTEST, SPAN - 1)).distinct()
-    lengths = tuple(sorted(r.n for r in short.collect()))  # fewer than SPAN rows
-    known = stage(item_seeds(tests, lengths), "benchmark-seeds")
+    short = not tests.filter(F.size("words").between(SHORTEST, LONG - 1)).isEmpty()
+    known = stage(item_seeds(tests), "benchmark-seeds")
     around = max(AROUND, tests.agg(F.max(F.size("words"))).first()[0] or 0)
-    found = stage(regions(docs, bloom(known), lengths, text, around).distinct(), "hit-regions")
+    found = stage(regions(docs, bloom(known), short, text, around).distinct(), "hit-regions")
     # the regions' words stay where they are; hits travel under a number made of their content
     found = found.withColumn("region", F.xxhash64("doc_id", "digest", "start", "words"))
     hits = found.select("region", F.explode(F.arrays_zip("at", "hash")).alias("h")).select("region", "h.*")

@@ -43,3 +43,30 @@ def test_substitutions_past_the_best_stretch(spark):
         rows.append((i, " ".join(w)))
     got = {(r.doc_id, r.item_id): (r.matched, r.length) for r in op4_decontam.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), tests).collect()}
     assert got == {(0, 1): (13, 15), (1, 1): (11, 12), (2, 1): (12, 14)}
+
+
+def test_short_items_keep_their_tolerance(spark):
+    rng = random.Random(4)
+    tests = {n: prose(rng, n) for n in range(4, 15)}
+    rows, want = [], set()
+    for n, item in tests.items():
+        for place in range(n):
+            w = prose(rng, 30)
+            w[15:15] = [*item[:place], "other", *item[place + 1 :]]
+            rows.append((100 * n + place, " ".join(w)))
+            if n >= 5:
+                want.add((100 * n + place, n))
+    benchmark = spark.createDataFrame([(n, " ".join(t)) for n, t in tests.items()], "item_id long, text string")
+    got = op4_decontam.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), benchmark).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == want
+
+
+def test_short_masks_hit_every_quote_that_keeps_the_rule():
+    masks = op4_decontam.seeds(short=True)[len(op4_decontam.MASKS) :]
+    for n in range(op4_decontam.SHORTEST, op4_decontam.LONG):
+        b = np.arange(n)
+        for bits in range(1 << n):
+            same = (bits >> b & 1).astype(bool)
+            if same.sum() < min(10, 0.8 * n) or op4_decontam.quote(np.where(same, b, -1), b, 0) is None:
+                continue
+            assert any(same[x + np.array(m)].all() for m in masks for x in range(n - m[-1]))
