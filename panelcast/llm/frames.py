@@ -45,6 +45,23 @@ def packed(docs: DataFrame, *needed: str) -> DataFrame:
     return docs.select(*needed, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"))
 
 
+def _holds_map(kind: T.DataType) -> bool:
+    if isinstance(kind, T.MapType):
+        return True
+    if isinstance(kind, T.ArrayType):
+        return _holds_map(kind.elementType)
+    return isinstance(kind, T.StructType) and any(_holds_map(f.dataType) for f in kind.fields)
+
+
+def orderable(row: str, docs: DataFrame) -> Column:
+    """The packed row ``row`` of ``docs`` in a form that can be hashed and ordered: a map is replaced by its JSON."""
+    fields = [
+        F.to_json(F.struct(F.col(f"{row}.`{f.name}`"))) if _holds_map(f.dataType) else F.col(f"{row}.`{f.name}`")
+        for f in docs.schema.fields
+    ]
+    return F.struct(*[f.alias(f"c{i}") for i, f in enumerate(fields)])
+
+
 def running_total(df: DataFrame, order: list[str], value: str, out: str, key: str | None = None) -> DataFrame:
     """Adds ``out``: the sum of ``value`` over the rows up to this one, per ``key`` if given.
 

@@ -20,7 +20,7 @@ from math import ceil, log2
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelcast.llm.frames import packed, running_total, text_or_empty, total
+from panelcast.llm.frames import orderable, packed, running_total, text_or_empty, total
 from panelcast.session import stage
 
 LIMIT = 1 << 20  # bytes of text in a shard
@@ -116,8 +116,9 @@ def sharded(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
     """
     to = ["shard", "depth", "shard_bytes"]
     own = [c for c in docs.columns if c.lower() not in to]
-    rows = packed(docs.select(*[F.col(f"`{c}`") for c in own]), "doc_id", "text")
-    row = F.xxhash64("_doc")
+    docs = docs.select(*[F.col(f"`{c}`") for c in own])
+    rows = packed(docs, "doc_id", "text")
+    row = F.xxhash64(orderable("_doc", docs))
     placed = assign(rows, limit, [row.alias("_row")])
     spot = F.struct(*to)
     spots = placed.groupBy(F.col("doc_id").alias("_id"), F.col("_row").alias("_key")).agg(F.min(spot).alias("_spot"), F.max(spot).alias("_last"))
@@ -128,7 +129,7 @@ def sharded(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
     several = spots.filter("_spot <> _last").select("_id", "_key")
     key = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_row") == F.col("_key"))
     pages = placed.join(several, key, "left_semi").groupBy("doc_id", "_row", *to).agg(F.count("*").alias("_times"))
-    head = rows.join(several, same).groupBy("_id", "_key").agg(F.min("_doc").alias("_doc"))
+    head = rows.join(several, same).groupBy("_id", "_key").agg(F.min_by("_doc", orderable("_doc", docs)).alias("_doc"))
     again = pages.join(head, key).withColumn("_n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times"))))
     return once.unionByName(again.select("_doc.*", *to))
 

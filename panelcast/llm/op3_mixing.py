@@ -20,7 +20,7 @@ from math import lcm
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelcast.llm.frames import WORD, packed, running_total, text_or_empty
+from panelcast.llm.frames import WORD, orderable, packed, running_total, text_or_empty
 from panelcast.session import stage
 
 WEIGHTS = (5, 2, 1)  # of the sources in order, repeating
@@ -100,13 +100,13 @@ def mix(docs: DataFrame) -> DataFrame:
 def mixed(docs: DataFrame) -> DataFrame:
     """The rows of the mix: each row of ``docs`` as often as it is taken."""
     rows = packed(docs, "doc_id", "text", "source")
-    row = F.xxhash64("_doc")
+    row = F.xxhash64(orderable("_doc", docs))
     chosen = plan(rows, key=row).groupBy(F.col("doc_id").alias("_id"), F.col("_row").alias("_key"))
     chosen = stage(chosen.agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows")), "mix-copies").filter("_copies > 0")
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (row == F.col("_key"))
     once = rows.join(chosen.filter("_rows = 1"), same).select("_doc", "_copies")
     # repeated rows are alike in every column: one of them, as often as all are taken
-    alike = rows.join(chosen.filter("_rows > 1"), same).groupBy("_id", "_key").agg(F.min("_doc").alias("_doc"), F.first("_copies").alias("_copies"))
+    alike = rows.join(chosen.filter("_rows > 1"), same).groupBy("_id", "_key").agg(F.min_by("_doc", orderable("_doc", docs)).alias("_doc"), F.first("_copies").alias("_copies"))
     every = once.unionByName(alike.select("_doc", "_copies"))
     return every.select("_doc", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("_doc.*")
 

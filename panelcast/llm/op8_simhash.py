@@ -28,8 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelcast.llm import components, jaccard, words
-from panelcast.llm.frames import packed, with_python
+from panelcast.llm import components, words
+from panelcast.llm.frames import orderable, packed, with_python
 from panelcast.session import stage
 
 BITS = 64
@@ -257,21 +257,23 @@ def label(prints: DataFrame, pairs: DataFrame) -> DataFrame:
     )
 
 
-def deduplicate(docs: DataFrame, shingle: int = 5) -> DataFrame:
-    """The rows of ``docs``, one of each group of near copies: that of the smallest doc_id.
+def deduplicate(
+    docs: DataFrame, shingle: int = 4, seed: int = 42, max_bits: int = 4, segments: int = 5, bucket_rows: int = BUCKET_ROWS
+) -> DataFrame:
+    """The rows of ``docs``, one of each component of ``near_duplicates``: that of the smallest doc_id.
 
-    Near copies share at least 0.8 of their shingles (Jaccard), which 8 of 64 bits neither
-    reach nor prove; so this takes the verified pairs of ``jaccard``.  A null doc_id counts
-    as larger than any other; of rows that repeat both doc_id and text, one stays.
+    A null doc_id counts as larger than any other; of rows that repeat both doc_id and text,
+    one stays.  Null and blank texts are copies of each other, so one of them stays.
     """
-    prints = stage(jaccard.prints(docs, shingle), "fingerprints")
-    roots = jaccard.groups(docs, prints, shingle).withColumnRenamed("node", "_node")
+    prints = stage(fingerprint(docs, shingle, seed), "fingerprints")
+    pairs = links(prints.select("fp").distinct(), max_bits, segments, bucket_rows)
+    roots = components.connected(pairs).withColumnRenamed("node", "_node")
     rank = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"), (F.col("count") > 1).alias("_more"))
-    heads = prints.groupBy("node", "doc_id", "digest").count().groupBy("node").agg(F.min(rank).alias("head"))
-    heads = heads.join(roots, F.col("node") == F.col("_node"), "left").groupBy(F.coalesce("root", "node")).agg(F.min("head").alias("head"))
+    heads = prints.groupBy("fp", "doc_id", "digest").count().groupBy("fp").agg(F.min(rank).alias("head"))
+    heads = heads.join(roots, F.col("fp") == F.col("_node"), "left").groupBy(F.coalesce("root", "fp")).agg(F.min("head").alias("head"))
     heads = stage(heads.select("head._id", "head._digest", "head._more"), "group-heads")
     rows = packed(docs, "doc_id", "text")
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_digest"))
     once = rows.join(heads.filter("not _more"), same, "left_semi")
-    alike = rows.join(heads.filter("_more"), same).groupBy("_id", "_digest").agg(F.min("_doc").alias("_doc"))
+    alike = rows.join(heads.filter("_more"), same).groupBy("_id", "_digest").agg(F.min_by("_doc", orderable("_doc", docs)).alias("_doc"))
     return once.select("_doc.*").unionByName(alike.select("_doc.*"))
