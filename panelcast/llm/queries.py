@@ -17,6 +17,9 @@ from panelcast.llm import (
     op8_simhash,
     op9_warc,
     op10_sharding,
+    op11_ngram_join,
+    op12_whitening,
+    op13_codes,
 )
 from panelcast.llm.frames import read_table
 
@@ -66,6 +69,18 @@ def op10_extendible_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return op10_sharding.assign(read_table(spark, folder, "documents"))
 
 
+def op11_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return op11_ngram_join.join(read_table(spark, folder, "documents"))
+
+
+def op12_embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return op12_whitening.whiten(read_table(spark, folder, "embeddings"))
+
+
+def op13_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
+    return op13_codes.compress(read_table(spark, folder, "embeddings"))
+
+
 QUERIES |= {
     f.__name__: f
     for f in (
@@ -79,6 +94,9 @@ QUERIES |= {
         op8_simhash_near_dedup,
         op9_warc_normaliser,
         op10_extendible_sharding,
+        op11_ngram_jaccard_join,
+        op12_embedding_whitening,
+        op13_vector_codes,
     )
 }
 SQL |= {
@@ -87,4 +105,6 @@ SQL |= {
     "op6_url_rules": op6_urls.SQL,
     "op9_warc_normaliser": op9_warc.SQL,
     "op10_extendible_sharding": op10_sharding.SQL,
+    "op11_ngram_jaccard_join": op11_ngram_join.SQL,
+    "op13_vector_codes": op13_codes.SQL,
 }
