@@ -45,6 +45,7 @@ ALIKE = (9, 10)  # least Jaccard similarity, as a fraction
 SKETCH_BITS = 21  # counters of the sketch: 2 ** 21, one byte each when it is used
 SKETCH_PARTS = 64
 FILTER_BITS = 23  # of the bit set that picks the texts whose sets are needed
+LIST_BITS = 25  # of the bit set that picks the shingles whose lists hold several sets
 TOKEN_BITS = 58
 CHUNK = 512  # members compared with one copy of their leader's set
 GROUP = 2048  # members, or entries of a list, on either side of a task
@@ -139,8 +140,11 @@ def sketch(counts: DataFrame) -> np.ndarray:
     return out.ravel()
 
 
-def entries(docs: DataFrame, levels: np.ndarray, shingle: int, text: str) -> DataFrame:
-    """(token, node, size, pos) for the first shingles of every set; a task gives a set once."""
+def entries(docs: DataFrame, levels: np.ndarray, shingle: int, text: str, only: np.ndarray | None = None) -> DataFrame:
+    """(token, node, size, pos) for the first shingles of every set; a task gives a set once.
+
+    With ``only``, a bit set of shingles, those it rules out are left away.
+    """
     p, q = ALIKE
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,15 +164,33 @@ def entries(docs: DataFrame, levels: np.ndarray, shingle: int, text: str) -> Dat
                 length = np.where(fresh, size - (p * size + q - 1) // q + 1, 0)
                 owner = np.repeat(np.arange(len(node)), length)
                 pos = np.arange(len(owner)) - np.repeat(np.cumsum(length) - length, length)
-                taken = tokens[bounds[:-1][owner] + pos]
+                taken = tokens[bounds[:-1][owner] + pos].view(np.int64)
+                if only is not None:
+                    kept = np.flatnonzero(in_bit_set(only, taken))
+                    taken, owner, pos = taken[kept], owner[kept], pos[kept]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(taken.view(np.int64)), pa.array(node[owner]), pa.array(size[owner].astype(np.int32)), pa.array(pos.astype(np.int32))],
+                    [pa.array(taken), pa.array(node[owner]), pa.array(size[owner].astype(np.int32)), pa.array(pos.astype(np.int32))],
                     names=["token", "node", "size", "pos"],
                 )
 
     return docs.select(F.col(text).alias("_text")).mapInArrow(task, "token long, node long, size int, pos int")
 
 
+def bit_set(keys: DataFrame, bits: int) -> np.ndarray:
+    """A bit set of 2 ** bits with the low bits of the long column ``key``."""
+    cells = keys.selectExpr(f"key & {(1 << bits) - 1}L AS b").selectExpr("shiftright(b, 5) AS cell", "shiftleft(1L, cast(b & 31 AS int)) AS bit")
+    # 2 ** (bits - 5) rows at most
+    rows = cells.groupBy("cell").agg(F.bit_or("bit").alias("bits")).toArrow()
+    table = np.zeros(1 << (bits - 5), np.uint32)
+    table[rows["cell"].to_numpy()] = rows["bits"].to_numpy().astype(np.uint32)
+    return table
+
+
+def in_bit_set(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    at = keys & (32 * len(table) - 1)
+    return (table[at >> 5] >> (at & 31).astype(np.uint32)) & np.uint32(1)
+
+
 def reach(size: str, pos: str, other: str, other_pos: str) -> str:
     """SQL: sizes and positions in a list still allow the similarity."""
     p, q = ALIKE
@@ -178,39 +200,30 @@ def reach(size: str, pos: str, other: str, other_pos: str) -> str:
     )
 
 
-def lists_of(made: DataFrame) -> DataFrame:
-    """(token, node, size, pos, lead, lead_size, lead_pos): lists of several nodes, and the node that leads each."""
-    heads = made.groupBy("token").agg(F.min("node").alias("lead"), F.max("node").alias("_last")).filter("lead <> _last").drop("_last")
-    shared = stage(made.join(heads, "token").distinct(), "shared-lists")
+def lists_of(docs: DataFrame, levels: np.ndarray, shingle: int, text: str) -> DataFrame:
+    """(token, node, size, pos, lead, lead_size, lead_pos): lists of several nodes, and the node that leads each.
+
+    Most first shingles stand in one set only.  So a first pass finds the lists, and a second
+    sends the entries of these alone, as far as a bit set of fixed size tells.
+    """
+    heads = entries(docs, levels, shingle, text).groupBy("token").agg(F.min("node").alias("lead"), F.max("node").alias("_last"))
+    heads = stage(heads.filter("lead <> _last").drop("_last"), "list-heads")
+    found = entries(docs, levels, shingle, text, bit_set(heads.select(F.col("token").alias("key")), LIST_BITS))
+    shared = stage(found.join(heads, "token").distinct(), "shared-lists")
     leads = shared.filter("node = lead").select("token", F.col("size").alias("lead_size"), F.col("pos").alias("lead_pos"))
     return stage(shared.join(leads, "token"), "led-lists")
 
 
-def bit_set(keys: DataFrame) -> np.ndarray:
-    """A bit set of fixed size with the low bits of the long column ``key``."""
-    cells = keys.selectExpr(f"key & {(1 << FILTER_BITS) - 1}L AS b").selectExpr("shiftright(b, 5) AS cell", "shiftleft(1L, cast(b & 31 AS int)) AS bit")
-    # 2 ** (FILTER_BITS - 5) rows at most
-    rows = cells.groupBy("cell").agg(F.bit_or("bit").alias("bits")).toArrow()
-    table = np.zeros(1 << (FILTER_BITS - 5), np.uint32)
-    table[rows["cell"].to_numpy()] = rows["bits"].to_numpy().astype(np.uint32)
-    return table
-
-
-def sets_of(docs: DataFrame, known: DataFrame, wanted: DataFrame, shingle: int, text: str) -> DataFrame:
-    """(node, tokens): the sets of the ``wanted`` nodes, from one text of each."""
-    chosen = known.groupBy("node").agg(F.min("digest").alias("digest")).join(wanted, "node", "left_semi")
-    chosen = stage(chosen, "wanted-sets")
-    bits = bit_set(chosen.select(F.col("digest").alias("key")))
-    low = (1 << FILTER_BITS) - 1
+def sets_of(docs: DataFrame, digests: DataFrame, shingle: int, text: str) -> DataFrame:
+    """(digest, tokens) of the texts of these digests; each task gives a text once."""
+    bits = bit_set(digests.select(F.col("digest").alias("key")), FILTER_BITS)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
             digests = batch.column(0).to_numpy()
-            at = digests & low
-            hit = np.flatnonzero((bits[at >> 5] >> (at & 31).astype(np.uint32)) & np.uint32(1))
             new = []
-            for i in hit.tolist():
+            for i in np.flatnonzero(in_bit_set(bits, digests)).tolist():
                 if int(digests[i]) not in seen:
                     seen.add(int(digests[i]))
                     new.append(i)
@@ -221,29 +234,37 @@ def sets_of(docs: DataFrame, known: DataFrame, wanted: DataFrame, shingle: int,
                 yield pa.RecordBatch.from_arrays([part.column(0).slice(a, b - a), lists], names=["digest", "tokens"])
 
     rows = docs.select(F.xxhash64(text).alias("digest"), F.col(text).alias("_text"))
-    made = rows.mapInArrow(task, "digest long, tokens array<long>")
-    # a task gives a text once; of the tasks' copies one stays
-    return stage(made.join(chosen, "digest").select("node", "tokens").dropDuplicates(["node"]), "needed-sets")
+    return rows.mapInArrow(task, "digest long, tokens array<long>")
 
 
-def relations(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(lead, node, lead_size, size, diff, linked) of the pairs (lead, node), from the whole sets."""
+def relations(docs: DataFrame, known: DataFrame, pairs: DataFrame, shingle: int, text: str) -> DataFrame:
+    """(lead, node, lead_size, size, diff, linked) of the pairs (lead, node), from the whole sets.
+
+    Sets are made from one text of each node and go straight to the chunks of members they
+    are needed for: a leader's to each of its chunks, a member's to each of its leaders.
+    """
     p, q = ALIKE
-    many = pairs.groupBy("lead").agg(F.ceil(F.count("*") / CHUNK).alias("_chunks"))
-    dealt = stage(pairs.join(many, "lead").withColumn("chunk", F.pmod(F.xxhash64("node"), "_chunks")), "led-pairs")
-    own = many.select(F.col("lead").alias("node"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("_chunks") - 1)).alias("chunk"))
-    members = dealt.select("lead", "chunk", F.lit(1).alias("role"), "node").join(sets, "node")
-    leads = own.join(sets, "node").select(F.col("node").alias("lead"), "chunk", F.lit(0).alias("role"), "node", "tokens")
-    order = ["lead", "chunk", "role"]
-    names = [*order, "node", "tokens"]
-    rows = members.select(*names).unionByName(leads.select(*names)).repartition("lead", "chunk").sortWithinPartitions(*order)
+    chunks = F.ceil(F.count("*") / CHUNK)
+    many = stage(pairs.groupBy("lead").agg(chunks.alias("_chunks")), "leaders")
+    members = pairs.join(many, "lead").select("lead", F.pmod(F.xxhash64("node"), "_chunks").alias("chunk"), F.lit(1).alias("role"), "node")
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_chunks") - 1))
+    leads = many.select("lead", every.alias("chunk"), F.lit(0).alias("role"), F.col("lead").alias("node"))
+    chosen = known.groupBy("node").agg(F.min("digest").alias("digest"))
+    places = stage(members.unionByName(leads).join(chosen, "node"), "set-places")
+    order = ["lead", "chunk", "role", "node"]
+    rows = sets_of(docs, places.select("digest").distinct(), shingle, text).join(places, "digest").select(*order, "tokens")
+    rows = rows.repartition("lead", "chunk").sortWithinPartitions(*order)
     out = ["lead", "node", "lead_size", "size", "diff", "linked"]
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first = np.empty(0, np.int64)
+        first, last = np.empty(0, np.int64), None
         for batch in batches:
             found: list[list] = [[] for _ in out]
-            for i, (lead, role, node) in enumerate(zip(*(batch.column(c).to_pylist() for c in (0, 2, 3)))):
+            for i, key in enumerate(zip(*(batch.column(c).to_pylist() for c in range(4)))):
+                if key == last:
+                    continue  # a copy of the text from another task
+                last = key
+                lead, _, role, node = key
                 tokens = batch.column(4)[i].values.to_numpy()
                 if role == 0:
                     first = tokens
@@ -405,18 +426,14 @@ def join(docs: DataFrame, shingle: int = SHINGLE, text: str = "text") -> DataFra
     """doc_id, n_shingles, component_id of every row of ``docs``."""
     known, counts = prints(docs, shingle, text)
     some = known.filter("size > 0")
-    made = stage(entries(docs, sketch(counts), shingle, text), "first-shingles")
-    lists = lists_of(made)
+    lists = lists_of(docs, sketch(counts), shingle, text)
     close = reach("size", "pos", "lead_size", "lead_pos")
-    pairs = stage(lists.filter(f"node <> lead AND {close}").select("lead", "node").distinct(), "leaders-pairs")
-    wanted = pairs.select(F.col("lead").alias("node")).union(pairs.select("node")).distinct()
-    related = relations(pairs, sets_of(docs, some, wanted, shingle, text))
+    pairs = stage(lists.filter(f"node <> lead AND {close}").select("lead", "node").distinct(), "led-pairs")
+    related = relations(docs, some, pairs, shingle, text)
     links = related.filter("linked").select(F.col("lead").alias("a"), F.col("node").alias("b")).union(answers(related))
     roots = stage(components.connected(links), "led-components")
-    rest = stage(rest_of_lists(lists, roots), "other-pairs")
-    wanted = rest.select(F.col("a").alias("node")).union(rest.select(F.col("b").alias("node"))).distinct()
-    others = relations(rest.select(F.col("a").alias("lead"), F.col("b").alias("node")), sets_of(docs, some, wanted, shingle, text))
-    more = others.filter("linked").select(F.col("lead").alias("a"), F.col("node").alias("b"))
+    rest = stage(rest_of_lists(lists, roots).select(F.col("a").alias("lead"), F.col("b").alias("node")), "other-pairs")
+    more = relations(docs, some, rest, shingle, text).filter("linked").select(F.col("lead").alias("a"), F.col("node").alias("b"))
     return label(known, components.connected(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more)))
 
 
