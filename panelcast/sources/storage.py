@@ -9,10 +9,23 @@ from pyspark.sql import functions as F
 from panelcast.functions.calendar import Bounds
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
 def is_complete(spark: SparkSession, path: str) -> bool:
-    """Whether the job that wrote ``path`` committed: Spark leaves its mark last."""
-    mark = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    return mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark)
+    """Whether the job that wrote ``path`` committed: Spark leaves its mark last.
+
+    A table of which single partitions are replaced bears no mark.
+    """
+    return exists(spark, f"{path}/_SUCCESS")
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder that is not needed any more; one that is not there is no error."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def materialise_once(tables: dict[str, DataFrame], folder: str) -> dict[str, DataFrame]:
