@@ -26,6 +26,7 @@ from panelcast.sources.facts import read_tables
 from panelcast.sources.star_schema import retail_facts
 from panelcast.streaming import incremental
 from panelcast.streaming.raw_facts import LINES, MonthlyFollower, tagged
+from panelcast.streaming.sums import DailySums
 
 TWO = list(SERIES.items())[:2]
 CFG = FeatureConfig.default(MONTH)
@@ -1049,3 +1050,22 @@ add(
     f"""SELECT CAST(ts AS DATE) AS date, event_type, count(*) AS row_count, {S.r('sum(value)', 'total')}
         FROM events GROUP BY CAST(ts AS DATE), event_type""",
 )
+
+
+def o01_sums(s, d):
+    """Events in four deliveries by time, every tenth of them in the last: days long closed get late events."""
+    events = read_tables(s, d, ["events"])["events"]
+    arrivals = staging_path(s, "deliveries")
+    second = F.col("ts").cast("timestamp").cast("double")
+    low, high = events.agg(F.min(second), F.max(second)).first()
+    quarter = F.floor(4 * (second - low) / (high - low))
+    late = F.pmod(F.xxhash64("event_id"), F.lit(10)) == 0
+    number = F.when(late, 3).otherwise(F.least(quarter, F.lit(3)))
+    follower = DailySums(s, "ts", ["event_type"], "value", "2 days", staging_path(s, "sums"))
+    for delivery in range(4):
+        events.where(number == delivery).write.mode("append").parquet(arrivals)
+        follower.run(s.readStream.schema(events.schema).parquet(arrivals))
+    return follower.table()
+
+
+add("o01_sums_from_state", o01_sums, SQL["o01_arriving_events"])

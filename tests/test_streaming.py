@@ -7,7 +7,7 @@ from panelcast.functions.calendar import MONTH
 from panelcast.operators.order_level import ORDER_TS
 from panelcast.operators.rollup import roll_up
 from panelcast.session import staging_path
-from panelcast.streaming import incremental
+from panelcast.streaming import incremental, sums
 
 
 def facts(spark, days, start=0):
@@ -63,3 +63,53 @@ def test_stream_resumes(spark):
     facts(spark, ["2020-01-06", "2020-02-01", "2020-02-09"], 50).coalesce(1).write.mode("append").parquet(arrivals)
     assert run() == 5
     assert run() == 5
+
+
+# --- sums in the state store ---------------------------------------------------------
+
+EVENTS = "ts timestamp, kind string, value double"
+
+
+def deliver(spark, folder, rows):
+    stamped = [(pd.Timestamp(t).to_pydatetime() if t else None, k, v) for t, k, v in rows]
+    spark.createDataFrame(stamped, EVENTS).coalesce(1).write.mode("append").parquet(folder)
+
+
+def test_sums_from_the_state_store(spark):
+    arrivals, folder = staging_path(spark, "arrivals"), staging_path(spark, "sums")
+    every = []
+
+    def run(rows):
+        every.extend(rows)
+        deliver(spark, arrivals, rows)
+        # a new object each time: all it knows comes from the folder
+        follower = sums.DailySums(spark, "ts", ["kind"], "value", "1 day", folder)
+        again = follower.run(spark.readStream.schema(EVENTS).parquet(arrivals))
+        whole = spark.createDataFrame([(pd.Timestamp(t).date(), k, v) for t, k, v in every if t], "date date, kind string, value double")
+        want = whole.groupBy("date", "kind").agg(F.count("*").alias("row_count"), F.sum("value").alias("total"))
+        key = lambda r: (r[0], str(r[1]))
+        columns = ["date", "kind", "row_count", "total"]
+        got = sorted(map(tuple, follower.table().select(*columns).collect()), key=key)
+        assert got == sorted(map(tuple, want.select(*columns).collect()), key=key)
+        return again
+
+    assert run([("2020-01-01 10:00", "a", 1.0), ("2020-01-01 23:59:59", "b", 2.0), (None, "a", 9.0)]) == []
+    # the day is still open: its state comes back from the checkpoint, nothing is computed again
+    assert run([("2020-01-01 11:00", "a", 4.0), ("2020-01-02 00:00", "a", 8.0), ("2020-01-02 01:00", None, 16.0)]) == []
+    assert run([("2020-01-09 00:00", "a", 32.0)]) == []
+    # the first two days are closed by now: their late events are found by counting
+    late = run([("2020-01-01 12:00", "c", 64.0), ("2020-01-09 05:00", "a", 128.0), ("2020-01-02 12:00", "a", 256.0)])
+    assert late == [dt.date(2020, 1, 1), dt.date(2020, 1, 2)]
+    assert run([("2020-01-01 13:00", "c", 512.0)]) == [dt.date(2020, 1, 1)]
+    assert sums.DailySums(spark, "ts", ["kind"], "value", "1 day", folder).run(spark.readStream.schema(EVENTS).parquet(arrivals)) == []
+
+
+def test_books_left_open_are_closed_by_the_next_run(spark, monkeypatch):
+    arrivals, folder = staging_path(spark, "arrivals"), staging_path(spark, "sums")
+    deliver(spark, arrivals, [("2020-01-01 10:00", "a", 1.0), ("2020-01-03 10:00", "a", 2.0)])
+    follower = sums.DailySums(spark, "ts", ["kind"], "value", "1 hour", folder)
+    monkeypatch.setattr(sums.DailySums, "_close", lambda *_: [])
+    follower.run(spark.readStream.schema(EVENTS).parquet(arrivals))
+    monkeypatch.undo()
+    follower.run(spark.readStream.schema(EVENTS).parquet(arrivals))
+    assert sorted((str(r.date), r.total) for r in follower.table().collect()) == [("2020-01-01", 1.0), ("2020-01-03", 2.0)]
