@@ -1,32 +1,30 @@
 """Step-by-step forecasts, in which each step's inputs hold the forecasts before it.
 
-Steps of one series depend on each other and series do not, so each series is one
-grouped-map call over its period-grain history.  The helpers below recompute for
-the newest row just the features the model reads.
+A series carries the state its next features need: of every metric the last values, as many
+as the longest lag or window asks for, the moving averages, and the number of rows.  It is
+read from the history once.  A step computes the features from the state, predicts, and
+pushes the row into the state, all in SQL expressions on one row per series; so a step costs
+the same however long the history is and however many steps came before it.
 """
 
 from __future__ import annotations
 
 import re
-import sys
+from collections.abc import Callable
+from dataclasses import replace
 
-import numpy as np
-import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelcast.functions.calendar import Grain
-
-# Workers get these functions with the job and need not have the package installed.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
+from panelcast.functions.calendar import Grain, calendar_features, month_cycle
+from panelcast.functions.numeric import non_negative
+from panelcast.operators import windows as W
+from panelcast.session import cut_lineage
 
 _WINDOWED = re.compile(r"(.+)_(lag|roll_mean|roll_std|roll_min|roll_max|ema)_(\d+)$")
-_RATIOS = {
-    "revenue_per_order": ("daily_revenue", "total_orders"),
-    "items_per_order": ("total_items", "total_orders"),
-    "freight_ratio": ("total_freight", "daily_revenue"),
-}
+_FORECAST = "_forecast"
+
+Predict = Callable[[DataFrame], DataFrame]
 
 
 def source_column(feature: str) -> str | None:
@@ -37,51 +35,140 @@ def source_column(feature: str) -> str | None:
     return feature.removesuffix("_pct_change") if feature.endswith("_pct_change") else None
 
 
-def _windowed(x: np.ndarray, kind: str, n: int) -> float:
-    """Feature of the newest row from the values ``x`` of all rows before it."""
-    if kind == "lag":
-        return x[-n] if len(x) >= n else np.nan
-    if kind == "ema":
-        r = 1.0 - 2.0 / (n + 1.0)
-        weights = (1.0 - r) * r ** np.arange(len(x))[::-1]
-        weights[0] = r ** (len(x) - 1)
-        return float(weights @ x)
-    tail = x[-n:]
-    if kind == "roll_std":
-        return float(np.std(tail, ddof=1)) if len(tail) > 1 else np.nan
-    return float({"roll_mean": np.mean, "roll_min": np.min, "roll_max": np.max}[kind](tail))
-
-
-def _calendar(feature: str, day: pd.Timestamp) -> float:
-    angle = 2 * np.pi * day.month / 12
-    values = {
-        "quarter": day.quarter,
-        "month_num": day.month,
-        "day_of_week": day.dayofweek,
-        "is_weekend": day.dayofweek >= 5,
-        "is_month_start": day.is_month_start,
-        "is_month_end": day.is_month_end,
-        "day_of_month": day.day,
-        "month_sin": np.sin(angle),
-        "month_cos": np.cos(angle),
-    }
-    return float(values[feature])
-
-
-def _newest_features(history: dict[str, np.ndarray], day: pd.Timestamp, features: list[str]) -> np.ndarray:
-    out = []
-    for name in features:
-        column = source_column(name)
-        if column is None:
-            out.append(float(len(next(iter(history.values()))) - 1) if name == "month_index" else _calendar(name, day))
-        elif name.endswith("_pct_change"):
-            x = history[column]
-            older = x[-3] if len(x) >= 3 else 0.0
-            out.append(x[-2] / older - 1.0 if older else 0.0)
+class FeatureState:
+    """State columns of a series and the expressions over them.
+
+    ``_past_<metric>`` holds the values before the current row, the newest last,
+    ``_ema_<metric>_<span>`` the moving average over them, ``_row`` their number.  The
+    current row's metrics and period keep their names.
+    """
+
+    def __init__(self, features: list[str], cfg, grain: Grain, series_keys: list[str]):
+        self.features, self.grain, self.keys = list(features), grain, list(series_keys)
+        self.metrics = sorted({c for c in map(source_column, features) if c})
+        self.depth = {c: 1 for c in self.metrics}
+        self.spans: dict[str, set[int]] = {c: set() for c in self.metrics}
+        for name in features:
+            found = _WINDOWED.match(name)
+            if found:
+                metric, kind, n = found[1], found[2], int(found[3])
+                self.depth[metric] = max(self.depth[metric], n if kind != "ema" else 1)
+                if kind == "ema" and n > 1:
+                    self.spans[metric].add(n)
+            elif name.endswith("_pct_change"):
+                self.depth[source_column(name)] = max(self.depth[source_column(name)], 2)
+        self.averages = [f"{c}_ema_{n}" for c in self.metrics for n in sorted(self.spans[c])]
+        spans = tuple(sorted({n for s in self.spans.values() for n in s}))
+        self.cfg = replace(cfg, rolling_windows=spans or cfg.rolling_windows)
+
+    def start(self, table: DataFrame) -> DataFrame:
+        """One row per series: its newest row and the state before it."""
+        from panelcast.plans.feature_frame import add_ratios, create_features
+
+        period, keys = self.grain.period, self.keys
+        metrics = [c for c in self.cfg.base_cols if c in table.columns]
+        slim = table.select(*keys, period, *[F.col(c).cast("double").alias(c) for c in metrics])
+        if self.averages:
+            frame, _ = create_features(slim, self.cfg, self.grain, keys, self.averages)
         else:
-            _, kind, n = _WINDOWED.match(name).groups()
-            out.append(_windowed(history[column][:-1], kind, int(n)))
-    return np.array(out)
+            frame = slim
+        have = [c for c in frame.columns if c in metrics or c in self.averages]
+        frame, _ = add_ratios(frame.select(*keys, period, *have), self.cfg)
+        back = f"row_number() OVER ({f'PARTITION BY {W._names(keys)} ' if keys else ''}ORDER BY `{period}` DESC) AS _back"
+        deepest = max(self.depth.values(), default=1)
+        row = ", ".join(f"`{c}`" for c in [period, *metrics, *self.metrics, *self.averages] if c in frame.columns)
+        row = f"named_struct({', '.join(f"'{c}', `{c}`" for c in dict.fromkeys(x.strip('`') for x in row.split(', ')))})"
+        state = frame.selectExpr("*", back).groupBy(*keys).agg(
+            F.expr(f"max_by({row}, `{period}`)").alias("_now"),
+            (F.count(F.lit(1)) - 1).alias(W.ROW),
+            F.expr(f"array_sort(collect_list(if(_back BETWEEN 2 AND {deepest + 1}, {row}, NULL)))").alias("_before"),
+        )
+        state = state.where("_now IS NOT NULL")
+        past = [
+            f"transform(slice(_before, greatest(size(_before) - {self.depth[c]}, 0) + 1, {self.depth[c]}), r -> r.`{c}`) AS `_past_{c}`"
+            for c in self.metrics
+        ]
+        averages = [f"_now.`{c}_ema_{n}` AS `_ema_{c}_{n}`" for c in self.metrics for n in sorted(self.spans[c])]
+        current = [f"_now.`{c}` AS `{c}`" for c in dict.fromkeys([period, *metrics, *self.metrics])]
+        return state.selectExpr(*[f"`{k}`" for k in keys], *current, W.ROW, *past, *averages)
+
+    # --- features of the current row --------------------------------------------------
+
+    def _expression(self, name: str) -> str:
+        found = _WINDOWED.match(name)
+        if not found:
+            metric = source_column(name)
+            if metric:
+                return f"coalesce(try_divide({self._lag(metric, 1)}, {self._lag(metric, 2)}) - 1, 0)"
+            if name == "month_index":
+                return W.ROW
+            return (calendar_features(self.grain.period, self.grain) | month_cycle(self.grain.period))[name]
+        metric, kind, n = found[1], found[2], int(found[3])
+        if kind == "lag" or (kind == "ema" and n <= 1):
+            return self._lag(metric, n)
+        if kind == "ema":
+            return f"`_ema_{metric}_{n}`"
+        past = f"`_past_{metric}`"
+        tail = f"filter(slice({past}, greatest(size({past}) - {n}, 0) + 1, {n}), x -> x IS NOT NULL)"
+        mean = f"try_divide(aggregate({tail}, 0D, (a, x) -> a + x), size({tail}))"
+        if kind == "roll_mean":
+            return mean
+        if kind == "roll_std":
+            squares = f"aggregate({tail}, 0D, (a, x) -> a + pow(x - {mean}, 2))"
+            return f"sqrt(try_divide({squares}, nullif(size({tail}), 1) - 1))"
+        return f"array_{kind.removeprefix('roll_')}({tail})"
+
+    def _lag(self, metric: str, k: int) -> str:
+        return f"get(`_past_{metric}`, size(`_past_{metric}`) - {k})"
+
+    def with_features(self, state: DataFrame) -> DataFrame:
+        return state.selectExpr("*", *[f"{self._expression(n)} AS `{n}`" for n in self.features])
+
+    # --- the next row -----------------------------------------------------------------
+
+    def advanced(self, predicted: DataFrame) -> DataFrame:
+        """The state one period later: the current row joins the past, the forecast is the new revenue."""
+        from panelcast.plans.feature_frame import add_ratios
+
+        period, revenue = self.grain.period, self.grain.revenue
+        out = {W.ROW: F.col(W.ROW) + 1}
+        for c in self.metrics:
+            depth = self.depth[c]
+            joined = f"concat(`_past_{c}`, array(`{c}`))"
+            out[f"_past_{c}"] = F.expr(f"slice({joined}, greatest(size({joined}) - {depth}, 0) + 1, {depth})")
+            for n in self.spans[c]:
+                r = repr(W._decay(n)) + "D"
+                out[f"_ema_{c}_{n}"] = F.expr(f"if(`_ema_{c}_{n}` IS NULL, `{c}`, {r} * `_ema_{c}_{n}` + (1D - {r}) * `{c}`)")
+        pushed = predicted.withColumns(out | {period: self.grain.shift(F.col(period)), revenue: F.col(_FORECAST)})
+        return add_ratios(pushed, self.cfg)[0]
+
+
+def recursive(
+    table: DataFrame, predict: Predict, value: str, features: list[str], cfg, grain: Grain, series_keys: list[str], horizon: int,
+    carried: DataFrame | None = None,
+) -> DataFrame:
+    """``horizon`` steps past the end of every series, clipped at zero.
+
+    Metrics other than revenue repeat their last value; ratios and calendar features follow
+    the forecast.  ``predict`` adds the column ``value``; ``carried`` has columns per series
+    that it needs.  All series take a step together in one job, whose rows (one per series)
+    are written below the shared folder, so a lost executor repeats one step.
+    """
+    from panelcast.plans.tuning import with_series_value
+
+    state = FeatureState(features, cfg, grain, series_keys)
+    now = state.start(table)
+    if carried is not None:
+        now = with_series_value(now, carried, series_keys)
+    now = now.withColumn("_made", F.expr("array()").cast("array<struct<period:date,step:int,y_pred:double>>"))
+    kept = [*now.columns]
+    now = cut_lineage(now)
+    for step in range(1, horizon + 1):
+        made = predict(state.with_features(now)).withColumn(_FORECAST, non_negative(F.col(value)))
+        entry = F.struct(grain.shift(F.col(grain.period)).alias("period"), F.lit(step).alias("step"), F.col(_FORECAST).alias("y_pred"))
+        made = made.withColumn("_made", F.concat("_made", F.array(entry)))
+        now = cut_lineage(state.advanced(made).select(*kept))
+    return now.select(*series_keys, F.explode("_made").alias("_m")).select(*series_keys, "_m.*")
 
 
 def recursive_ridge(
@@ -92,45 +179,12 @@ def recursive_ridge(
     series_keys: list[str],
     horizon: int,
 ) -> DataFrame:
-    """``horizon`` steps past the end of every series, clipped at zero.
-
-    Metrics other than revenue repeat their last value; ratios and calendar features
-    follow the forecast; moving averages go on from the whole history.
-    ``models`` has one row of coefficients per series.
-    """
-    from panelcast.plans.tuning import with_series_value
-
-    used = {c for c in map(source_column, features) if c}
-    inputs = {p for c in used for p in _RATIOS.get(c, (c,))} | {grain.revenue}
-    columns = sorted(inputs)
-    ratios = sorted(c for c in used if c in _RATIOS)
-    period, revenue, monthly = grain.period, grain.revenue, grain.unit == "month"
-
-    def forecast(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(period)
-        beta = np.asarray(rows["coefficients"].iloc[0], dtype=float)
-        day = pd.Timestamp(rows[period].iloc[-1])
-        history = {c: rows[c].to_numpy(dtype=float) for c in columns}
-        out = []
-        for step in range(1, horizon + 1):
-            seen = dict(history)
-            for name in ratios:
-                top, bottom = (history[c] for c in _RATIOS[name])
-                seen[name] = top / np.where(bottom == 0, 1.0, bottom)
-            x = _newest_features(seen, day, features)
-            value = max(0.0, float(beta[0] + beta[1:] @ x))
-            day = day + (pd.offsets.MonthBegin(1) if monthly else pd.Timedelta(days=1))
-            history = {c: np.append(v, value if c == revenue else v[-1]) for c, v in history.items()}
-            out.append((day.date(), step, value))
-        result = pd.DataFrame(out, columns=["period", "step", "y_pred"])
-        for k in series_keys:
-            result.insert(0, k, rows[k].iloc[0])
-        return result
-
-    kinds = {f.name: f.dataType.simpleString() for f in table.schema.fields}
-    schema = ", ".join(
-        [*[f"`{k}` {kinds[k]}" for k in reversed(series_keys)], "period date, step int, y_pred double"]
+    """Recursive forecast with one row of coefficients per series (``models``)."""
+    from panelcast.operators import ridge
+    from panelcast.plans.feature_frame import FeatureConfig
+
+    cfg = FeatureConfig.default(grain)
+    predict = lambda rows: rows.withColumn("_y", ridge.linear(features))
+    return recursive(
+        table, predict, "_y", features, cfg, grain, series_keys, horizon, models.select(*series_keys, "coefficients")
     )
-    slim = table.select(*series_keys, period, *[F.col(c).cast("double").alias(c) for c in columns])
-    ready = with_series_value(slim, models.select(*series_keys, "coefficients"), series_keys)
-    return ready.groupBy(*series_keys).applyInPandas(forecast, schema)

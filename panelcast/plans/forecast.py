@@ -10,12 +10,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelcast.functions.calendar import Bounds, Grain
-from panelcast.functions.numeric import non_negative
+from panelcast.operators import recursion
 from panelcast.operators.ranking import latest_row
 from panelcast.plans.feature_frame import FeatureConfig, create_features
 from panelcast.plans.period_tables import imputed, monthly_metrics
 from panelcast.plans.tuning import ridge_predict
-from panelcast.session import cut_lineage, stage
+from panelcast.session import stage
 from panelcast.sources.facts import Facts
 
 
@@ -71,33 +71,8 @@ def recursive_pooled(
     features: list[str],
     horizon: int,
 ) -> DataFrame:
-    """Recursive forecast with any fitted pipeline.
-
-    All series take a step together in one job; each step is written to the shared
-    checkpoint folder, so a lost executor repeats one step and not the chain.
-    """
-    columns = [*series_keys, grain.period, *cfg.base_cols]
-    on = [*series_keys, grain.period]
-    known = table.select(*columns).withColumn(grain.revenue, F.col(grain.revenue).cast("double"))
-    past = cut_lineage(known.withColumn("step", F.lit(0)))
-    history, ahead = past, None
-    for step in range(1, horizon + 1):
-        rows = scoring_rows(history, cfg, grain, series_keys, features)
-        predicted = model.transform(rows).select(*on, non_negative(F.col("prediction")).alias("_forecast"))
-        fresh = (
-            history.join(predicted, on, "inner")
-            .withColumn(grain.revenue, F.col("_forecast"))
-            .withColumn(grain.period, grain.shift(F.col(grain.period)))
-            .withColumn("step", F.lit(step))
-            .select(*columns, "step")
-        )
-        # a step writes its own rows only; the history before them is written once
-        made = cut_lineage(fresh)
-        ahead = made if ahead is None else ahead.unionByName(made)
-        history = past.unionByName(ahead)
-    return history.where(F.col("step") > 0).select(
-        *series_keys, F.col(grain.period).alias("period"), "step", F.col(grain.revenue).alias("y_pred")
-    )
+    """Recursive forecast with any fitted pipeline."""
+    return recursion.recursive(table, model.transform, "prediction", features, cfg, grain, series_keys, horizon)
 
 
 def simulate_cutoffs(
