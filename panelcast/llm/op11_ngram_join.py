@@ -37,12 +37,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelcast.llm import components, words
-from panelcast.llm.frames import tasks
+from panelcast.llm.frames import tasks, total
 from panelcast.session import stage
 
 SHINGLE = 3
 ALIKE = (9, 10)  # least Jaccard similarity, as a fraction
-SKETCH_BITS = 21  # counters of the sketch: 2 ** 21, one byte each when it is used
+SKETCH_BITS = 22  # counters of the sketch: 2 ** 22, one byte each when it is used
 SKETCH_PARTS = 64
 FILTER_BITS = 23  # of the bit set that picks the texts whose sets are needed
 LIST_BITS = 25  # of the bit set that picks the shingles whose lists hold several sets
@@ -121,8 +121,19 @@ def prints(docs: DataFrame, shingle: int, text: str) -> tuple[DataFrame, DataFra
     return made.filter("part is null").select(*names[:4]), made.filter("part is not null").select(*names[4:])
 
 
-def sketch(counts: DataFrame) -> np.ndarray:
-    """How often the shingles of each counter occur, as a power of two: 2 ** SKETCH_BITS bytes."""
+def level_of(counts: np.ndarray, mean: float) -> np.ndarray:
+    """Place of a counter in the order of shingles, 0 to 63: by how far it lies above what chance fills it with.
+
+    A counter holds about ``mean`` rare shingles and its root more or less; from there on a
+    frequent shingle shows.  Steps are fine about the mean and grow with the distance.
+    """
+    above = (counts - mean) / np.sqrt(mean + 1)
+    fine = np.clip(8 + 4 * above, 0, 32)
+    return np.minimum(fine + np.maximum(0, 4 * np.log2(np.maximum(above, 6) / 6)), 63).astype(np.uint8)
+
+
+def sketch(counts: DataFrame, mean: float) -> np.ndarray:
+    """The level of each counter: 2 ** SKETCH_BITS bytes."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
@@ -130,7 +141,7 @@ def sketch(counts: DataFrame) -> np.ndarray:
             for part, planes in zip(batch.column(0).to_pylist(), batch.column(1)):
                 own = np.ascontiguousarray(np.frombuffer(planes.as_buffer(), np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
                 sums[part] = sums.get(part, 0) + own.astype(np.uint64)
-        levels = [np.where(s > 0, np.log2(np.maximum(s, 1)) + 1, 0).astype(np.uint8).tobytes() for s in sums.values()]
+        levels = [level_of(s.astype(float), mean).tobytes() for s in sums.values()]
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(levels, pa.binary())], names=["part", "levels"])
 
     rows = counts.repartition(min(SKETCH_PARTS, tasks(counts)), "part").mapInArrow(add, "part int, levels binary").toArrow()
@@ -394,13 +405,14 @@ def rest_of_lists(lists: DataFrame, roots: DataFrame) -> DataFrame:
     p, q = ALIKE
     held = lists.join(roots.select(F.col("node").alias("_node"), "root"), F.col("node") == F.col("_node"), "left")
     held = stage(held.select("token", "node", "size", "pos", "lead", "lead_size", "lead_pos", F.coalesce("root", "node").alias("root")), "rooted-lists")
-    still = held.groupBy("token").agg(F.count("*").alias("_many"), F.min("root").alias("x"), F.max("root").alias("y"))
-    # of two nodes one leads, and the pair is decided
-    still = still.filter("_many > 2 AND x <> y").select("token", "_many")
+    covered = (F.col("node") == F.col("lead")) | F.expr(reach("size", "pos", "lead_size", "lead_pos"))
+    ends = [F.min("root").alias("x"), F.max("root").alias("y"), F.min(covered).alias("_all")]
+    still = held.groupBy("token").agg(F.count("*").alias("_many"), *ends)
+    # of two nodes one leads, and the pair is decided; so are all pairs of a list that its leader covers
+    still = still.filter("_many > 2 AND x <> y AND NOT _all").select("token", "_many")
     chunks = F.ceil(F.col("_many") / GROUP)
     dealt = held.join(still, "token").withColumn("_mine", F.pmod(F.xxhash64("node"), chunks))
     dealt = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1)))
-    covered = (F.col("node") == F.col("lead")) | F.expr(reach("size", "pos", "lead_size", "lead_pos"))
     rows = dealt.select(
         "token", F.least("_mine", "_other").alias("x"), F.greatest("_mine", "_other").alias("y"),
         "node", "root", F.col("size").cast("long").alias("size"), F.col("pos").cast("long").alias("pos"), covered.alias("covered"),
@@ -426,7 +438,7 @@ def join(docs: DataFrame, shingle: int = SHINGLE, text: str = "text") -> DataFra
     """doc_id, n_shingles, component_id of every row of ``docs``."""
     known, counts = prints(docs, shingle, text)
     some = known.filter("size > 0")
-    lists = lists_of(docs, sketch(counts), shingle, text)
+    lists = lists_of(docs, sketch(counts, total(known, F.col("size")) / (1 << SKETCH_BITS)), shingle, text)
     close = reach("size", "pos", "lead_size", "lead_pos")
     pairs = stage(lists.filter(f"node <> lead AND {close}").select("lead", "node").distinct(), "led-pairs")
     related = relations(docs, some, pairs, shingle, text)
