@@ -84,10 +84,11 @@ def pair_rows(s, d, keys):
     return supervised(months(s, d, keys), CFG, MONTH, keys, PAIR)[0]
 
 
-def moments_sql(over=""):
-    return f"""count(*) {over} AS n, avg({X1}) {over} AS m1, avg({X2}) {over} AS m2, avg(label) {over} AS my,
-      stddev_pop({X1}) {over} AS s1, stddev_pop({X2}) {over} AS s2, covar_pop({X1}, {X2}) {over} AS c12,
-      covar_pop({X1}, label) {over} AS c1, covar_pop({X2}, label) {over} AS c2"""
+def moments_sql(over="", pair=PAIR):
+    x1, x2 = pair
+    return f"""count(*) {over} AS n, avg({x1}) {over} AS m1, avg({x2}) {over} AS m2, avg(label) {over} AS my,
+      stddev_pop({x1}) {over} AS s1, stddev_pop({x2}) {over} AS s2, covar_pop({x1}, {x2}) {over} AS c12,
+      covar_pop({x1}, label) {over} AS c1, covar_pop({x2}, label) {over} AS c2"""
 
 
 def slopes_sql(alpha):
@@ -353,14 +354,14 @@ for suffix, keys in TWO:
     add(
         f"k15_simulated_naive{suffix}",
         lambda s, d, keys=keys: forecast.simulate_cutoffs(
-            retail_facts(s, d), CUTOFFS, keys, lambda t: naive_next(t, keys)
+            retail_facts(s, d), CUTOFFS, keys, naive_next
         ),
         naive,
     )
     add(
         f"k15_simulated_ridge{suffix}",
         lambda s, d, keys=keys: forecast.simulate_cutoffs(
-            retail_facts(s, d), CUTOFFS, keys, lambda t: ridge_next(t, keys)
+            retail_facts(s, d), CUTOFFS, keys, ridge_next
         ),
         f"""WITH {expanding_sql(keys, 10.0)}, f AS (SELECT {S.lead_list(keys, 'target_period AS period')}, p FROM bt)
             SELECT {S.lead_list(keys, 'period')}, {S.r('p', 'y_pred')}, {back} FROM f WHERE period IN ({TARGETS})""",
@@ -369,7 +370,7 @@ for suffix, keys in TWO:
     def a08(s, d, keys=keys):
         path = staging_path(s, "forecasts")
         for c in CUTOFFS:
-            made = forecast.simulate_cutoffs(retail_facts(s, d), [c], keys, lambda t: naive_next(t, keys))
+            made = forecast.simulate_cutoffs(retail_facts(s, d), [c], keys, naive_next)
             storage.write_cutoff(made.drop("cutoff"), path, str(c))
         return storage.read_cutoff(s, path)
 
@@ -530,6 +531,50 @@ add(
     """SELECT * FROM (VALUES (0, 'original', 2), (1, 'variance', 2), (2, 'correlation', 2), (3, 'elimination', 1))
        t(stage_no, stage, feature_count)""",
 )
+# The cap at work: no feature is eliminated, one is allowed.
+CAPPED = selection.SelectionSettings(
+    correlation_limit=1.01, trees=1, depth=1, step=1, at_least=2, at_most=1, bootstrap=False
+)
+
+
+def capped(s, d):
+    return selection.select_features(stump_rows(s, d), SPLIT, "label", lambda df, k: with_folds(df, "month", k), CAPPED)
+
+
+add(
+    "j04_cap_to_one",
+    lambda s, d: s.createDataFrame(
+        [(name, c) for name, kept in capped(s, d).stages for c in kept if name in ("elimination", "cap")], "stage string, feature string"
+    ),
+    f"""WITH {SPLIT_ROWS} SELECT 'cap' AS stage, {BEST_FEATURE} AS feature FROM s1
+        UNION ALL SELECT 'elimination', unnest(['year_no', 'month_num'])""",
+)
+
+
+def j08_pair(s, d):
+    """A line on the feature that a correlation limit of zero leaves, against a ridge without penalty on both."""
+    rows = staged_pair(s, d)
+    train = rows.where(F.col("target_period") <= F.lit(TRAIN_END))
+    test = rows.where(F.col("target_period") > F.lit(TRAIN_END))
+    chosen = selection.exact_stages(train, PAIR, 0.0).features
+    parts = [
+        tuning.pooled_forecasts(tuning.fit_pipeline(train, KNOWN["linear"], cols, "label"), test, label, "label", ["nation"])
+        for label, cols in (("all_features", PAIR), ("selected_features", chosen))
+    ]
+    scores = scoring.score(parts[0].unionByName(parts[1]), ["model"], ("mae", "mape"))
+    return scores.withColumns({c: steady_round(F.col(c), 2) for c in ("mae", "mape")})
+
+
+add(
+    "j08_all_against_selected_pair",
+    j08_pair,
+    f"""WITH {pair_sql(['nation'])}, tr AS (SELECT * FROM sup WHERE target_period <= DATE '{TRAIN_END}'),
+        mo AS (SELECT {moments_sql()} FROM tr), g AS (SELECT *, {slopes_sql(0.0)} FROM mo),
+        l AS (SELECT regr_intercept(label, {X1}) AS a, regr_slope(label, {X1}) AS b FROM tr),
+        fc AS (SELECT 'all_features' AS model, label AS y, {PREDICT} AS p FROM sup CROSS JOIN g WHERE target_period > DATE '{TRAIN_END}'
+          UNION ALL SELECT 'selected_features', label, a + b * {X1} FROM sup CROSS JOIN l WHERE target_period > DATE '{TRAIN_END}')
+        SELECT model, {S.r('avg(abs(y - p))', 'mae', 2)}, {S.r('100 * avg(abs(y - p) / greatest(abs(y), 1e-9))', 'mape', 2)} FROM fc GROUP BY model""",
+)
 # Linear models have a closed form: MLlib's fits on one or two features are checked by SQL.
 # Cents are compared, since MLlib solves in another order of operations.
 
@@ -655,6 +700,37 @@ add(
 )
 
 
+DAILY_PAIR = ["daily_revenue_roll_mean_7", "daily_revenue_ema_7"]
+DAILY_STEPS = 31
+
+
+def k14_daily_pooled(s, d):
+    """One ridge over all nations, 31 days ahead."""
+    keys, table = ["nation"], stage(days(s, d, ["nation"]), "days")
+    cfg = FeatureConfig.default(DAY)
+    rows, _ = supervised(table, cfg, DAY, keys, DAILY_PAIR)
+    model = tuning.pooled_ridge(stage(rows, "daily-pair"), DAILY_PAIR, "label", 10.0)
+    return cents(forecast.recursive_pooled(table, model, cfg, DAY, keys, DAILY_PAIR, DAILY_STEPS))
+
+
+# The average over seven days weighs what lies 200 rows back with 1e-25.
+DAILY_RECURSION = f"""WITH RECURSIVE {S.days(['nation']).replace('days AS (', 'days AS MATERIALIZED (')},
+    base AS MATERIALIZED (SELECT nation, date, daily_revenue AS y, row_number() OVER (PARTITION BY nation ORDER BY date) - 1 AS i FROM days),
+    em AS (SELECT a.nation, a.i, sum(b.y * CASE WHEN b.i = 0 THEN pow(0.75, a.i - 1) ELSE 0.25 * pow(0.75, a.i - 1 - b.i) END) AS {DAILY_PAIR[1]}
+           FROM base a JOIN base b ON a.nation = b.nation AND b.i < a.i AND b.i >= a.i - 200 GROUP BY a.nation, a.i),
+    fe AS MATERIALIZED (SELECT nation, date, y, {DAILY_PAIR[1]}, lead(y) OVER w AS label,
+           avg(y) OVER (w ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING) AS {DAILY_PAIR[0]}
+           FROM base LEFT JOIN em USING (nation, i) WINDOW w AS (PARTITION BY nation ORDER BY date)),
+    mo AS (SELECT {moments_sql(pair=DAILY_PAIR)} FROM fe WHERE label IS NOT NULL AND {DAILY_PAIR[1]} IS NOT NULL),
+    g AS MATERIALIZED (SELECT *, {slopes_sql(10.0)} FROM mo),
+    ends AS (SELECT nation, max(date) AS date, list(y ORDER BY date) AS h FROM fe GROUP BY nation),
+    st AS (SELECT 0 AS step, nation, date, y, h[len(h) - 7 : len(h) - 1] AS past, {DAILY_PAIR[1]} AS e FROM ends JOIN fe USING (nation, date)
+      UNION ALL SELECT step + 1, nation, date + 1, greatest(my + g1 * (list_avg(past) - m1) + g2 * (e - m2), 0),
+        list_append(past[2:], y), 0.75 * e + 0.25 * y FROM st CROSS JOIN g WHERE step < {DAILY_STEPS})
+    SELECT nation, date AS period, step, {S.r('y', 'y_pred', 2)} FROM st WHERE step > 0"""
+add("k14_recursive_pooled_31_days", k14_daily_pooled, DAILY_RECURSION)
+
+
 def k14_forest(s, d):
     rows = many_rows(s, d)
     tuned = tuning.Tuned("random_forest", KNOWN["random_forest"].grid[0], 0.0)

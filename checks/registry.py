@@ -28,10 +28,15 @@ DAY_BACKTEST_END = dt.date(2001, 6, 30)
 SERIES = {"": [], "_by_nation": ["nation"], "_by_brand": ["brand"]}
 
 
+_complete: dict[str, Bounds] = {}
+
+
 def complete(spark: SparkSession, folder: str) -> Bounds:
-    """Complete months only: those before the month of the newest order."""
-    newest = spark.read.parquet(f"{folder}/orders.parquet").agg(F.max("o_orderdate")).first()[0]
-    return Bounds(before=newest.date().replace(day=1))
+    """Complete months only: those before the month of the newest order, looked up once per folder."""
+    if folder not in _complete:
+        newest = spark.read.parquet(f"{folder}/orders.parquet").agg(F.max("o_orderdate")).first()[0]
+        _complete[folder] = Bounds(before=newest.date().replace(day=1))
+    return _complete[folder]
 
 
 def add(name: str, query: Query, sql: str | None = None) -> None:

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from checks import sql as S
 from checks.registry import FINAL, SERIES, TRAIN_END, add, complete
-from panelcast.functions.calendar import DAY, MONTH, Bounds, day_table_columns, month_table_columns
-from panelcast.operators import baselines, calendar_fill, cleaning, order_level, ranking, rollup, scoring
+from panelcast.functions.calendar import DAY, MONTH, Bounds, Grain, day_table_columns, month_table_columns
+from panelcast.operators import baselines, calendar_fill, cleaning, order_level, ranges, ranking, rollup, scoring
 from panelcast.operators.selection import correlation_matrix, correlation_table
 from panelcast.plans.feature_frame import SHARED_METRICS, FeatureConfig, create_features, supervised
 from panelcast.plans.period_tables import STATE_METRICS, VOLUME_METRICS, daily_table, monthly_table
@@ -617,14 +617,125 @@ CATEGORIES = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
 
 
 def d18(s, d):
-    counts = categories(s, d, [])
-    return rollup.pivot_values(counts, ["month"], "product_category_name", CATEGORIES, "item_count")
+    return rollup.pivot_found(categories(s, d, []), ["month"], "product_category_name", "item_count")
 
 
+PIVOTED = ", ".join(
+    f"CAST(coalesce(sum(CASE WHEN product_category_name = '{c}' THEN item_count END), 0) AS BIGINT) AS {c}" for c in CATEGORIES
+)
+REST = f"CAST(coalesce(sum(CASE WHEN product_category_name NOT IN ({', '.join(repr(c) for c in CATEGORIES)}) THEN item_count END), 0) AS BIGINT) AS other"
 add(
     "d18_category_columns",
     d18,
-    f"""WITH {S.BASE}, {S.items([])} SELECT month, {', '.join(
-        f"CAST(coalesce(sum(CASE WHEN product_category_name = '{c}' THEN item_count END), 0) AS BIGINT) AS {c}"
-        for c in CATEGORIES)} FROM cats GROUP BY month""",
+    f"WITH {S.BASE}, {S.items([])} SELECT month, {PIVOTED}, {REST} FROM cats GROUP BY month",
+)
+# Only the three largest categories get a column; the other three add up beside them.
+
+
+def d18_largest(s, d):
+    """The three largest categories and the rest, the columns named by their place."""
+    wide = rollup.pivot_found(categories(s, d, []), ["month"], "product_category_name", "item_count", 3)
+    cells = ", ".join(f"{i}, `{c}`" for i, c in enumerate(wide.columns[1:], 1))
+    return wide.selectExpr("month", f"stack(4, {cells}) AS (place, item_count)")
+
+
+LARGEST = f"""WITH {S.BASE}, {S.items([])}, t AS (SELECT product_category_name AS c, row_number() OVER
+      (ORDER BY sum(item_count) DESC, product_category_name) AS place FROM cats GROUP BY product_category_name)
+    SELECT month, place, CAST(coalesce(sum(item_count), 0) AS BIGINT) AS item_count FROM (SELECT DISTINCT month FROM cats)
+    CROSS JOIN (SELECT unnest(range(1, 5)) AS place) LEFT JOIN (SELECT month, least(place, 4) AS place, item_count FROM cats JOIN t ON c = product_category_name)
+    USING (month, place) GROUP BY month, place"""
+add("d18_largest_categories", d18_largest, LARGEST)
+SERIES_OF_ITEMS = Grain("month", "month", "item_count")
+ITEM_FEATURES = FeatureConfig(("item_count",), (1, 2), (3,), ratios=())
+
+
+def d18_features(s, d):
+    """Every category's item counts as a series of its own, through the feature frame."""
+    counts = categories(s, d, [])
+    frame, names = create_features(counts, ITEM_FEATURES, SERIES_OF_ITEMS, ["product_category_name"])
+    return frame.select("product_category_name", "month", "item_count", *names, "label")
+
+
+ITEMS_OVER = "(PARTITION BY product_category_name ORDER BY month)"
+ITEM_ROWS = "OVER (PARTITION BY product_category_name ORDER BY month ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING)"
+add(
+    "d18_category_features",
+    d18_features,
+    f"""WITH RECURSIVE {S.BASE}, {S.items([])},
+        b AS MATERIALIZED (SELECT product_category_name, month, CAST(item_count AS DOUBLE) AS x, item_count,
+               row_number() OVER {ITEMS_OVER} AS i FROM cats),
+        e AS (SELECT product_category_name, i + 1 AS i, x AS ema FROM b WHERE i = 1
+          UNION ALL SELECT e.product_category_name, e.i + 1, 0.5 * e.ema + 0.5 * b.x FROM e JOIN b USING (product_category_name, i))
+        SELECT product_category_name, month, CAST(item_count AS BIGINT) AS item_count, {', '.join(S.r(expr, name) for name, expr in {
+            'item_count_lag_1': f'lag(x, 1) OVER {ITEMS_OVER}', 'item_count_lag_2': f'lag(x, 2) OVER {ITEMS_OVER}',
+            'item_count_roll_mean_3': f'avg(x) {ITEM_ROWS}', 'item_count_roll_std_3': f'stddev_samp(x) {ITEM_ROWS}',
+            'item_count_roll_min_3': f'min(x) {ITEM_ROWS}', 'item_count_roll_max_3': f'max(x) {ITEM_ROWS}', 'item_count_ema_3': 'ema',
+            'item_count_pct_change': f'coalesce(lag(x, 1) OVER {ITEMS_OVER} / nullif(lag(x, 2) OVER {ITEMS_OVER}, 0) - 1, 0)',
+            'month_sin': 'sin(2 * pi() * month(month) / 12)', 'month_cos': 'cos(2 * pi() * month(month) / 12)',
+            'label': f'lead(x) OVER {ITEMS_OVER}'}.items())},
+        CAST(quarter(month) AS BIGINT) AS quarter, CAST(month(month) AS BIGINT) AS month_num
+        FROM b LEFT JOIN e USING (product_category_name, i)""",
+)
+
+
+def d08_sketches(s, d, keys):
+    """Distinct customers per month from daily sketches, beside the exact count; the estimate keeps three standard errors."""
+    orders = order_level.with_customers(order_level.dated_orders(retail_facts(s, d), DAY, complete(s, d)), retail_facts(s, d), keys)
+    daily = rollup.distinct_sketches(orders, [*keys, "date"], "customer_unique_id")
+    merged = rollup.merged_sketches(daily, [*keys, MONTH.bucket(F.col("date")).alias("month")])
+    rough = rollup.sketched_counts(merged, "estimate")
+    exact = rollup.distinct_per_group(
+        orders.withColumn("month", MONTH.bucket(F.col("date"))), [*keys, "month"], "customer_unique_id", "unique_customers"
+    )
+    close = F.abs(F.col("estimate") - F.col("unique_customers")) <= F.ceil(3 * rollup.sketch_error() * F.col("unique_customers"))
+    return exact.join(rough, [*keys, "month"], "left").select(*keys, "month", "unique_customers", close.alias("estimate_is_close"))
+
+
+for suffix, keys in list(SERIES.items())[:2]:
+    add(
+        f"d08_sketches_of_days{suffix}",
+        lambda s, d, keys=keys: d08_sketches(s, d, keys),
+        f"""WITH {S.BASE} SELECT {S.lead_list(keys, 'month')}, count(DISTINCT customer_unique_id) AS unique_customers, true AS estimate_is_close
+            FROM ords LEFT JOIN custs USING (customer_id) WHERE month < {S.CUT} GROUP BY {S.lead_list(keys, 'month')}""",
+    )
+
+
+# --- B10, I04 against tables of ranges ----------------------------------------------------------
+
+
+def shock_table(s, d):
+    """A shock from every 7th day that customers of nation 3 ordered on, over as many days as its day of month has tens."""
+    dates = order_level.dated_orders(retail_facts(s, d), DAY, complete(s, d)).select("date").distinct()
+    day = F.datediff("date", F.lit("1990-01-01"))
+    return dates.where(day % 7 == 0).select(
+        F.col("date").alias("start"), F.expr("date_add(date, int(dayofmonth(date) / 10))").alias("end")
+    )
+
+
+def b10_table(s, d):
+    rows = daily_table(retail_facts(s, d), complete(s, d), ["nation"]).select("nation", "date", "daily_revenue")
+    return ranges.outside_ranges(rows, "date", shock_table(s, d))
+
+
+SHOCK_TABLE = f"""sh AS (SELECT DISTINCT date AS start, date + CAST(day(date) // 10 AS INTEGER) AS stop FROM ords
+    WHERE month < {S.CUT} AND (date - DATE '1990-01-01') % 7 = 0)"""
+add(
+    "b10_outside_range_table",
+    b10_table,
+    f"""WITH {S.days(['nation'])}, {SHOCK_TABLE} SELECT nation, date, {S.r('daily_revenue', 'daily_revenue')} FROM days
+        WHERE NOT EXISTS (SELECT 1 FROM sh WHERE date BETWEEN start AND stop)""",
+)
+
+
+def i04_table(s, d):
+    rows = daily_table(retail_facts(s, d), complete(s, d)).select("date", "daily_revenue")
+    named = shock_table(s, d).withColumn("name", F.date_format("start", "yyyy-MM-dd"))
+    return ranges.in_segments(rows, "date", named, "name", "start", "end")
+
+
+add(
+    "i04_segments_of_range_table",
+    i04_table,
+    f"""WITH {S.days([])}, {SHOCK_TABLE} SELECT date, {S.r('daily_revenue', 'daily_revenue')}, strftime(start, '%Y-%m-%d') AS segment
+        FROM days JOIN sh ON date BETWEEN start AND stop""",
 )

@@ -126,11 +126,30 @@ def impute_median(df: DataFrame, columns: list[str], series_keys: list[str]) ->
     return df.withColumns({c: F.coalesce(F.col(c), F.median(c).over(w)) for c in columns})
 
 
-def months_from_days(df: DataFrame, values: list[str], period: str, groups: list[str]) -> DataFrame:
-    """Daily rows summed to months."""
-    return df.groupBy(*groups, MONTH.bucket(F.col(period)).alias("month")).agg(
-        *[F.sum(v).alias(v) for v in values]
-    )
+SKETCH = "sketch"
+
+
+def distinct_sketches(df: DataFrame, groups: list[str], thing: str, size: int = 12) -> DataFrame:
+    """One mergeable sketch (HLL with 2^``size`` registers) of the distinct ``thing`` per group; nulls do not count.
+
+    The count read from it has a relative standard error of :func:`sketch_error`.
+    """
+    return df.where(F.col(thing).isNotNull()).groupBy(*groups).agg(F.hll_sketch_agg(thing, F.lit(size)).alias(SKETCH))
+
+
+def merged_sketches(sketches: DataFrame, groups: list[str | Column]) -> DataFrame:
+    """Sketches of larger groups, from those of smaller ones: days to months, series to their total."""
+    return sketches.groupBy(*groups).agg(F.hll_union_agg(SKETCH).alias(SKETCH))
+
+
+def sketched_counts(sketches: DataFrame, name: str) -> DataFrame:
+    """The sketches replaced by the distinct counts they stand for."""
+    return sketches.withColumn(name, F.hll_sketch_estimate(SKETCH)).drop(SKETCH)
+
+
+def sketch_error(size: int = 12) -> float:
+    """Relative standard error of a sketched count."""
+    return 1.04 / 2 ** (size / 2)
 
 
 def modal_value(df: DataFrame, column: str, groups: list[str]) -> DataFrame:
@@ -161,3 +180,18 @@ def pivot_values(
     """One column per listed value; cells without rows are zero."""
     wide = df.groupBy(*groups).pivot(column, values).agg(F.sum(amount))
     return wide.na.fill(0, subset=values)
+
+
+OTHER = "other"
+
+
+def pivot_found(df: DataFrame, groups: list[str], column: str, amount: str, most: int = 100) -> DataFrame:
+    """One column per value that the data hold, largest first, and ``other`` for all the rest.
+
+    The first pass takes the ``most`` values of the largest amounts, so the width is
+    bounded; nothing is lost, as what has no column of its own (nulls too) adds to ``other``.
+    """
+    sums = df.where(F.col(column).isNotNull() & (F.col(column) != OTHER)).groupBy(column).agg(F.sum(amount).alias("_sum"))
+    values = [r[0] for r in sums.orderBy(F.desc("_sum"), column).limit(most).collect()]
+    kept = df.withColumn(column, F.when(F.col(column).isin(values), F.col(column)).otherwise(OTHER))
+    return pivot_values(kept, groups, column, [*values, OTHER], amount)

@@ -75,28 +75,32 @@ def recursive_pooled(
     return recursion.recursive(table, model.transform, "prediction", features, cfg, grain, series_keys, horizon)
 
 
+CUTOFF = "cutoff"
+
+
+def as_of_each(metrics: DataFrame, cutoffs: list[dt.date], period: str) -> DataFrame:
+    """Every row once for each cutoff that knows it, with the cutoff's month as a further series key."""
+    known = F.array(*[F.lit(c.replace(day=1)) for c in sorted({c.replace(day=1) for c in cutoffs})])
+    return metrics.withColumn(CUTOFF, F.explode(F.filter(known, lambda c: c >= F.trunc(period, "month"))))
+
+
 def simulate_cutoffs(
     facts: Facts,
     cutoffs: list[dt.date],
     series_keys: list[str],
-    forecaster: Callable[[DataFrame], DataFrame],
+    forecaster: Callable[[DataFrame, list[str]], DataFrame],
 ) -> DataFrame:
     """Forecast the month after each cutoff from facts up to the end of that month only.
 
     Metrics, top categories and first sightings of a month do not depend on later months,
-    so the facts are read once, up to the last cutoff, whatever the number of cutoffs.
-    Imputation does: each cutoff takes its medians from its own months only.
+    so the facts are read once, up to the last cutoff.  The cutoff then is a series key like
+    any other: medians, windows, models and forecasts are taken per series and cutoff, in
+    one plan whatever the number of cutoffs.  ``forecaster`` gets the table and its keys.
     """
-    after = {m: (m.replace(day=1) + dt.timedelta(days=32)).replace(day=1) for m in cutoffs}
-    metrics = stage(monthly_metrics(facts, Bounds(before=max(after.values())), series_keys), "metrics")
-    parts = []
-    for month, before in after.items():
-        known = imputed(metrics.where(F.col("month") < F.lit(before)), series_keys)
-        parts.append(forecaster(known).withColumn("cutoff", F.lit(month.replace(day=1))))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    after = max((c.replace(day=1) + dt.timedelta(days=32)).replace(day=1) for c in cutoffs)
+    metrics = stage(monthly_metrics(facts, Bounds(before=after), series_keys), "metrics")
+    keys = [*series_keys, CUTOFF]
+    return forecaster(imputed(as_of_each(metrics, cutoffs, "month"), keys), keys)
 
 
 def append_forecast(history: DataFrame, forecast: DataFrame, grain: Grain, series_keys: list[str]) -> DataFrame:
