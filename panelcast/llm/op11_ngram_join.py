@@ -8,7 +8,8 @@ position, and lists of one node are dropped.
 *Lists are skipped by position.*  For x at position i and y at position j of a list, what
 follows bounds the overlap by 1 + min(|x| - i - 1, |y| - j - 1); a list is ordered by size
 and position, so of each block of one size only the run of positions that can still reach
-the overlap is looked at, and sizes out of reach not at all.
+the overlap is looked at, and sizes out of reach not at all.  Of these, pairs whose profiles
+(counts of shingles by class) are too far apart are ruled out.
 
 *Answers follow from those of a similar set.*  The smallest node of a list leads it.  Leaders
 are compared with their members on the whole sets, once; a member keeps its difference to
@@ -44,6 +45,7 @@ SHINGLE = 3
 ALIKE = (9, 10)  # least Jaccard similarity, as a fraction
 SKETCH_BITS = 22  # counters of the sketch: 2 ** 22, one byte each when it is used
 SKETCH_PARTS = 64
+BINS = 64  # classes of a set's profile
 FILTER_BITS = 23  # of the bit set that picks the texts whose sets are needed
 LIST_BITS = 25  # of the bit set that picks the shingles whose lists hold several sets
 TOKEN_BITS = 58
@@ -87,11 +89,28 @@ def nodes_of(tokens: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
+def profiles(tokens: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """How many shingles of each set fall into each of ``BINS`` classes, modulo 256: one row of bytes a set.
+
+    Two sets differ in at least as many shingles as their profiles are apart, class by
+    class, so profiles rule pairs out without the sets.
+    """
+    n = len(bounds) - 1
+    cell = np.repeat(np.arange(n), np.diff(bounds)) * BINS + (tokens % np.uint64(BINS)).astype(np.int64)
+    return np.bincount(cell, minlength=n * BINS).reshape(n, BINS).astype(np.uint8)
+
+
+def _binary(rows: np.ndarray) -> pa.Array:
+    """One binary value per row of bytes."""
+    ends = np.arange(len(rows) + 1, dtype=np.int32) * np.int32(rows.shape[1])
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(rows))])
+
+
 def prints(docs: DataFrame, shingle: int, text: str) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, digest, node, size) of every row, and (part, counts): each task's counts for the sketch."""
+    """(doc_id, digest, node, size, profile) of every row, and (part, counts): each task's counts for the sketch."""
     rows = docs.select("doc_id", F.xxhash64(text).alias("digest"), F.col(text).alias("_text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    names = ["doc_id", "digest", "node", "size", "part", "counts"]
+    names = ["doc_id", "digest", "node", "size", "profile", "part", "counts"]
     id_type = pa.int64() if kind == "bigint" else None
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,18 +126,18 @@ def prints(docs: DataFrame, shingle: int, text: str) -> tuple[DataFrame, DataFra
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0), part.column(1), pa.array(nodes_of(tokens, bounds)), pa.array(np.diff(bounds)),
-                        pa.nulls(b - a, pa.int32()), pa.nulls(b - a, pa.binary()),
+                        _binary(profiles(tokens, bounds)), pa.nulls(b - a, pa.int32()), pa.nulls(b - a, pa.binary()),
                     ],
                     names=names,
                 )
         if ids is not None:
             # the four bytes of the counters apart, so that the empty ones pack to nothing
             planes = [p.view(np.uint8).reshape(-1, 4).T.tobytes() for p in np.split(counts, SKETCH_PARTS)]
-            empty = [pa.nulls(SKETCH_PARTS, t) for t in (ids, pa.int64(), pa.int64(), pa.int64())]
+            empty = [pa.nulls(SKETCH_PARTS, t) for t in (ids, pa.int64(), pa.int64(), pa.int64(), pa.binary())]
             yield pa.RecordBatch.from_arrays([*empty, pa.array(np.arange(SKETCH_PARTS, dtype=np.int32)), pa.array(planes, pa.binary())], names=names)
 
-    made = stage(rows.mapInArrow(task, f"doc_id {kind}, digest long, node long, size long, part int, counts binary"), "shingle-sets")
-    return made.filter("part is null").select(*names[:4]), made.filter("part is not null").select(*names[4:])
+    made = stage(rows.mapInArrow(task, f"doc_id {kind}, digest long, node long, size long, profile binary, part int, counts binary"), "shingle-sets")
+    return made.filter("part is null").select(*names[:5]), made.filter("part is not null").select(*names[5:])
 
 
 def level_of(counts: np.ndarray, mean: float) -> np.ndarray:
@@ -400,8 +419,16 @@ def run_of(size: np.ndarray, pos: np.ndarray, i: int, starts: np.ndarray, ends:
     return np.repeat(starts[used] - (np.cumsum(length) - length), length) + np.arange(length.sum())
 
 
-def rest_of_lists(lists: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs (a, b) of a list that lie in different components and were not both compared with its leader."""
+def far_apart(profile: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """At least so many shingles lie in one of the two sets only."""
+    return np.abs((others - profile).view(np.int8).astype(np.int16)).sum(1)
+
+
+def rest_of_lists(lists: DataFrame, roots: DataFrame, known: DataFrame) -> DataFrame:
+    """Pairs (a, b) of a list that lie in different components and were not both compared with its leader.
+
+    Sizes, positions and profiles of either allow the similarity.
+    """
     p, q = ALIKE
     held = lists.join(roots.select(F.col("node").alias("_node"), "root"), F.col("node") == F.col("_node"), "left")
     held = stage(held.select("token", "node", "size", "pos", "lead", "lead_size", "lead_pos", F.coalesce("root", "node").alias("root")), "rooted-lists")
@@ -417,17 +444,21 @@ def rest_of_lists(lists: DataFrame, roots: DataFrame) -> DataFrame:
         "token", F.least("_mine", "_other").alias("x"), F.greatest("_mine", "_other").alias("y"),
         "node", "root", F.col("size").cast("long").alias("size"), F.col("pos").cast("long").alias("pos"), covered.alias("covered"),
     )
+    profile = known.groupBy("node").agg(F.min("profile").alias("profile"))
+    rows = rows.join(profile.join(rows.select("node").distinct(), "node", "left_semi"), "node").select(*rows.columns, "profile")
 
     def solve(rows: pa.Table) -> list[tuple[int, int]]:
         rows = rows.sort_by([("size", "ascending"), ("pos", "ascending"), ("node", "ascending")])
         node, root, size, pos = (rows[c].to_numpy() for c in ("node", "root", "size", "pos"))
         led = rows["covered"].to_numpy()
+        profiles = np.frombuffer(b"".join(rows["profile"].to_pylist()), np.uint8).reshape(-1, BINS)
         starts = np.flatnonzero(np.r_[True, size[1:] != size[:-1]])
         ends = np.r_[starts[1:], len(size)]
         out: list[tuple[int, int]] = []
         for i in range(1, len(node)):
             at = run_of(size, pos, i, starts, ends)
             at = at[(root[at] != root[i]) & ~(led[at] & led[i])]
+            at = at[(p + q) * far_apart(profiles[i], profiles[at]) <= (q - p) * (size[at] + size[i])]
             out += [(min(int(node[i]), n), max(int(node[i]), n)) for n in node[at].tolist()]
         return out
 
@@ -444,7 +475,7 @@ def join(docs: DataFrame, shingle: int = SHINGLE, text: str = "text") -> DataFra
     related = relations(docs, some, pairs, shingle, text)
     links = related.filter("linked").select(F.col("lead").alias("a"), F.col("node").alias("b")).union(answers(related))
     roots = stage(components.connected(links), "led-components")
-    rest = stage(rest_of_lists(lists, roots).select(F.col("a").alias("lead"), F.col("b").alias("node")), "other-pairs")
+    rest = stage(rest_of_lists(lists, roots, some).select(F.col("a").alias("lead"), F.col("b").alias("node")), "other-pairs")
     more = relations(docs, some, rest, shingle, text).filter("linked").select(F.col("lead").alias("a"), F.col("node").alias("b"))
     return label(known, components.connected(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more)))
 

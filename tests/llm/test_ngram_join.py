@@ -112,3 +112,13 @@ def test_shingles_tell_short_sequences_apart():
     found = [tokens[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:])]
     assert found[0] == found[2] and [len(f) for f in found] == [1, 1, 1, 1, 0, 0, 4]
     assert len({found[0][0], found[1][0], found[3][0]}) == 3 and found[6][0] == found[6][3] == found[1][0]
+
+
+def test_profiles_never_rule_out_more_than_the_sets_differ_in():
+    rng = np.random.default_rng(8)
+    for size in (3, 80, 30000):
+        a = np.unique(rng.integers(0, 1 << 58, size, dtype=np.uint64))
+        b = np.union1d(rng.choice(a, len(a) - len(a) // 5, replace=False), rng.integers(0, 1 << 58, size // 6, dtype=np.uint64))
+        rows = op11_ngram_join.profiles(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]))
+        assert 0 <= op11_ngram_join.far_apart(rows[0], rows[1:])[0] <= len(np.setxor1d(a, b))
+        assert op11_ngram_join.far_apart(rows[0], rows[:1])[0] == 0
