@@ -7,7 +7,8 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from checks import sql as S
-from checks.registry import FINAL, SERIES, TRAIN_END, add, complete
+from checks.registry import BACKTEST_START as NEXT
+from checks.registry import FINAL, SERIES, SQL, TRAIN_END, add, complete
 from panelcast.functions.calendar import DAY, MONTH, Bounds, Grain, day_table_columns, month_table_columns
 from panelcast.operators import baselines, calendar_fill, cleaning, order_level, ranges, ranking, rollup, scoring
 from panelcast.operators.selection import correlation_matrix, correlation_table
@@ -16,6 +17,7 @@ from panelcast.plans.period_tables import STATE_METRICS, VOLUME_METRICS, daily_t
 from panelcast.session import stage, staging_path
 from panelcast.sources import storage
 from panelcast.sources.facts import read_tables, table_sizes
+from panelcast.sources.layout import bucketed
 from panelcast.sources.star_schema import retail_facts
 
 def categories(s, d, keys):
@@ -391,7 +393,7 @@ for suffix, keys in list(SERIES.items())[:2]:
 def c08(s, d):
     f = retail_facts(s, d)
     july = Bounds(FINAL, complete(s, d).before).keep(f.orders, order_level.ORDER_TS)
-    return july.join(order_level.payments_per_order(f.payments), "order_id").agg(
+    return july.join(order_level.payments_per_order(order_level.within(f, july).payments), "order_id").agg(
         F.sum("payment_value").alias("total"),
         F.to_date(F.max(order_level.ORDER_TS)).alias("last_day"),
     )
@@ -739,3 +741,20 @@ add(
     f"""WITH {S.days([])}, {SHOCK_TABLE} SELECT date, {S.r('daily_revenue', 'daily_revenue')}, strftime(start, '%Y-%m-%d') AS segment
         FROM days JOIN sh ON date BETWEEN start AND stop""",
 )
+
+
+# --- D11 from bucketed facts, D04 of one month ----------------------------------------------------
+
+for suffix, keys in SERIES.items():
+    add(
+        f"d11_from_bucketed_facts{suffix}",
+        lambda s, d, keys=keys: monthly_table(bucketed(retail_facts(s, d), 16), complete(s, d), keys),
+        SQL[f"d11_monthly_table{suffix}"],
+    )
+    add(
+        f"d04_one_month{suffix}",
+        lambda s, d, keys=keys: rollup.roll_up(
+            order_level.order_rows(retail_facts(s, d), MONTH, keys, Bounds(TRAIN_END, NEXT)), MONTH, keys
+        ),
+        f"SELECT * FROM ({SQL[f'd04_monthly_roll_up{suffix}']}) WHERE month = DATE '{TRAIN_END}'",
+    )

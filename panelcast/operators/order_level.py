@@ -6,6 +6,8 @@ order with several of each is not counted several times.
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +16,7 @@ from panelcast.operators.cleaning import coerce_timestamps, drop_undated
 from panelcast.sources.facts import Facts
 
 ORDER_TS = "order_purchase_timestamp"
+KEYS_SENT = 1 << 20  # order keys sent to the scan of the lines at most: 16 MB
 
 
 def payments_per_order(payments: DataFrame) -> DataFrame:
@@ -94,14 +97,36 @@ def with_customers(orders: DataFrame, facts: Facts, series_keys: list[str]) -> D
     return orders.join(facts.customers.select(*columns), "customer_id", "left")
 
 
+def within(facts: Facts, orders: DataFrame) -> Facts:
+    """``facts`` whose line-level tables hold the lines of ``orders`` alone, before anything is shuffled.
+
+    The keys of the orders are counted, which reads the pruned side only; up to
+    ``KEYS_SENT`` of them go to the tasks that scan the lines.  Beyond that the lines stay
+    as they are, and the join by order does the same after a shuffle.
+    """
+    keys = orders.select("order_id").where(F.col("order_id").isNotNull())
+    if keys.count() > KEYS_SENT:
+        return facts
+    keys = F.broadcast(keys)
+    tables = {n: getattr(facts, n) for n in ("payments", "reviews", "items", "lines")}
+    return replace(facts, **{n: df.join(keys, "order_id", "left_semi") for n, df in tables.items() if df is not None})
+
+
 def order_rows(
     facts: Facts, grain: Grain, series_keys: list[str], bounds: Bounds | None = None
 ) -> DataFrame:
-    """One wide row per order (per order × product key for series by product)."""
+    """One wide row per order (per order × product key for series by product).
+
+    Orders meet their measures before their customers, so that tables bucketed by order
+    (``sources.layout``) meet without a shuffle.  With a lower bound only the lines of the
+    orders asked for are grouped.
+    """
     product_keys = facts.product_keys(series_keys)
-    orders = with_customers(dated_orders(facts, grain, bounds), facts, series_keys)
+    orders = dated_orders(facts, grain, bounds)
+    if bounds is not None and bounds.start is not None:
+        facts = within(facts, orders)
     how = "inner" if product_keys else "left"
-    return orders.join(order_measures(facts, product_keys), "order_id", how)
+    return with_customers(orders.join(order_measures(facts, product_keys), "order_id", how), facts, series_keys)
 
 
 def dated_items(

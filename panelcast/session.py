@@ -2,30 +2,25 @@
 
 Everything panelcast writes on its own account (checkpoints, staged tables) goes
 below the folder the cluster names in ``spark.checkpoint.dir``, which every
-executor can reach.  Only a local session may fall back on a folder of its own.
+executor can reach.  A session that names none gets a folder of its own below the
+warehouse, which Spark deletes when it ends.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_local_folders: dict[str, str] = {}
-
-
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share; fails on a cluster that names none."""
+    """The folder that all executors share."""
     sc = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        folder = _local_folders.get(sc.applicationId)
-        if folder is None:
-            folder = tempfile.mkdtemp(prefix="panelcast-")
-            _local_folders[sc.applicationId] = folder
+        folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/panelcast-{sc.applicationId}"
+        if sc.getCheckpointDir() is None:
+            place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(folder)
     return folder
