@@ -448,6 +448,29 @@ def k09_pooled(s, d):
 
 add("k09_pooled_search", k09_pooled)
 
+# A stated budget: the ridge with all its penalties, six points of each other grid, 60 trees and 30 rounds.
+SPARING = tuning.Budget(points=6, trees=60, rounds=30)
+
+
+def k09_halving(s, d):
+    rows = many_rows(s, d)
+    train = rows.where(F.col("target_period") <= F.lit(TRAIN_END))
+    best = tuning.halving_search(train, MANY, "label", "month", CONFIGURED, KNOWN, 2, budget=SPARING)
+    test = rows.where(F.col("target_period").between(F.lit(BACKTEST_START), F.lit(BACKTEST_END)))
+    parts = [
+        scoring.score(
+            tuning.pooled_forecasts(tuning.fit_tuned(train, t, KNOWN, MANY, "label"), test, t.name, "label", []), ["model"]
+        )
+        for t in best
+    ]
+    scores = parts[0]
+    for p in parts[1:]:
+        scores = scores.unionByName(p)
+    return ranking.leaderboard(tuning.leaderboard_with_params(scores, best), [])
+
+
+add("k09_halving_search", k09_halving)
+
 # One split on a feature of few values is a least-squares fit that SQL can find: MLlib then tries every
 # cut between two values.  A boosted second round fits twice what the first leaves over.
 SPLIT = ["year_no", "month_num"]

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Sequence
+import random
+from collections.abc import Callable, Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
+from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -142,10 +145,35 @@ def search(
     folds are cached once; independent fits are submitted from a thread pool and share
     the cluster.
     """
+    jobs = [(known[n], p) for n in _known(wanted, known) for p in known[n].grid]
+    with _folded(train, features, label, period, n_splits) as folded:
+        means = _fold_means(folded, jobs, label, n_splits, parallel)
+    best: dict[str, Tuned] = {}
+    for (candidate, point), m in zip(jobs, means):
+        if candidate.name not in best or m < best[candidate.name].cv_mape:
+            best[candidate.name] = Tuned(candidate.name, point, m)
+    return list(best.values())
+
+
+def _known(wanted: list[str], known: dict[str, Candidate]) -> list[str]:
     strange = [n for n in wanted if n not in known]
     if strange:
         raise ValueError(f"unknown candidates: {strange}")
+    return wanted
+
+
+@contextmanager
+def _folded(train: DataFrame, features: list[str], label: str, period: str, n_splits: int) -> Iterator[DataFrame]:
+    """The assembled folds, cached while they are used."""
     folded = assemble(with_folds(train, period, n_splits), features, [label, "fold", "role"]).persist()
+    try:
+        yield folded
+    finally:
+        folded.unpersist()
+
+
+def _fold_means(folded: DataFrame, jobs: list[tuple[Candidate, dict]], label: str, n_splits: int, parallel: int) -> list[float]:
+    """Mean error over the folds of every candidate and point; the fits share the cluster."""
 
     def one_fold(candidate: Candidate, point: dict, fold: int) -> float:
         rows = folded.where(F.col("fold") == fold)
@@ -153,18 +181,83 @@ def search(
         scored = model.transform(rows.where(F.col("role") == "test"))
         return scored.agg(mape(F.col(label), F.col("prediction")).alias("m")).first()["m"]
 
-    jobs = [(known[n], p) for n in wanted for p in known[n].grid]
-    try:
-        with ThreadPoolExecutor(parallel) as pool:
-            scores = [[pool.submit(one_fold, c, p, f) for f in range(n_splits)] for c, p in jobs]
-            means = [sum(s.result() for s in per_job) / n_splits for per_job in scores]
-    finally:
-        folded.unpersist()
+    with ThreadPoolExecutor(parallel) as pool:
+        scores = [[pool.submit(one_fold, c, p, f) for f in range(n_splits)] for c, p in jobs]
+        return [sum(s.result() for s in per_job) / n_splits for per_job in scores]
+
+
+@dataclass(frozen=True)
+class Budget:
+    """What a sampled search may spend.
+
+    ``points`` of each candidate's grid are drawn with ``seed``; in each rung one of
+    ``eta`` points survives, and what a fit may spend grows by ``eta``.  The last rung
+    spends all of a point's trees or rounds, but no more than ``trees`` and ``rounds``; the
+    points found carry these numbers, so that the model searched is the model fitted.
+    """
+
+    points: int = 27
+    eta: int = 3
+    trees: int = 500
+    rounds: int = 1500
+    seed: int = 42
+
+    def sampled(self, candidate: Candidate) -> list[dict]:
+        """Points of the grid in its order; all of a grid that is not larger, or whose fits have nothing to save."""
+        if len(candidate.grid) <= self.points or self.spent(candidate, {}, 0) == {}:
+            return list(candidate.grid)
+        drawn = random.Random(f"{self.seed}:{candidate.name}").sample(range(len(candidate.grid)), self.points)
+        return [candidate.grid[i] for i in sorted(drawn)]
+
+    def spent(self, candidate: Candidate, point: dict, left: int) -> dict:
+        """The point with what a fit may spend when ``left`` rungs are still to come."""
+        name = {RandomForestRegressor: "numTrees", GBTRegressor: "maxIter"}.get(candidate.kind)
+        if name is None:
+            return point
+        most = min((candidate.settings | point).get(name, 20), self.trees if name == "numTrees" else self.rounds)
+        return point | {name: max(1, -(-most // self.eta**left))}
+
+
+def rungs_of(count: int, eta: int) -> list[int]:
+    """How many points each rung compares, down to one."""
+    out = [count]
+    while out[-1] > 1:
+        out.append(-(-out[-1] // eta))
+    return out
+
+
+def halving_search(
+    train: DataFrame,
+    features: list[str],
+    label: str,
+    period: str,
+    wanted: list[str],
+    known: dict[str, Candidate],
+    n_splits: int = 4,
+    parallel: int = 4,
+    budget: Budget = Budget(),
+) -> list[Tuned]:
+    """Sampled search by successive halving: the best point found of every wanted candidate.
+
+    All candidates pass a rung together, so that their fits share the cluster.  A candidate
+    that has nothing to save (the ridge) is compared in full at once.
+    """
+    left = {n: [(i, p) for i, p in enumerate(budget.sampled(known[n]))] for n in _known(wanted, known)}
+    plans = {}
+    for n, points in left.items():
+        cheap = budget.spent(known[n], {}, 0) == {}
+        plans[n] = [len(points)] if cheap else rungs_of(len(points), budget.eta)
     best: dict[str, Tuned] = {}
-    for (candidate, point), m in zip(jobs, means):
-        if candidate.name not in best or m < best[candidate.name].cv_mape:
-            best[candidate.name] = Tuned(candidate.name, point, m)
-    return list(best.values())
+    with _folded(train, features, label, period, n_splits) as folded:
+        for rung in range(max(len(p) for p in plans.values())):
+            turn = [(n, i, budget.spent(known[n], p, len(plans[n]) - 1 - rung)) for n in left if rung < len(plans[n]) for i, p in left[n]]
+            means = _fold_means(folded, [(known[n], p) for n, _, p in turn], label, n_splits, parallel)
+            for n in {n for n, _, _ in turn}:
+                ranked = sorted(((m, i, p) for (name, i, p), m in zip(turn, means) if name == n), key=lambda r: r[:2])
+                best[n] = Tuned(n, ranked[0][2], ranked[0][0])
+                kept = {i for _, i, _ in ranked[: plans[n][rung + 1]]} if rung + 1 < len(plans[n]) else set()
+                left[n] = [(i, p) for i, p in left[n] if i in kept]
+    return [best[n] for n in wanted]
 
 
 def fit_tuned(
@@ -242,6 +335,7 @@ def tune(
     settings: SelectionSettings = SelectionSettings(),
     n_splits: int = 4,
     log_target: bool = False,
+    searched: Callable[..., list[Tuned]] = search,
 ) -> TuningResult:
     """Select features and settings on the training phase, report on the backtest, refit on both.
 
@@ -258,7 +352,7 @@ def tune(
     test = rows.where((target > F.lit(train_end)) & (target <= F.lit(backtest_end)))
     chosen = select_features(train, features, label, lambda d, k: with_folds(d, period, k), settings)
     kept = chosen.features
-    tuned = search(train, kept, label, period, models, known, n_splits)
+    tuned = searched(train, kept, label, period, models, known, n_splits)
     if not tuned:
         raise ValueError("no candidate but baselines")
     parts = [

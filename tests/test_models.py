@@ -220,3 +220,37 @@ def test_tune_reports_the_backtest_and_refits(spark, rows):
             rows, PICK, "label", "month", ["nation"], dt.date(2001, 3, 1), dt.date(2001, 6, 1),
             ["unknown"], known, settings, n_splits=2,
         )
+
+
+def test_halving_finds_what_an_exhaustive_search_finds(rows):
+    grid = tuple({"maxDepth": d, "featureSubsetStrategy": f} for d in (1, 3, 5) for f in ("all", "sqrt"))
+    known = candidates(forest_trees=9, grids={"random_forest": grid, "gradient_boosting": ({"maxIter": 4, "maxDepth": 2}, {"maxIter": 400, "maxDepth": 1})})
+    budget = tuning.Budget(points=6, trees=9, rounds=6)
+    found = {t.name: t for t in tuning.halving_search(rows, PICK[:4], "label", "month", ["ridge", "random_forest", "gradient_boosting"], known, 2, budget=budget)}
+    whole = {t.name: t for t in tuning.search(rows, PICK[:4], "label", "month", ["ridge", "random_forest"], known, 2)}
+    # nothing is saved on a ridge
+    assert found["ridge"] == whole["ridge"]
+    # the survivor is compared with all its trees, and a good point: no worse than the median of the whole search
+    kept = found["random_forest"]
+    assert kept.point["numTrees"] == 9 and {k: v for k, v in kept.point.items() if k != "numTrees"} in grid
+    every = sorted(
+        tuning.search(rows, PICK[:4], "label", "month", ["random_forest"], candidates(forest_trees=9, grids={"random_forest": (p,)}), 2)[0].cv_mape
+        for p in grid
+    )
+    assert whole["random_forest"].cv_mape <= kept.cv_mape <= every[len(grid) // 2]
+    assert found["gradient_boosting"].point["maxIter"] in (4, 6)  # no more rounds than the budget has
+    with pytest.raises(ValueError):
+        tuning.halving_search(rows, PICK[:4], "label", "month", ["nothing"], known, 2)
+
+
+def test_what_a_budget_draws_and_spends():
+    known = candidates()
+    budget = tuning.Budget(points=5, eta=3, trees=100, rounds=30)
+    drawn = budget.sampled(known["gradient_boosting"])
+    assert len(drawn) == 5 and drawn == budget.sampled(known["gradient_boosting"]) and all(p in known["gradient_boosting"].grid for p in drawn)
+    assert budget.sampled(known["extra_trees"]) == list(known["extra_trees"].grid)
+    assert tuning.rungs_of(27, 3) == [27, 9, 3, 1] and tuning.rungs_of(5, 3) == [5, 2, 1] and tuning.rungs_of(1, 3) == [1]
+    spent = [budget.spent(known["random_forest"], {"maxDepth": 5}, left)["numTrees"] for left in (2, 1, 0)]
+    assert spent == [12, 34, 100]
+    assert budget.spent(known["gradient_boosting"], {"maxIter": 1500}, 0)["maxIter"] == 30
+    assert budget.spent(known["ridge"], {"alpha": 1.0}, 2) == {"alpha": 1.0}
