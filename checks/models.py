@@ -448,8 +448,8 @@ def k09_pooled(s, d):
 
 add("k09_pooled_search", k09_pooled)
 
-# A stated budget: the ridge with all its penalties, six points of each other grid, 60 trees and 30 rounds.
-SPARING = tuning.Budget(points=6, trees=60, rounds=30)
+# A stated budget: the ridge with all its penalties, four points of each other grid, 60 trees and 20 rounds.
+SPARING = tuning.Budget(points=4, trees=60, rounds=20)
 
 
 def k09_halving(s, d):
