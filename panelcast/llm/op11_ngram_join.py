@@ -8,12 +8,12 @@ position, and lists of one node are dropped.
 *Lists are skipped by position.*  For x at position i and y at position j of a list, what
 follows bounds the overlap by 1 + min(|x| - i - 1, |y| - j - 1); a list is ordered by size
 and position, so of each block of one size only the run of positions that can still reach
-the overlap is looked at, and sizes out of reach not at all.  Of these, pairs whose profiles
-(counts of shingles by class) are too far apart are ruled out.
+the overlap is looked at, and sizes out of reach not at all.  Pairs whose profiles (counts of
+shingles by class) are too far apart are ruled out before any set is sent.
 
 *Answers follow from those of a similar set.*  The smallest node of a list leads it.  Leaders
-are compared with their members on the whole sets, once; a member keeps its difference to
-the leader.  From then on a member's answers come from the leader's: |x ^ y| is |dx| + |dy| -
+are compared with the members that can be similar to them on the whole sets, once; a member
+keeps its difference to the leader.  From then on a member's answers come from the leader's: |x ^ y| is |dx| + |dy| -
 2 |dx & dy| of the differences d, so most pairs are decided by the sizes of the differences
 alone and the rest by the few shingles in them.  Pairs that links connect already are passed
 over.  Pairs of a list that no leader covers are compared on the sets afterwards.
@@ -45,7 +45,10 @@ SHINGLE = 3
 ALIKE = (9, 10)  # least Jaccard similarity, as a fraction
 SKETCH_BITS = 22  # counters of the sketch: 2 ** 22, one byte each when it is used
 SKETCH_PARTS = 64
-BINS = 64  # classes of a set's profile
+BINS = 256  # classes of a set's profile
+BRIEF = 64  # classes of its short form, which goes with the entries of lists
+RELATED = (8, 10)  # a member may be this far from its leader for its answers to be derived
+PIECE = 1 << 19  # bytes of text looked at in one go
 FILTER_BITS = 23  # of the bit set that picks the texts whose sets are needed
 LIST_BITS = 25  # of the bit set that picks the shingles whose lists hold several sets
 TOKEN_BITS = 58
@@ -100,6 +103,11 @@ def profiles(tokens: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return np.bincount(cell, minlength=n * BINS).reshape(n, BINS).astype(np.uint8)
 
 
+def briefs(profile: np.ndarray) -> np.ndarray:
+    """Profiles of ``BRIEF`` classes, which bound the difference as well."""
+    return profile.reshape(len(profile), -1, BRIEF).sum(1).astype(np.uint8)
+
+
 def _binary(rows: np.ndarray) -> pa.Array:
     """One binary value per row of bytes."""
     ends = np.arange(len(rows) + 1, dtype=np.int32) * np.int32(rows.shape[1])
@@ -107,10 +115,10 @@ def _binary(rows: np.ndarray) -> pa.Array:
 
 
 def prints(docs: DataFrame, shingle: int, text: str) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, digest, node, size, profile) of every row, and (part, counts): each task's counts for the sketch."""
+    """(doc_id, digest, node, size, profile, brief) of every row, and (part, counts): each task's counts for the sketch."""
     rows = docs.select("doc_id", F.xxhash64(text).alias("digest"), F.col(text).alias("_text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    names = ["doc_id", "digest", "node", "size", "profile", "part", "counts"]
+    names = ["doc_id", "digest", "node", "size", "profile", "brief", "part", "counts"]
     id_type = pa.int64() if kind == "bigint" else None
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,26 +126,28 @@ def prints(docs: DataFrame, shingle: int, text: str) -> tuple[DataFrame, DataFra
         ids = id_type
         for batch in batches:
             ids = batch.column(0).type
-            for a, b in words.batches_of(batch.column(2)):
+            for a, b in words.batches_of(batch.column(2), PIECE):
                 part = batch.slice(a, b - a)
                 tokens, bounds = distinct_sets(*shingles(part.column(2), shingle))
                 cells, times = np.unique((tokens >> np.uint64(TOKEN_BITS - SKETCH_BITS)).astype(np.int64), return_counts=True)
                 counts[cells] += times.astype(np.uint32)
+                profile = profiles(tokens, bounds)
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0), part.column(1), pa.array(nodes_of(tokens, bounds)), pa.array(np.diff(bounds)),
-                        _binary(profiles(tokens, bounds)), pa.nulls(b - a, pa.int32()), pa.nulls(b - a, pa.binary()),
+                        _binary(profile), _binary(briefs(profile)), pa.nulls(b - a, pa.int32()), pa.nulls(b - a, pa.binary()),
                     ],
                     names=names,
                 )
         if ids is not None:
-            # the four bytes of the counters apart, so that the empty ones pack to nothing
-            planes = [p.view(np.uint8).reshape(-1, 4).T.tobytes() for p in np.split(counts, SKETCH_PARTS)]
-            empty = [pa.nulls(SKETCH_PARTS, t) for t in (ids, pa.int64(), pa.int64(), pa.int64(), pa.binary())]
-            yield pa.RecordBatch.from_arrays([*empty, pa.array(np.arange(SKETCH_PARTS, dtype=np.int32)), pa.array(planes, pa.binary())], names=names)
+            empty = [pa.nulls(1, t) for t in (ids, pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())]
+            for number, part in enumerate(np.split(counts, SKETCH_PARTS)):
+                # the four bytes of the counters apart, so that the empty ones pack to nothing
+                planes = part.view(np.uint8).reshape(-1, 4).T.tobytes()
+                yield pa.RecordBatch.from_arrays([*empty, pa.array([number], pa.int32()), pa.array([planes], pa.binary())], names=names)
 
-    made = stage(rows.mapInArrow(task, f"doc_id {kind}, digest long, node long, size long, profile binary, part int, counts binary"), "shingle-sets")
-    return made.filter("part is null").select(*names[:5]), made.filter("part is not null").select(*names[5:])
+    made = stage(rows.mapInArrow(task, f"doc_id {kind}, digest long, node long, size long, profile binary, brief binary, part int, counts binary"), "shingle-sets")
+    return made.filter("part is null").select(*names[:6]), made.filter("part is not null").select(*names[6:])
 
 
 def level_of(counts: np.ndarray, mean: float) -> np.ndarray:
@@ -180,7 +190,7 @@ def entries(docs: DataFrame, levels: np.ndarray, shingle: int, text: str, only:
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            for a, b in words.batches_of(batch.column(0)):
+            for a, b in words.batches_of(batch.column(0), PIECE):
                 tokens, bounds = shingles(batch.column(0).slice(a, b - a), shingle)
                 level = levels[(tokens >> np.uint64(TOKEN_BITS - SKETCH_BITS)).astype(np.int64)]
                 keyed, bounds = distinct_sets(tokens | (level.astype(np.uint64) << np.uint64(TOKEN_BITS)), bounds)
@@ -258,7 +268,7 @@ def sets_of(docs: DataFrame, digests: DataFrame, shingle: int, text: str) -> Dat
                     seen.add(int(digests[i]))
                     new.append(i)
             part = batch.take(pa.array(new, pa.int64()))
-            for a, b in words.batches_of(part.column(1)):
+            for a, b in words.batches_of(part.column(1), PIECE):
                 tokens, bounds = distinct_sets(*shingles(part.column(1).slice(a, b - a), shingle))
                 lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(tokens.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([part.column(0).slice(a, b - a), lists], names=["digest", "tokens"])
@@ -424,41 +434,59 @@ def far_apart(profile: np.ndarray, others: np.ndarray) -> np.ndarray:
     return np.abs((others - profile).view(np.int8).astype(np.int16)).sum(1)
 
 
-def rest_of_lists(lists: DataFrame, roots: DataFrame, known: DataFrame) -> DataFrame:
-    """Pairs (a, b) of a list that lie in different components and were not both compared with its leader.
+def possible(pairs: DataFrame, known: DataFrame, alike: tuple[int, int]) -> DataFrame:
+    """The pairs (lead, node) whose profiles do not rule out a similarity of ``alike``."""
+    p, q = alike
+    profile = known.groupBy("node").agg(F.first("size").alias("size"), F.first("profile").alias("profile"))
+    lead = profile.select(F.col("node").alias("lead"), F.col("size").alias("_size"), F.col("profile").alias("_profile"))
+    met = pairs.join(profile, "node").join(lead, "lead").select("lead", "node", "size", "profile", "_size", "_profile")
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            one, other = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, BINS) for c in (3, 5))
+            total = batch.column(2).to_numpy() + batch.column(4).to_numpy()
+            kept = pa.array(np.flatnonzero((p + q) * far_apart(one, other) <= (q - p) * total))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(kept), batch.column(1).take(kept)], names=["lead", "node"])
+
+    return met.mapInArrow(task, "lead long, node long")
+
+
+def rest_of_lists(lists: DataFrame, led: DataFrame, roots: DataFrame, known: DataFrame) -> DataFrame:
+    """Pairs (a, b) of a list that lie in different components and are not both covered by its leader.
 
-    Sizes, positions and profiles of either allow the similarity.
+    A leader covers itself and the nodes that ``led`` pairs it with.  Sizes, positions and
+    short profiles of either allow the similarity.
     """
     p, q = ALIKE
     held = lists.join(roots.select(F.col("node").alias("_node"), "root"), F.col("node") == F.col("_node"), "left")
-    held = stage(held.select("token", "node", "size", "pos", "lead", "lead_size", "lead_pos", F.coalesce("root", "node").alias("root")), "rooted-lists")
-    covered = (F.col("node") == F.col("lead")) | F.expr(reach("size", "pos", "lead_size", "lead_pos"))
-    ends = [F.min("root").alias("x"), F.max("root").alias("y"), F.min(covered).alias("_all")]
-    still = held.groupBy("token").agg(F.count("*").alias("_many"), *ends)
-    # of two nodes one leads, and the pair is decided; so are all pairs of a list that its leader covers
-    still = still.filter("_many > 2 AND x <> y AND NOT _all").select("token", "_many")
+    held = stage(held.select("token", "node", "size", "pos", "lead", F.coalesce("root", "node").alias("root")), "rooted-lists")
+    still = held.groupBy("token").agg(F.count("*").alias("_many"), F.min("root").alias("x"), F.max("root").alias("y"))
+    # of two nodes one leads, and the pair is decided
+    still = still.filter("_many > 2 AND x <> y").select("token", "_many")
+    held = held.join(still, "token").join(led.withColumn("_led", F.lit(True)), ["lead", "node"], "left")
+    covered = (F.col("node") == F.col("lead")) | F.col("_led").isNotNull()
     chunks = F.ceil(F.col("_many") / GROUP)
-    dealt = held.join(still, "token").withColumn("_mine", F.pmod(F.xxhash64("node"), chunks))
+    dealt = held.withColumn("_mine", F.pmod(F.xxhash64("node"), chunks))
     dealt = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1)))
     rows = dealt.select(
         "token", F.least("_mine", "_other").alias("x"), F.greatest("_mine", "_other").alias("y"),
         "node", "root", F.col("size").cast("long").alias("size"), F.col("pos").cast("long").alias("pos"), covered.alias("covered"),
     )
-    profile = known.groupBy("node").agg(F.min("profile").alias("profile"))
-    rows = rows.join(profile.join(rows.select("node").distinct(), "node", "left_semi"), "node").select(*rows.columns, "profile")
+    brief = known.groupBy("node").agg(F.first("brief").alias("brief"))
+    rows = rows.join(brief, "node").select(*rows.columns, "brief")
 
     def solve(rows: pa.Table) -> list[tuple[int, int]]:
         rows = rows.sort_by([("size", "ascending"), ("pos", "ascending"), ("node", "ascending")])
         node, root, size, pos = (rows[c].to_numpy() for c in ("node", "root", "size", "pos"))
         led = rows["covered"].to_numpy()
-        profiles = np.frombuffer(b"".join(rows["profile"].to_pylist()), np.uint8).reshape(-1, BINS)
+        brief = np.frombuffer(b"".join(rows["brief"].to_pylist()), np.uint8).reshape(-1, BRIEF)
         starts = np.flatnonzero(np.r_[True, size[1:] != size[:-1]])
         ends = np.r_[starts[1:], len(size)]
         out: list[tuple[int, int]] = []
         for i in range(1, len(node)):
             at = run_of(size, pos, i, starts, ends)
             at = at[(root[at] != root[i]) & ~(led[at] & led[i])]
-            at = at[(p + q) * far_apart(profiles[i], profiles[at]) <= (q - p) * (size[at] + size[i])]
+            at = at[(p + q) * far_apart(brief[i], brief[at]) <= (q - p) * (size[at] + size[i])]
             out += [(min(int(node[i]), n), max(int(node[i]), n)) for n in node[at].tolist()]
         return out
 
@@ -471,11 +499,13 @@ def join(docs: DataFrame, shingle: int = SHINGLE, text: str = "text") -> DataFra
     some = known.filter("size > 0")
     lists = lists_of(docs, sketch(counts, total(known, F.col("size")) / (1 << SKETCH_BITS)), shingle, text)
     close = reach("size", "pos", "lead_size", "lead_pos")
-    pairs = stage(lists.filter(f"node <> lead AND {close}").select("lead", "node").distinct(), "led-pairs")
+    led = lists.filter(f"node <> lead AND {close}").select("lead", "node").distinct()
+    pairs = stage(possible(led, some, RELATED), "led-pairs")
     related = relations(docs, some, pairs, shingle, text)
     links = related.filter("linked").select(F.col("lead").alias("a"), F.col("node").alias("b")).union(answers(related))
     roots = stage(components.connected(links), "led-components")
-    rest = stage(rest_of_lists(lists, roots, some).select(F.col("a").alias("lead"), F.col("b").alias("node")), "other-pairs")
+    rest = rest_of_lists(lists, pairs, roots, some).select(F.col("a").alias("lead"), F.col("b").alias("node"))
+    rest = stage(possible(rest, some, ALIKE), "other-pairs")
     more = relations(docs, some, rest, shingle, text).filter("linked").select(F.col("lead").alias("a"), F.col("node").alias("b"))
     return label(known, components.connected(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more)))
 

@@ -120,5 +120,7 @@ def test_profiles_never_rule_out_more_than_the_sets_differ_in():
         a = np.unique(rng.integers(0, 1 << 58, size, dtype=np.uint64))
         b = np.union1d(rng.choice(a, len(a) - len(a) // 5, replace=False), rng.integers(0, 1 << 58, size // 6, dtype=np.uint64))
         rows = op11_ngram_join.profiles(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]))
-        assert 0 <= op11_ngram_join.far_apart(rows[0], rows[1:])[0] <= len(np.setxor1d(a, b))
+        apart = op11_ngram_join.far_apart(rows[0], rows[1:])[0]
+        brief = op11_ngram_join.briefs(rows)
+        assert 0 <= op11_ngram_join.far_apart(brief[0], brief[1:])[0] <= apart <= len(np.setxor1d(a, b))
         assert op11_ngram_join.far_apart(rows[0], rows[:1])[0] == 0
