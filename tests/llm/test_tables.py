@@ -26,7 +26,7 @@ def test_against_sql(spark, name):
 
 def test_every_operator_has_one_query():
     numbers = sorted(int(q[2:].split("_")[0]) for q in QUERIES)
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
 
 
 def test_running_total_of_one_hot_key(spark):
