@@ -754,6 +754,46 @@ DAILY_RECURSION = f"""WITH RECURSIVE {S.days(['nation']).replace('days AS (', 'd
 add("k14_recursive_pooled_31_days", k14_daily_pooled, DAILY_RECURSION)
 
 
+DAILY_MEAN = DAILY_PAIR[0]
+
+
+def daily_backtest(s, d):
+    """One line over all nations on the mean of seven days, refitted each month of the daily backtest."""
+    cfg = FeatureConfig.default(DAY)
+    rows, _ = supervised(days(s, d, ["nation"]), cfg, DAY, ["nation"], [DAILY_MEAN])
+    return backtest.pooled_backtest(
+        stage(rows, "daily-mean"), KNOWN["linear"], {}, [DAILY_MEAN], "label", "date", ["nation"], REFITS, FINAL
+    )
+
+
+def d13_model(s, d):
+    scores = scoring.monthly_scores(daily_backtest(s, d), ["nation", "model"])
+    return scores.withColumns({c: steady_round(F.col(c), 2) for c in scores.columns if c.startswith("monthly_")})
+
+
+DAILY_FORECASTS = f"""{S.days(['nation']).replace('days AS (', 'days AS MATERIALIZED (')},
+    fe AS MATERIALIZED (SELECT nation, lead(date) OVER w AS target, lead(daily_revenue) OVER w AS label,
+      avg(daily_revenue) OVER (w ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING) AS x FROM days WINDOW w AS (PARTITION BY nation ORDER BY date)),
+    sup AS MATERIALIZED (SELECT * FROM fe WHERE label IS NOT NULL AND x IS NOT NULL),
+    fc AS (""" + " UNION ALL ".join(
+    f"""SELECT nation, 'linear' AS model, target AS period, label AS y, a + b * x AS p FROM sup CROSS JOIN
+        (SELECT regr_intercept(label, x) AS a, regr_slope(label, x) AS b FROM sup WHERE target < DATE '{begin}')
+        WHERE target >= DATE '{begin}' AND target < DATE '{stop}'"""
+    for begin, stop in zip(REFITS, [*REFITS[1:], FINAL])
+) + ")"
+add(
+    "d13_daily_backtest_of_model",
+    lambda s, d: cents(daily_backtest(s, d)),
+    f"WITH {DAILY_FORECASTS} SELECT nation, model, period, {S.r('y', 'y_true', 2)}, {S.r('p', 'y_pred', 2)} FROM fc",
+)
+add(
+    "d13_monthly_scores_of_model",
+    d13_model,
+    f"""WITH {DAILY_FORECASTS}, m AS (SELECT nation, model, date_trunc('month', period) AS month, sum(y) AS y, sum(p) AS p FROM fc GROUP BY ALL)
+        SELECT nation, model, {', '.join(S.r(e, 'monthly_' + n, 2) for n, e in MEASURES_SQL.items())} FROM m GROUP BY nation, model""",
+)
+
+
 def k14_forest(s, d):
     rows = many_rows(s, d)
     tuned = tuning.Tuned("random_forest", KNOWN["random_forest"].grid[0], 0.0)
