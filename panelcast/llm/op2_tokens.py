@@ -14,6 +14,15 @@ boundary inside a pre-token proves nothing and is not used.  By induction over t
 pieces every splice is a true boundary.  Where two neighbours share none, the text is
 cut anew with overlaps four times as wide, until it is one piece.
 
+Words come back, so the library encodes a word once and its count is kept.  Texts and
+pieces are cut into words only where a pre-token ends whatever stands around: before
+white space that follows something else, after a letter or digit that an ASCII character
+of another class follows.  No match of the pre-tokenizer goes on there, none looks back,
+and white space stays whole with what follows it, so a text's tokens are the sum over its
+words.  Special strings might span such a place, and U+001C to U+001F are white space to
+Python alone: a text that holds one is a single word.  Of a piece, only what lies in the
+overlaps is encoded with its positions.
+
 Tokenizers of another kind (normalizers, pre-tokenizers that look back) get whole texts.
 Nulls and empty texts have no bytes and no tokens.  Repeated rows are counted each.
 """
@@ -21,7 +30,9 @@ Nulls and empty texts have no bytes and no tokens.  Repeated rows are counted ea
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +47,11 @@ from panelcast.session import stage
 STRIDE = 1 << 14  # characters from the start of one piece to that of the next
 OVERLAP = 256
 LIMIT = 512  # tokens beyond which a text is marked
+KEPT = 1 << 19  # words whose counts a Python worker keeps, of up to LONGEST characters each
+LONGEST = 64
 _BATCH = 1 << 20  # bytes encoded at a time
+_LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
+_WORD = re.compile(rf"\s*+[{_LETTERS}]++(?=[!-@\[-`{{-~\s]|$)|\s*+[0-9]++(?=[!-/:-~])|\s*+\S++|\s++")
 
 
 def tokenizer(vocabulary: str):
@@ -52,6 +67,10 @@ def tokenizer(vocabulary: str):
     return made
 
 
+def special_strings(vocabulary: str) -> list[str]:
+    return [t["content"] for t in json.loads(vocabulary).get("added_tokens") or []]
+
+
 def margin_of(vocabulary: str) -> int | None:
     """Characters before a piece's end whose boundaries prove nothing; None if pieces cannot be spliced."""
     spec = json.loads(vocabulary)
@@ -61,15 +80,49 @@ def margin_of(vocabulary: str) -> int | None:
         return None
     if before.get("add_prefix_space"):
         return None
+    if (spec.get("model") or {}).get("dropout"):
+        return None
     return max([0, *(len(t["content"]) for t in added)]) + 4
 
 
-def counts(column: pa.Array, encode) -> np.ndarray:
+class TokenCounter:
+    """Tokens of texts, each word encoded by the library once as long as its count is kept."""
+
+    def __init__(self, vocabulary: str):
+        self.made = tokenizer(vocabulary)
+        self.spliced = margin_of(vocabulary) is not None
+        self.whole = re.compile("|".join(["[\x1c-\x1f]", *map(re.escape, special_strings(vocabulary))]))
+        self.kept: dict[str, int] = {}
+
+    def words(self, text: str) -> list[str]:
+        """Stretches of the text, in order, whose tokens add up to its own."""
+        return _WORD.findall(text) if self.spliced and not self.whole.search(text) else [text]
+
+    def totals(self, texts: list[list[str]]) -> list[int]:
+        """Tokens of each list of words."""
+        new = list(set().union(*texts) - self.kept.keys())
+        self.kept.update(zip(new, map(len, self.made.encode_batch_fast(new, add_special_tokens=False))))
+        out = [sum(map(self.kept.__getitem__, own)) for own in texts]
+        for word in new:
+            if len(word) > LONGEST:
+                del self.kept[word]
+        if len(self.kept) > KEPT:
+            self.kept.clear()
+        return out
+
+
+@lru_cache(maxsize=1)
+def counter(vocabulary: str) -> TokenCounter:
+    """A Python worker's own, for all its tasks."""
+    return TokenCounter(vocabulary)
+
+
+def counts(column: pa.Array, count: TokenCounter) -> np.ndarray:
     """Tokens of each text of the column."""
     out = [np.empty(0, np.int64)]
     for a, b in words.batches_of(column, _BATCH):
-        texts = [t or "" for t in column.slice(a, b - a).to_pylist()]
-        out.append(np.array([len(e) for e in encode(texts, add_special_tokens=False)], np.int64))
+        texts = [count.words(t or "") for t in column.slice(a, b - a).to_pylist()]
+        out.append(np.array(count.totals(texts), np.int64))
     return np.concatenate(out)
 
 
@@ -83,6 +136,32 @@ def boundaries(encoding, start: int) -> tuple[np.ndarray, np.ndarray]:
     return start + np.r_[0, ends[last]], np.r_[0, last + 1]
 
 
+def ends_of(
+    texts: list[str], starts: list[int], heads: list[int], tails: list[int], count: TokenCounter
+) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """Of each piece: its boundaries up to ``heads`` and from ``tails`` on, the tokens up to each, and all its tokens.
+
+    Between the two, places inside the piece, its words are only counted.
+    """
+    ends, middles = [], []
+    cuts = []
+    for text, head, tail in zip(texts, heads, tails):
+        own = count.words(text)
+        at = np.r_[0, np.cumsum([len(w) for w in own], dtype=np.int64)]
+        i, j = int(np.searchsorted(at, head)), int(np.searchsorted(at, tail, "right")) - 1
+        if i > j:  # one word covers both places
+            i = j = len(own)
+        cuts.append(int(at[j]))
+        ends += [text[: at[i]], text[at[j] :]]
+        middles.append(own[i:j])
+    read = iter(count.made.encode_batch(ends, add_special_tokens=False))
+    for start, cut, middle in zip(starts, cuts, count.totals(middles)):
+        first, second = next(read), next(read)
+        (at, before), (at2, before2) = boundaries(first, start), boundaries(second, start + cut)
+        so_far = len(first) + middle
+        yield np.r_[at, at2], np.r_[before, so_far + before2], so_far + len(second)
+
+
 def pieces(texts: DataFrame, stride: int, overlap: int) -> DataFrame:
     """(uid, piece, start, last, text): overlapping pieces of each text."""
 
@@ -112,7 +191,7 @@ def splice(texts: DataFrame, vocabulary: str, margin: int, stride: int, overlap:
     """(uid, n_tokens) of each text; null where two neighbours share no boundary."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made = tokenizer(vocabulary)
+        known = counter(vocabulary)
         for batch in batches:
             for a in range(0, batch.num_rows, 16):
                 part = batch.slice(a, 16)
@@ -123,13 +202,15 @@ def splice(texts: DataFrame, vocabulary: str, margin: int, stride: int, overlap:
                     for name, value in zip(rows, (u, junction, tokens, *head, *tail)):
                         rows[name].append(value)
 
-                for u, k, s, final, t, e in zip(uid, piece, start, last, text, made.encode_batch(text, add_special_tokens=False)):
-                    at, before = boundaries(e, s)
+                heads = [overlap if k > 0 else 0 for k in piece]
+                tails = [len(t) if final else stride for t, final in zip(text, last)]
+                read = ends_of(text, start, heads, tails, known)
+                for u, k, s, final, t, (at, before, n) in zip(uid, piece, start, last, text, read):
                     if k > 0:
                         near = at <= s + overlap
                         add(u, k - 1, None, (before[near].tolist(), at[near].tolist()), (None, None))
                     if final:
-                        add(u, k, len(e), (None, None), (None, None))
+                        add(u, k, n, (None, None), (None, None))
                     else:
                         near = (at >= s + stride) & (at <= s + len(t) - margin)
                         add(u, k, None, (None, None), (before[near].tolist(), at[near].tolist()))
@@ -163,12 +244,8 @@ def count_tokens(
     rows = docs.select("doc_id", F.octet_length(text_or_empty(text)).cast("long").alias("n_bytes"), text_or_empty(text).alias("text"))
     fits = F.lit(True) if margin is None else F.length("text") <= stride + overlap
 
-    made = []  # a task's own copy: its tokenizer, made for the first batch
-
     def whole(columns: list[pa.Array]) -> pa.Array:
-        if not made:
-            made.append(tokenizer(vocabulary))
-        return pa.array(counts(columns[0], made[0].encode_batch_fast))
+        return pa.array(counts(columns[0], counter(vocabulary)))
 
     done = [with_python(rows.filter(fits), ["text"], "n_tokens", T.LongType(), whole).drop("text")]
     if margin is not None:
