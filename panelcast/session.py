@@ -9,9 +9,14 @@ warehouse, which Spark deletes when it ends.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors share."""
     sc = spark.sparkContext
@@ -37,6 +42,21 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """A write made within leaves no shuffle files: they go when it ends.
+
+    Otherwise they stay until the driver happens to collect its garbage, and a run of many
+    writes holds the shuffles of all of them.
+    """
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as parquet below the shared folder and read it back.
 
@@ -44,5 +64,6 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     codegen takes: what follows starts from a plain columnar scan.
     """
     path = staging_path(df.sparkSession, name)
-    df.write.parquet(path)
+    with shuffles_removed(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -7,13 +7,15 @@ named by the batch: a replayed batch overwrites what it wrote before.
 
 1. New orders are filed by month; of rows that repeat an order the first to arrive counts.
 2. Lines of the batch (payments, reviews and items in one wide table) meet all orders,
-   lines that waited meet the new ones; matched lines are filed by month, the others wait on.
+   lines that waited meet the new ones.  All are filed in one pass: matched lines by month,
+   the others without a month, where they wait on.
 3. The months touched are those of the new orders and of the filed lines.  Their order
    rows, core metrics, sightings (items per product and seller) and top categories are
    computed again from their own folders.
 4. A seller whose first sighting moves changes the number of new sellers of the month it
-   leaves and of the month it enters, wherever these are; so the first sightings before
-   and after are compared, and these months' counts are computed again from the sightings.
+   leaves and of the month it enters, wherever these are; so new sellers are counted from
+   the sightings of all months, one row per seller, and the months whose counts are not
+   those of before are replaced too.
 
 Period tables have one folder per month, replaced as a whole.  The medians for missing
 scores depend on all months and are taken when the table is read.  Undated orders are not
@@ -24,7 +26,7 @@ from __future__ import annotations
 
 from dataclasses import replace
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -32,8 +34,9 @@ from pyspark.sql.streaming import StreamingQuery
 from panelcast.functions.calendar import MONTH, Bounds, month_table_columns
 from panelcast.operators.cleaning import coerce_timestamps, drop_undated
 from panelcast.operators.order_level import ORDER_TS, order_rows
-from panelcast.operators.rollup import category_counts, roll_up, sightings, top_category
+from panelcast.operators.rollup import category_counts, new_entities, roll_up, sightings, top_category
 from panelcast.plans.period_tables import imputed
+from panelcast.session import shuffles_removed
 from panelcast.sources.facts import Facts
 from panelcast.sources.storage import exists, is_complete, remove
 
@@ -41,6 +44,7 @@ LINES = ("payments", "reviews", "items")
 TABLE = "_table"
 
 _PERIOD = MONTH.period
+_NO_MONTH = "__HIVE_DEFAULT_PARTITION__"  # the name Spark gives to the folder of null
 
 
 def tagged(tables: dict[str, DataFrame]) -> DataFrame:
@@ -77,7 +81,7 @@ class MonthlyFollower:
         return f"{self.folder}/{name}"
 
     def _file(self, df: DataFrame, name: str, batch_id: int) -> list:
-        """Write rows under their month and this batch; gives the months written."""
+        """Write rows under their month (or under none) and this batch; gives the months written."""
         path = self._path(name)
         (
             df.withColumn("_batch", F.lit(batch_id))
@@ -88,7 +92,7 @@ class MonthlyFollower:
             .parquet(path)
         )
         written = self._filed(name, df.drop(_PERIOD, "_batch").schema).where(F.col("_batch") == batch_id)
-        return [r[0] for r in written.select(_PERIOD).distinct().collect()]
+        return [r[0] for r in written.select(_PERIOD).distinct().collect() if r[0] is not None]
 
     def _filed(self, name: str, schema: T.StructType) -> DataFrame:
         """Rows by month and batch; none before the first are filed."""
@@ -119,9 +123,11 @@ class MonthlyFollower:
         """Bring the tables up to date with a batch of :func:`tagged` rows; gives the months changed."""
         orders = batch.where(F.col(TABLE) == "orders").select(*self.facts.orders.columns)
         lines = batch.where(F.col(TABLE).isin(*LINES)).select(*self.lines.names)
-        touched = {*self._file_orders(orders, batch_id), *self._file_lines(lines, batch_id)}
-        changed = self._recompute(sorted(touched), batch_id) if touched else []
-        remove(self.spark, self._path(f"waiting/{batch_id - 2}"))  # this batch's copy holds all that still waits
+        with shuffles_removed(self.spark), shuffles_removed(batch.sparkSession):
+            touched = {*self._file_orders(orders, batch_id), *self._file_lines(lines, batch_id)}
+            changed = self._recompute(sorted(touched), batch_id) if touched else []
+        # this batch's copy holds all that still waits
+        remove(self.spark, self._path(f"lines/{_PERIOD}={_NO_MONTH}/_batch={batch_id - 2}"))
         return changed
 
     def _known_orders(self) -> DataFrame:
@@ -137,23 +143,20 @@ class MonthlyFollower:
         return self._file(fresh.withColumn(_PERIOD, MONTH.bucket(F.col(ORDER_TS))), "orders", batch_id)
 
     def _file_lines(self, lines: DataFrame, batch_id: int) -> list:
-        orders = self._known_orders().where(F.col("_batch") <= batch_id).select("order_id", _PERIOD, "_batch")
-        fresh = orders.where(F.col("_batch") == batch_id)
+        orders = self._known_orders().where(F.col("_batch") <= batch_id)
+        known = orders.select("order_id", _PERIOD)
+        fresh = orders.where(F.col("_batch") == batch_id).select("order_id", _PERIOD)
         arrived = lines.where(F.col("order_id").isNotNull())
-        waited = self._waiting(batch_id)
-        # what waited has met all earlier orders already
-        met = arrived.join(orders, "order_id").unionByName(waited.join(fresh, "order_id"))
-        months = self._file(met.select(*lines.columns, _PERIOD), "lines", batch_id)
-        still = arrived.join(orders, "order_id", "left_anti").unionByName(waited.join(fresh, "order_id", "left_anti"))
-        still.write.mode("overwrite").parquet(self._path(f"waiting/{batch_id}"))
-        return months
+        # what waited has met all earlier orders already; an order is filed once, so no line doubles
+        met = arrived.join(known, "order_id", "left").unionByName(self._waiting(batch_id).join(fresh, "order_id", "left"))
+        return self._file(met.select(*lines.columns, _PERIOD), "lines", batch_id)
 
     def _waiting(self, batch_id: int) -> DataFrame:
         """What the batch before left waiting."""
-        path = self._path(f"waiting/{batch_id - 1}")
-        if batch_id == 0 or not is_complete(self.spark, path):
-            return self.spark.createDataFrame([], self.lines)
-        return self.spark.read.schema(self.lines).parquet(path)
+        filed = self._filed("lines", self.lines).where(F.col(_PERIOD).isNull() & (F.col("_batch") == batch_id - 1))
+        apart = self._path(f"waiting/{batch_id - 1}")  # where folders written by earlier versions keep them
+        lines = filed.select(*self.lines.names)
+        return lines.unionByName(self.spark.read.schema(self.lines).parquet(apart)) if is_complete(self.spark, apart) else lines
 
     def _recompute(self, months: list, batch_id: int) -> list:
         inside = F.col(_PERIOD).isin(months)
@@ -168,45 +171,39 @@ class MonthlyFollower:
         core = roll_up(order_rows(own, MONTH, self.keys), MONTH, self.keys)
         seen = sightings(own, MONTH, self.keys)
         self._replace(core, "core")
-        self._replace(seen, f"seen-{batch_id}")  # beside the old ones until the difference is known
-        now = self.spark.read.schema(_period_last(seen.schema)).parquet(self._path(f"seen-{batch_id}"))
+        self._replace(seen, "seen")
+        now = self._kept("seen", seen.schema).where(inside)
         self._replace(top_category(category_counts(now, self.facts, MONTH, self.keys), [*self.keys, _PERIOD]), "tops")
-        changed = sorted({*months, *self._moved_sellers(now, inside, batch_id)})
-        self._replace(now, "seen")
-        self._count_new_sellers(changed, core.schema, seen.schema)
-        remove(self.spark, self._path(f"seen-{batch_id}"))
+        return self._count_new_sellers(months, core.schema, seen.schema, batch_id)
+
+    def _count_new_sellers(self, months: list, core_schema, seen_schema, batch_id: int) -> list:
+        """Count new sellers again; gives ``months`` and the others whose counts change.
+
+        The sightings of all months are read once and grouped to one row per seller.  What is
+        compared and written after that has one row per series and month.
+        """
+        on = [*self.keys, _PERIOD]
+        counts = new_entities(self._kept("seen", seen_schema), self.facts, MONTH, self.keys)
+        rows = self._kept("core", core_schema).select(*on)
+        path = self._path(f"fresh-{batch_id}")
+        rows.join(counts, on, "left").na.fill(0, subset=["new_sellers"]).write.mode("overwrite").parquet(path)
+        schema = T.StructType([*rows.schema.fields, *counts.select("new_sellers").schema.fields])
+        now, before = self.spark.read.schema(schema).parquet(path), self._kept("fresh", schema)
+        same = [F.col(f"now.{c}").eqNullSafe(F.col(f"before.{c}")) for c in (*on, "new_sellers")]
+        other = now.alias("now").join(before.alias("before"), same, "left_anti")
+        moved = {r[0] for r in other.select(_PERIOD).distinct().collect()}
+        changed = sorted({*months, *self._noted(moved, batch_id)})
+        self._replace(now.where(F.col(_PERIOD).isin(changed)), "fresh")
+        remove(self.spark, path)
         return changed
 
-    def _moved_sellers(self, now: DataFrame, inside: Column, batch_id: int) -> list:
-        """Months that a first sighting leaves or enters; noted before the sightings are replaced, for a replay."""
-        before = self._kept("seen", now.schema)
-        sellers = [*self.keys, "seller_id"]
-        firsts = lambda df: df.where("seller_id is not null").groupBy(*sellers).agg(F.min("first_ts").alias("first_ts"))
-        old, new = firsts(before.where(inside)), firsts(now)
-        same = [F.col(f"old.{k}").eqNullSafe(F.col(f"new.{k}")) for k in sellers]
-        both = old.alias("old").join(new.alias("new"), same, "full")
-        moved = both.where(~F.col("old.first_ts").eqNullSafe(F.col("new.first_ts")))
-        moved = moved.select(*[F.coalesce(f"old.{k}", f"new.{k}").alias(k) for k in sellers])
-        after = before.where(~inside).unionByName(now)
-        on = lambda df: [df[k].eqNullSafe(moved[k]) for k in sellers]
-        ends = firsts(before.join(moved, on(before), "left_semi")).unionByName(firsts(after.join(moved, on(after), "left_semi")))
-        found = {r[0] for r in ends.select(MONTH.bucket(F.col("first_ts"))).distinct().collect()}
+    def _noted(self, moved: set, batch_id: int) -> set:
+        """``moved``, and what this batch noted before it was replayed; noted before the counts are replaced."""
         note = self._path(f"moved/{batch_id}")
         if is_complete(self.spark, note):
-            found |= {r[0] for r in self.spark.read.schema("month date").parquet(note).collect()}
-        self.spark.createDataFrame([(m,) for m in sorted(found)], "month date").coalesce(1).write.mode("overwrite").parquet(note)
-        return sorted(found)
-
-    def _count_new_sellers(self, months: list, core_schema, seen_schema) -> None:
-        inside = F.col(_PERIOD).isin(months)
-        seen = self._kept("seen", seen_schema).where("seller_id is not null")
-        sellers = [*self.keys, "seller_id"]
-        there = seen.where(inside).select(*sellers).distinct().alias("there")
-        same = [F.col(f"seen.{k}").eqNullSafe(F.col(f"there.{k}")) for k in sellers]
-        firsts = seen.alias("seen").join(there, same, "left_semi").groupBy(*sellers).agg(F.min("first_ts").alias("first_ts"))
-        counts = firsts.groupBy(*self.keys, MONTH.bucket(F.col("first_ts")).alias(_PERIOD)).agg(F.count(F.lit(1)).alias("new_sellers"))
-        rows = self._kept("core", core_schema).where(inside).select(*self.keys, _PERIOD)
-        self._replace(rows.join(counts, [*self.keys, _PERIOD], "left").na.fill(0, subset=["new_sellers"]), "fresh")
+            moved = moved | {r[0] for r in self.spark.read.schema("month date").parquet(note).collect()}
+        self.spark.createDataFrame([(m,) for m in sorted(moved)], "month date").coalesce(1).write.mode("overwrite").parquet(note)
+        return moved
 
     # --- reading and streaming --------------------------------------------------------
 

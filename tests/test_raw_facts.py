@@ -3,6 +3,7 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
 from panelcast.functions.calendar import MONTH, Bounds
@@ -123,3 +124,48 @@ def test_only_touched_months_are_read_again(spark):
 def test_series_by_product_are_refused(spark):
     with pytest.raises(ValueError):
         MonthlyFollower(facts_of(spark, []), ["product_category_name"], "nowhere")
+
+
+def test_a_batch_reads_sightings_twice_and_writes_nothing_twice(spark, monkeypatch):
+    """Top categories and new sellers each read the sightings once; lines meet their orders in one pass."""
+    follower = MonthlyFollower(facts_of(spark, []), ["region"], staging_path(spark, "follower"))
+    follower.absorb(tagged(frames(spark, DELIVERIES[0])), 0)
+    follower.absorb(tagged(frames(spark, DELIVERIES[1])), 1)
+    written, scans = [], 0
+    write = DataFrameWriter.parquet
+
+    def spy(self, path, *args, **kwargs):
+        nonlocal scans
+        written.append(path.removeprefix(follower.folder + "/"))
+        plan = self._df._jdf.queryExecution().optimizedPlan().collectLeaves().mkString("\n")
+        files = [f for f in self._df.inputFiles() if "/seen" in f]
+        scans += plan.count("first_ts") if files else 0
+        return write(self, path, *args, **kwargs)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", spy)
+    follower.absorb(tagged(frames(spark, DELIVERIES[2])), 2)
+    assert written == ["orders", "lines", "core", "seen", "tops", "fresh-2", "moved/2", "fresh"]
+    assert scans == 2
+
+
+def test_lines_of_unknown_orders_wait_in_the_newest_batch_alone(spark):
+    follower = MonthlyFollower(facts_of(spark, []), [], staging_path(spark, "follower"))
+    for number, rows in enumerate(DELIVERIES):
+        follower.absorb(tagged(frames(spark, rows)), number)
+    waiting = follower._filed("lines", follower.lines).where("month is null")
+    assert sorted(r[0] for r in waiting.where("_batch = 2").select("order_id").collect()) == ["o9"]
+    assert waiting.where("_batch = 0").count() == 0
+    follower.absorb(tagged(frames(spark, [("orders", ("o9", "c3", "2020-01-20 10:00:00"))])), 3)
+    same(
+        follower.table(),
+        monthly_table(facts_of(spark, once([*sum(DELIVERIES, []), ("orders", ("o9", "c3", "2020-01-20 10:00:00"))])), None, []),
+    )
+
+
+def test_lines_that_an_earlier_version_left_waiting_are_met(spark):
+    follower = MonthlyFollower(facts_of(spark, []), [], staging_path(spark, "follower"))
+    follower.absorb(tagged(frames(spark, DELIVERIES[0])), 0)
+    more = [("payments", ("o3", 2.5, 1))]
+    tagged(frames(spark, more)).where("_table <> 'orders'").select(*follower.lines.names).write.parquet(f"{follower.folder}/waiting/0")
+    follower.absorb(tagged(frames(spark, DELIVERIES[1])), 1)
+    same(follower.table(), monthly_table(facts_of(spark, once([*more, *DELIVERIES[0], *DELIVERIES[1]])), None, []))
