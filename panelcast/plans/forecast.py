@@ -13,7 +13,7 @@ from panelcast.functions.calendar import Bounds, Grain
 from panelcast.operators import recursion
 from panelcast.operators.ranking import latest_row
 from panelcast.plans.feature_frame import FeatureConfig, create_features
-from panelcast.plans.period_tables import imputed, monthly_metrics
+from panelcast.plans.period_tables import imputed, staged_metrics
 from panelcast.plans.tuning import ridge_predict
 from panelcast.session import stage
 from panelcast.sources.facts import Facts
@@ -98,7 +98,7 @@ def simulate_cutoffs(
     one plan whatever the number of cutoffs.  ``forecaster`` gets the table and its keys.
     """
     after = max((c.replace(day=1) + dt.timedelta(days=32)).replace(day=1) for c in cutoffs)
-    metrics = stage(monthly_metrics(facts, Bounds(before=after), series_keys), "metrics")
+    metrics = stage(staged_metrics(facts, Bounds(before=after), series_keys), "metrics")
     keys = [*series_keys, CUTOFF]
     return forecaster(imputed(as_of_each(metrics, cutoffs, "month"), keys), keys)
 

@@ -16,6 +16,7 @@ from panelcast.operators.rollup import (
     sightings,
     top_category,
 )
+from panelcast.session import stage, staged
 from panelcast.sources.facts import Facts
 
 STATE_METRICS = ["avg_review_score", "avg_installments"]
@@ -27,11 +28,30 @@ def monthly_metrics(
 ) -> DataFrame:
     """Monthly metrics per series before imputation: no month depends on what comes after it."""
     keys = series_keys or []
-    on = [*keys, "month"]
     core = roll_up(order_rows(facts, MONTH, keys, bounds), MONTH, keys)
     seen = sightings(facts, MONTH, keys, bounds)
-    tops = top_category(category_counts(seen, facts, MONTH, keys, bounds), on)
-    fresh = new_entities(seen, facts, MONTH, keys)
+    tops = top_category(category_counts(seen, facts, MONTH, keys, bounds), [*keys, "month"])
+    return _together(core, tops, new_entities(seen, facts, MONTH, keys), keys)
+
+
+def staged_metrics(
+    facts: Facts, bounds: Bounds | None = None, series_keys: list[str] | None = None
+) -> DataFrame:
+    """:func:`monthly_metrics` of parts written one after the other.
+
+    The disk holds the shuffles of one part at a time.  Items meet their orders once for
+    certain; the sightings go when top categories and new sellers have been taken from them.
+    """
+    keys = series_keys or []
+    core = stage(roll_up(order_rows(facts, MONTH, keys, bounds), MONTH, keys), "core")
+    with staged(sightings(facts, MONTH, keys, bounds), "sightings") as seen:
+        tops = stage(top_category(category_counts(seen, facts, MONTH, keys, bounds), [*keys, "month"]), "tops")
+        fresh = stage(new_entities(seen, facts, MONTH, keys), "fresh")
+    return _together(core, tops, fresh, keys)
+
+
+def _together(core: DataFrame, tops: DataFrame, fresh: DataFrame, keys: list[str]) -> DataFrame:
+    on = [*keys, "month"]
     return (
         core.join(tops, on, "left")
         .join(fresh, on, "left")

@@ -14,6 +14,8 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+from panelcast.sources.storage import remove
+
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -67,3 +69,15 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     with shuffles_removed(df.sparkSession):
         df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def staged(df: DataFrame, name: str) -> Iterator[DataFrame]:
+    """A staged copy that is deleted at the end of the block; what is made of it must be written by then."""
+    path = staging_path(df.sparkSession, name)
+    try:
+        with shuffles_removed(df.sparkSession):
+            df.write.parquet(path)
+        yield df.sparkSession.read.schema(df.schema).parquet(path)
+    finally:
+        remove(df.sparkSession, path)
